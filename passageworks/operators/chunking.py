@@ -143,81 +143,55 @@ def recursive_characters(text: Column, size: int, overlap: int) -> Column:
     return split(text)
 
 
-def _neighbour_groups(text: Column) -> Column:
-    """For each sentence, the text of itself and the sentences next to it."""
-    return let(
-        sentences(text),
-        lambda found: F.transform(
-            found,
-            lambda _, i: F.array_join(
-                F.slice(found, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " "
-            ),
-        ),
-    )
-
-
-def _group_distances(groups: Column, embedder: Embedder) -> Column:
-    """Cosine distance between the vectors of neighbouring groups, one list per text."""
-
-    def distances(rows: pa.ListArray) -> list[np.ndarray]:
-        flat, bounds = list_rows(rows)
-        vectors = embedder.encode(flat)
-        lengths = np.sqrt((vectors * vectors).sum(axis=1))
-        dots = (vectors[:-1] * vectors[1:]).sum(axis=1)
-        scale = lengths[:-1] * lengths[1:]
-        similarity = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
-        steps = np.round(1.0 - similarity, DISTANCE_DIGITS)
-        return [steps[a : max(b - 1, a)] for a, b in zip(bounds, bounds[1:])]
-
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def apply(batch: pa.Array) -> pa.Array:
-        values = [d for rows in in_slices(batch) for d in distances(rows)]
-        return pa.array(values, pa.list_(pa.float64()))
-
-    return apply(groups)
-
-
-def _percentile(values: Column, fraction: float) -> Column:
-    """Linear interpolation between the two nearest ranks."""
+def _neighbour_groups(found: list[str], bounds: np.ndarray) -> list[str]:
+    """For each sentence, the text of itself and the sentences next to it in its row."""
+    groups = []
+    for begin, end in zip(bounds, bounds[1:]):
+        for i in range(begin, end):
+            groups.append(" ".join(found[max(i - 1, begin) : min(i + 2, end)]))
+    return groups
+
+
+def _step_distances(groups: list[str], embedder: Embedder) -> np.ndarray:
+    """Cosine distance from each group to the next; 1 where a vector has no length."""
+    vectors = embedder.encode(pa.array(groups, pa.string()))
+    lengths = np.sqrt((vectors * vectors).sum(axis=1))
+    dots = (vectors[:-1] * vectors[1:]).sum(axis=1)
+    scale = lengths[:-1] * lengths[1:]
+    similarity = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+    return np.round(1.0 - similarity, DISTANCE_DIGITS)
+
+
+def _segments(rows: pa.ListArray, embedder: Embedder) -> list[list[str]]:
+    flat, bounds = list_rows(rows)
+    found = flat.to_pylist()
+    if not found:
+        return [[] for _ in range(len(rows))]
+    steps = _step_distances(_neighbour_groups(found, bounds), embedder)
+    chunks = []
+    for begin, end in zip(bounds, bounds[1:]):
+        inside = steps[begin : max(end - 1, begin)]
+        cuts = [begin]
+        if len(inside):
+            limit = round(float(np.quantile(inside, BREAK_PERCENTILE)), 9)
+            cuts.extend(begin + 1 + np.flatnonzero(inside > limit))
+        cuts.append(end)
+        chunks.append([" ".join(found[a:b]) for a, b in zip(cuts, cuts[1:])])
+    return chunks
 
-    def interpolate(ordered: Column) -> Column:
-        rank = F.lit(fraction) * (F.size(ordered) - 1)
-        low = F.floor(rank).cast("int")
-        below = F.get(ordered, low)
-        above = F.coalesce(F.get(ordered, low + 1), below)
-        return F.round(below + (rank - low) * (above - below), 9)
 
-    return let(F.array_sort(values), interpolate)
+def semantic(text: Column, embedder: Embedder) -> Column:
+    """Cut where neighbouring sentence groups lie unusually far apart within their text.
 
+    All sentences of a batch are embedded together, in slices of bounded size.
+    """
 
-def semantic(text: Column, embedder: Embedder) -> Column:
-    """Cut where neighbouring sentence groups lie unusually far apart within their text."""
-
-    def segments(row: Column) -> Column:
-        found, steps = row["found"], row["steps"]
-
-        def between(limit: Column) -> Column:
-            after = F.filter(
-                F.transform(steps, lambda d, i: F.when(d > limit, i + 1)), F.isnotnull
-            )
-            return let(
-                after,
-                lambda cuts: F.zip_with(
-                    F.concat(F.array(F.lit(0)), cuts),
-                    F.concat(cuts, F.array(F.size(found))),
-                    lambda a, b: F.array_join(F.slice(found, a + 1, b - a), " "),
-                ),
-            )
-
-        return F.when(F.size(steps) == 0, found).otherwise(
-            let(_percentile(steps, BREAK_PERCENTILE), between)
-        )
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def segments(batch: pa.Array) -> pa.Array:
+        made = [c for rows in in_slices(batch) for c in _segments(rows, embedder)]
+        return pa.array(made, pa.list_(pa.string()))
 
-    row = F.struct(
-        sentences(text).alias("found"),
-        _group_distances(_neighbour_groups(text), embedder).alias("steps"),
-    )
-    return let(row, segments)
+    return segments(sentences(text))
 
 
 def chunk_column(
@@ -242,6 +216,18 @@ def chunk_column(
     raise ValueError(f"unknown chunking strategy {strategy!r}")
 
 
+def explode_chunks(df: DataFrame, chunks: str) -> DataFrame:
+    """One row per element: ``chunk_no`` from 0 and ``chunk_content``.
+
+    The outer form with a filter behind it: before a plain explode the optimizer puts a test
+    that the array is not empty, which would compute all chunks of a text a second time.
+    """
+    kept = [c for c in df.columns if c != chunks]
+    return df.select(
+        *kept, F.posexplode_outer(chunks).alias("chunk_no", "chunk_content")
+    ).filter("chunk_no is not null")
+
+
 def chunk_documents(
     documents: DataFrame,
     strategies: str | Sequence[str] = st.EVERY_N_WORDS,
@@ -263,12 +249,8 @@ def chunk_documents(
         )
         for name in names
     ]
-    return (
-        documents.select(*kept, F.explode(F.array(*per_strategy)).alias("_made"))
-        .select(
-            *kept,
-            "_made.chunking_strategy",
-            F.posexplode("_made.chunks").alias("chunk_no", "chunk_content"),
-        )
-        .withColumn("chunk_id", sha256_hex(F.col("chunk_content")))
+    made = documents.select(*kept, F.array(*per_strategy).alias("_all")).select(
+        *kept, F.explode_outer("_all").alias("_made")
     )
+    flat = made.select(*kept, "_made.chunking_strategy", F.col("_made.chunks").alias("_chunks"))
+    return explode_chunks(flat, "_chunks").withColumn("chunk_id", sha256_hex(F.col("chunk_content")))

@@ -14,9 +14,7 @@ from passageworks.queries.registry import query
 
 def _chunks(documents: DataFrame, made: Column) -> DataFrame:
     content = F.col("chunk_content")
-    return documents.select(
-        "doc_id", F.posexplode(made).alias("chunk_no", "chunk_content")
-    ).select(
+    return ch.explode_chunks(documents.select("doc_id", made.alias("made")), "made").select(
         "doc_id",
         F.col("chunk_no").cast("long").alias("chunk_no"),
         sha256_hex(content).alias("chunk_id"),
