@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 
 VECTOR = T.ArrayType(T.FloatType(), False)
 STRINGS_PER_SLICE = 16_384
+_REUSE_KEY = ["chunk_id", "chunking_strategy", "embedding_model"]
 
 
 class Embedder(Protocol):
@@ -29,11 +29,6 @@ class Embedder(Protocol):
     def encode(self, texts: pa.Array) -> np.ndarray: ...
 
 
-@lru_cache(maxsize=1 << 18)
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
-
-
 class HashedWords:
     """Deterministic stand-in for a model: counts of hashed lower-case words, scaled to length 1.
 
@@ -49,12 +44,12 @@ class HashedWords:
         owner = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        buckets = np.array(
-            [_word_hash(w) % self.dim if w else -1 for w in coded.dictionary.to_pylist()],
-            dtype=np.int64,
-        )
-        slot = buckets[codes] if len(codes) else np.zeros(0, np.int64)
-        real = slot >= 0
+        distinct = coded.dictionary.cast(pa.binary())
+        # The bucket of a word is the first 32 bits of its MD5, modulo the dimension.
+        heads = b"".join([md5(w).digest()[:4] for w in distinct.to_pylist()])
+        buckets = np.frombuffer(heads, ">u4").astype(np.int64) % self.dim
+        slot = buckets[codes]
+        real = pc.binary_length(distinct).to_numpy(zero_copy_only=False)[codes] > 0
         cells = np.bincount(
             owner[real].astype(np.int64) * self.dim + slot[real], minlength=len(texts) * self.dim
         )
@@ -81,12 +76,11 @@ def in_slices(rows: pa.ListArray, limit: int = STRINGS_PER_SLICE) -> Iterator[pa
 
 
 def vectors_to_arrow(vectors: np.ndarray, valid: np.ndarray) -> pa.Array:
-    """A matrix as a list array, null where the text was null."""
-    n, dim = vectors.shape
-    kept = np.ascontiguousarray(vectors[valid], dtype=np.float32)
-    ends = np.concatenate([[0], np.cumsum(valid)]) * dim
+    """The rows of a matrix as lists at the ``valid`` places, nulls at the others."""
+    flat = np.ascontiguousarray(vectors, dtype=np.float32).ravel()
+    ends = np.concatenate([[0], np.cumsum(valid)]) * vectors.shape[1]
     offsets = pa.array(ends.astype(np.int32), mask=np.append(~valid, False))
-    return pa.ListArray.from_arrays(offsets, pa.array(kept.ravel(), pa.float32()))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()))
 
 
 def embed(text: Column, embedder: Embedder) -> Column:
@@ -95,8 +89,11 @@ def embed(text: Column, embedder: Embedder) -> Column:
     @F.arrow_udf(VECTOR)
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
+            if batch.null_count == len(batch):
+                yield pa.nulls(len(batch), pa.list_(pa.float32()))
+                continue
             valid = batch.is_valid().to_numpy(zero_copy_only=False)
-            yield vectors_to_arrow(embedder.encode(batch.fill_null("")), valid)
+            yield vectors_to_arrow(embedder.encode(batch.drop_null()), valid)
 
     return apply(text)
 
@@ -123,16 +120,37 @@ def embed_questions(questions: DataFrame, embedder: Embedder, text: str = "quest
 
 def still_to_embed(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     """Chunks whose text has no stored vector for their strategy and model."""
-    keys = ["chunk_id", "chunking_strategy", "embedding_model"]
-    return chunks.join(stored.select(*keys).distinct(), keys, "left_anti")
+    return chunks.join(stored.select(*_REUSE_KEY).distinct(), _REUSE_KEY, "left_anti")
+
+
+def _known_vectors(stored: DataFrame) -> DataFrame:
+    """One vector per key: any of its copies, so no key is larger than a row."""
+    return stored.groupBy(*_REUSE_KEY).agg(F.min("embedding").alias("embedding"))
 
 
 def reuse_embeddings(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     """Chunks joined to the vector stored for the same text, strategy and model.
 
-    The vector of a key is any one of its copies, so the stored side has one row per key and a
-    key that fills a third of the chunks is split by the adaptive skew join.
+    A text that fills a third of the chunks meets one row of the stored side, and the adaptive
+    skew join splits its chunks over many tasks.
     """
-    keys = ["chunk_id", "chunking_strategy", "embedding_model"]
-    known = stored.groupBy(*keys).agg(F.min("embedding").alias("embedding"))
-    return chunks.join(known, keys)
+    return chunks.join(_known_vectors(stored), _REUSE_KEY)
+
+
+def embed_missing(
+    chunks: DataFrame, stored: DataFrame, embedder: Embedder, date_generated: str
+) -> DataFrame:
+    """``embed_chunks`` in which the model only sees texts that have no stored vector."""
+    known = _known_vectors(stored).withColumnRenamed("embedding", "_known")
+    keyed = chunks.withColumn("embedding_model", F.lit(embedder.name))
+    new_text = F.when(F.col("_known").isNull(), F.col("chunk_content"))
+    return (
+        keyed.join(known, _REUSE_KEY, "left")
+        .withColumns(
+            {
+                "embedding": F.coalesce("_known", embed(new_text, embedder)),
+                "date_generated": F.to_date(F.lit(date_generated)),
+            }
+        )
+        .drop("_known")
+    )

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from passageworks import schema
 from passageworks.functions.vectors import METRICS, SCORE_DIGITS
 
-# Question matrices up to this size travel to the tasks; larger sets take the block join.
-MAX_BROADCAST_BYTES = 32 << 20
+# Question sets up to both limits travel to the tasks; larger ones take the block join.
+MAX_SENT_QUESTIONS = 4096
+MAX_SENT_BYTES = 32 << 20
 QUESTIONS_PER_BLOCK = 1024
 VECTORS_PER_BLOCK = 20_000
 CELLS_PER_STEP = 4_000_000
@@ -133,6 +134,7 @@ def _best_rows(
     best = [_Best(k) for _ in range(len(questions))]
     sign = -1.0 if METRICS[metric] else 1.0
     for batch in batches:
+        batch = batch.filter(batch.column("embedding").is_valid())
         if not len(batch):
             continue
         vectors = _matrix(batch.column("embedding"), questions.shape[1])
@@ -234,29 +236,28 @@ def vector_search_batch(
     strategy: str | None = None,
     model: str | None = None,
     is_customer: bool = True,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    max_sent_questions: int = MAX_SENT_QUESTIONS,
 ) -> DataFrame:
     """The best ``k`` distinct chunks of every question, ranked from 1.
 
-    ``questions`` has a unique ``qid`` and an ``embedding``. Question sets up to
-    ``max_broadcast_bytes`` are sent to the scan of the table; larger ones are met in blocks.
+    ``questions`` has a unique ``qid`` and an ``embedding``. Sets up to ``max_sent_questions``
+    and ``MAX_SENT_BYTES`` are sent to the scan of the table; larger ones are met in blocks.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {sorted(METRICS)}")
-    seen = searchable(table, strategy, model, is_customer).filter("embedding is not null")
-    asked = questions.select("qid", "embedding").filter("embedding is not null")
+    seen = searchable(table, strategy, model, is_customer)
+    asked = questions.select("qid", "embedding")
     qid = asked.schema["qid"].dataType
 
-    sample = asked.limit(1).toArrow()
-    dim = len(sample.column("embedding")[0]) if len(sample) else 1
-    most = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
-    small = asked.limit(most + 1).toArrow()
-    if len(small) <= most:
-        qids = small.column("qid").combine_chunks()
-        matrix = _matrix(small.column("embedding").combine_chunks())
+    head = asked.limit(max_sent_questions + 1).toArrow()
+    few = len(head) <= max_sent_questions and head.nbytes <= MAX_SENT_BYTES
+    if few:
+        head = head.filter(head.column("embedding").is_valid())
+        qids = head.column("qid").combine_chunks()
+        matrix = _matrix(head.column("embedding").combine_chunks())
         hits = _score_with_sent_questions(seen, qids, matrix, k, metric, qid)
     else:
-        hits = _score_in_blocks(seen, asked, k, metric, qid)
+        hits = _score_in_blocks(seen, asked.filter("embedding is not null"), k, metric, qid)
 
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*_order(metric)))
     return (
@@ -279,7 +280,7 @@ def vector_search(
     """The best ``k`` distinct chunks for one question vector, best first."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {sorted(METRICS)}")
-    seen = searchable(table, strategy, model, is_customer).filter("embedding is not null")
+    seen = searchable(table, strategy, model, is_customer)
     matrix = np.asarray([question], dtype=np.float64)
     hits = _score_with_sent_questions(
         seen, pa.array([0], pa.int32()), matrix, k, metric, T.IntegerType()

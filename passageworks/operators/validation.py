@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passageworks.schema import VECTOR_TABLE
 
@@ -17,14 +18,21 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return counts.unpivot([], names, "column_name", "null_count")
 
 
-def present(name: str) -> Column:
-    """The column, or an error that stops the job where it is null."""
-    return F.coalesce(
-        F.col(name), F.raise_error(F.lit(f"column {name} must not be null"))
-    ).alias(name)
+def _refuse(name: str) -> Column:
+    return F.raise_error(F.lit(f"column {name} must not be null"))
 
 
-def table_columns(df: DataFrame, strict: bool = True) -> DataFrame:
-    """Exactly the columns of the vector table, in order and of its types."""
-    chosen = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in VECTOR_TABLE])
-    return chosen.select(*[present(c) for c in chosen.columns]) if strict else chosen
+def present(field: T.StructField) -> Column:
+    """The column, or an error that stops the job where it, or an element of it, is null."""
+    column = F.col(field.name)
+    if isinstance(field.dataType, T.ArrayType) and field.dataType.containsNull:
+        column = F.transform(column, lambda x: F.coalesce(x, _refuse(field.name)))
+    return F.coalesce(column, _refuse(field.name)).alias(field.name)
+
+
+def table_columns(df: DataFrame) -> DataFrame:
+    """Exactly the columns of the vector table, in order, of its types and without nulls."""
+    chosen = df.select(*VECTOR_TABLE.fieldNames())
+    return chosen.select(*[present(f) for f in chosen.schema]).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in VECTOR_TABLE]
+    )

@@ -39,7 +39,7 @@ WORD_CHUNKS_SQL = (
 
 def _with_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with each line break made a paragraph break of two or three line breaks."""
-    return inp.read(spark, sf_dir, "documents").select(
+    return inp.read_documents(spark, sf_dir).select(
         "doc_id", F.replace(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit(".\n\n"),
                             F.lit(".\n\n\n")).alias("text")
     )
@@ -61,7 +61,7 @@ def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH made AS (SELECT doc_id, {SENTENCES_SQL.format('text')} AS cs FROM documents) {_EXPLODE}",
 )
 def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(inp.read(spark, sf_dir, "documents"), ch.sentences(F.col("text")))
+    return _chunks(inp.read_documents(spark, sf_dir), ch.sentences(F.col("text")))
 
 
 @query(
@@ -75,7 +75,7 @@ SELECT {_OUT} FROM w WHERE c IS NOT NULL""",
 )
 def chunk_sentence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(
-        inp.read(spark, sf_dir, "documents"), ch.sentence_windows(F.col("text"), width=3)
+        inp.read_documents(spark, sf_dir), ch.sentence_windows(F.col("text"), width=3)
     )
 
 
@@ -85,7 +85,7 @@ def chunk_sentence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 made AS (SELECT doc_id, {WORD_CHUNKS_SQL.format('ws')} AS cs FROM split) {_EXPLODE}""",
 )
 def chunk_every_n_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(inp.read(spark, sf_dir, "documents"), ch.every_n_words(F.col("text"), 100))
+    return _chunks(inp.read_documents(spark, sf_dir), ch.every_n_words(F.col("text"), 100))
 
 
 @query("chunk_recursive")
@@ -105,7 +105,7 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chunk_char_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(
-        inp.read(spark, sf_dir, "documents"), ch.character_windows(F.col("text"), 300, 50)
+        inp.read_documents(spark, sf_dir), ch.character_windows(F.col("text"), 300, 50)
     )
 
 
@@ -143,7 +143,7 @@ SELECT {_OUT} FROM segment"""
 
 @query("chunk_semantic", _SEMANTIC_SQL)
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(inp.read(spark, sf_dir, "documents"), ch.semantic(F.col("text"), inp.MODEL))
+    return _chunks(inp.read_documents(spark, sf_dir), ch.semantic(F.col("text"), inp.MODEL))
 
 
 _MULTI = (st.BY_SENTENCE, st.BY_SENTENCE_WITH_SLIDING_WINDOW, st.EVERY_N_WORDS)

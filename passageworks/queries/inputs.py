@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passageworks.functions.text import basename, sha256_hex
 from passageworks.operators.embedding import HashedWords, embed_question
+from passageworks.sources.spread import spread
 
 MODEL = HashedWords(64)
 QUESTION = "which of the two is there and why"
@@ -17,6 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, over enough tasks for the work that follows on each."""
+    return spread(read(spark, sf_dir, "documents"), "doc_id")
+
+
 def question_vector() -> list[float]:
     return embed_question(QUESTION, MODEL)
 
@@ -42,7 +48,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), suffix)
     return (
-        read(spark, sf_dir, "documents")
+        read_documents(spark, sf_dir)
         .select("doc_id", path.alias("filepath"), "source", F.col("text").alias("document_text"))
         .select(
             "doc_id",

@@ -187,7 +187,7 @@ chunks AS (
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passageworks.functions.text import is_blank
 
-    documents = inp.read(spark, sf_dir, "documents").select(
+    documents = inp.read_documents(spark, sf_dir).select(
         "doc_id",
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias(
             "document_name"

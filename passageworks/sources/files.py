@@ -32,6 +32,22 @@ def allowed(
     return keep & ~basename(path).isin(*deny) if deny else keep
 
 
+def file_rows(
+    binary: DataFrame,
+    extensions: Sequence[str] = ALLOWED_EXTENSIONS,
+    deny: Sequence[str] = (),
+    internal_only: bool = False,
+) -> DataFrame:
+    """The wanted rows of a ``binaryFile`` read: path, name, length, content and access flag."""
+    return binary.filter(allowed(F.col("path"), extensions, deny)).select(
+        local_path(F.col("path")).alias("filepath"),
+        basename(F.col("path")).alias("document_name"),
+        "length",
+        "content",
+        F.lit(internal_only).alias("internal_only"),
+    )
+
+
 def discover_files(
     spark: SparkSession,
     root: str,
@@ -39,20 +55,12 @@ def discover_files(
     deny: Sequence[str] = (),
     internal_only: bool = False,
 ) -> DataFrame:
-    """``filepath, document_name, content, internal_only`` of the files below ``root``.
+    """The files below ``root``; their content is only read by plans that use it.
 
-    The content is only read by plans that use it. Spark passes over files and folders whose
-    names start with ``_`` or ``.``.
+    Spark passes over files and folders whose names start with ``_`` or ``.``.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = local_path(F.col("path"))
-    return found.filter(allowed(F.col("path"), extensions, deny)).select(
-        path.alias("filepath"),
-        basename(path).alias("document_name"),
-        F.col("length"),
-        "content",
-        F.lit(internal_only).alias("internal_only"),
-    )
+    return file_rows(found, extensions, deny, internal_only)
 
 
 def decode_text(content: Column, strict: bool = True) -> Column:
@@ -155,22 +163,35 @@ def text_by_type(
     return escape_sql_text(extracted) if escape else extracted
 
 
-def read_documents(
-    spark: SparkSession,
-    root: str,
-    extensions: Sequence[str] = ALLOWED_EXTENSIONS,
-    deny: Sequence[str] = (),
-    internal_only: bool = False,
+def extracted_documents(
+    files: DataFrame,
     strict: bool = True,
+    indicate_tables: bool = True,
+    table_separator: str = ",",
     escape: bool = False,
 ) -> DataFrame:
     """``filepath, internal_only, document_text, document_name``; empty texts are left out."""
-    files = discover_files(spark, root, extensions, deny, internal_only)
     zipped = F.col("filepath").endswith(".docx")
     # Packages are no text and the others no packages, so each reader sees nulls instead.
     plain = decode_text(F.when(~zipped, F.col("content")), strict)
     packed = docx_text(F.when(zipped, F.col("content")))
-    text = text_by_type(F.col("filepath"), plain, packed, escape=escape)
+    text = text_by_type(
+        F.col("filepath"), plain, packed, indicate_tables, table_separator, escape
+    )
     return files.select(
         "filepath", "internal_only", text.alias("document_text"), "document_name"
     ).filter("document_text <> ''")
+
+
+def read_documents(
+    spark: SparkSession,
+    root: str,
+    extensions: Sequence[str] = ALLOWED_EXTENSIONS,
+    deny: Sequence[str] = (),
+    internal_only: bool = False,
+    **how,
+) -> DataFrame:
+    """Discover and extract; ``how`` are the options of ``extracted_documents``."""
+    return extracted_documents(
+        discover_files(spark, root, extensions, deny, internal_only), **how
+    )

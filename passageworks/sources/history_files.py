@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passageworks import schema
-from passageworks.functions.text import basename, unify_newlines
+from passageworks.functions.text import unify_newlines
 from passageworks.operators.history import classify
 
 
 def read_history_files(
-    spark: SparkSession, path: str, separator: str = schema.HISTORY_SEPARATOR
+    spark: SparkSession,
+    path: str,
+    separator: str = schema.HISTORY_SEPARATOR,
+    session: str = r"/(?:chat_history_)?([^/]*?)(?:\.txt)?$",
 ) -> DataFrame:
-    """``conv_id, turn, role, text`` of all sessions; ``conv_id`` is the file's session id.
+    """``conv_id, turn, role, text`` of all sessions; ``session`` finds the id in a file's path.
 
     The separator is the reader's line end: a message is a row from the start, and a history of
     any size is read by many tasks. A turn is its place in its split behind the turns of the
@@ -36,12 +39,11 @@ def read_history_files(
         "_file", "_split", (F.sum("_size").over(before) - F.col("_size")).alias("_start")
     )
     place = F.row_number().over(Window.partitionBy("_file", "_split").orderBy("_at"))
-    session = F.regexp_extract(basename(F.col("_file")), r"^(?:chat_history_)?(.*?)(?:\.txt)?$", 1)
     return (
         messages.withColumn("_place", place)
         .join(starts, ["_file", "_split"])
         .select(
-            session.alias("conv_id"),
+            F.regexp_extract("_file", session, 1).alias("conv_id"),
             (F.col("_start") + F.col("_place") - 1).alias("turn"),
             "role",
             "text",
