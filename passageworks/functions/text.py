@@ -178,12 +178,12 @@ def replace_html_tables(
     """Every table element replaced by its paragraph; a page without one is left as it is."""
     marked = F.regexp_replace(html, r"(?is)(<table\b[^>]*>.*?</table\s*>)", "\u0001$1\u0001")
     return F.when(
-        F.contains(html, F.lit("<table")),
+        html.rlike("(?i)<table"),
         F.array_join(
             F.transform(
                 F.split(marked, "\u0001", -1),
                 lambda part: F.when(
-                    part.startswith("<table"),
+                    part.rlike("(?i)^<table"),
                     linearize_html_table(part, indicate_table, separator),
                 ).otherwise(part),
             ),
@@ -193,9 +193,8 @@ def replace_html_tables(
 
 
 def html_to_text(html: Column, indicate_table: bool = True, separator: str = ",") -> Column:
-    return unescape_entities(
-        _without_markup(replace_html_tables(html, indicate_table, separator))
-    )
+    bare = _without_markup(replace_html_tables(html, indicate_table, separator))
+    return let(bare, unescape_entities)
 
 
 def linearize_cells(rows: Column, n_columns: Column) -> Column:
@@ -215,56 +214,104 @@ def linearize_cells(rows: Column, n_columns: Column) -> Column:
 
 # ---------------------------------------------------------------- Markdown
 
-_TABLE_ROW = r"^\s*\|.*\|\s*$"
-_TABLE_RULE = r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"
+# Marks inside code are set aside as control characters while the line's other marks go.
+_CODE_MARKS = "*_~[]<>&"
+_SET_ASIDE = "".join(chr(0x0E + i) for i in range(len(_CODE_MARKS)))
+_WORD = r"\p{L}\p{N}_"
+_TARGET = r"\([^()]*(?:\([^()]*\)[^()]*)?\)"
+
+# Every pattern stops at the next mark of its kind, so a line is read once, not once per mark.
+# None repeats a group: the engine would recurse for each repetition of it on a long line.
+_INLINE = [
+    (rf"!\[[^\[\]]*\]{_TARGET}", ""),  # images have no text
+    (rf"\[([^\[\]]*)\]{_TARGET}", "$1"),  # links keep their label
+    (r"<((?:https?|mailto):[^<>\s]*)>", "$1"),
+    (r"</?[a-zA-Z][a-zA-Z0-9-]*(?:\s[^<>]*)?/?>", ""),
+    (r"(?<!\*)\*(?=[^\s*])([^*]*)(?<!\s)\*(?!\*)", "$1"),
+    (r"\*\*(?=[^\s*])([^*]*)(?<!\s)\*\*", "$1"),
+    (r"(?<!\*)\*(?=[^\s*])([^*]*)(?<!\s)\*(?!\*)", "$1"),
+    (rf"(?<![{_WORD}])_(?=[^\s_])([^_]*)(?<!\s)_(?![{_WORD}])", "$1"),
+    (rf"(?<![{_WORD}])__(?=[^\s_])([^_]*)(?<!\s)__(?![{_WORD}])", "$1"),
+    (r"~~(?=[^\s~])([^~]*)(?<!\s)~~", "$1"),
+]
+
+# Quote marks, heading marks and list marks at the start of a line.
+_BLOCK = [
+    (r"^ {0,3}>[> ]*", ""),
+    (r"^ {0,3}#{1,6}(?:[ \t]+|$)", ""),
+    (r"^[ \t]*+(?:[-*+]|[0-9]{1,9}[.)])[ \t]+", ""),
+]
+
+
+def _replace_all(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in steps:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def _code_set_aside(line: Column) -> Column:
+    """Code spans without their backticks; a line with an odd number of them has none."""
+
+    def by_part(parts: Column) -> Column:
+        balanced = F.size(parts) % 2 == 1
+        aside = F.transform(
+            parts,
+            lambda p, i: F.when(i % 2 == 1, F.translate(p, _CODE_MARKS, _SET_ASIDE)).otherwise(p),
+        )
+        return F.when(balanced, F.array_join(aside, "")).otherwise(line)
+
+    return F.when(F.contains(line, F.lit("`")), let(F.split(line, "`", -1), by_part)).otherwise(
+        line
+    )
 
 
 def _inline_markdown(line: Column) -> Column:
-    steps = [
-        (r"!\[[^\]]*\]\([^)]*\)", ""),  # images have no text
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),  # links keep their label
-        (r"`([^`]+)`", "$1"),
-        (r"\*\*(?=\S)(.+?)(?<=\S)\*\*", "$1"),
-        (r"(?<![\p{L}\p{N}_])__(?=\S)(.+?)(?<=\S)__(?![\p{L}\p{N}_])", "$1"),
-        (r"\*(?=[^\s*])(.+?)(?<=[^\s*])\*", "$1"),
-        (r"(?<![\p{L}\p{N}_])_(?=[^\s_])(.+?)(?<=[^\s_])_(?![\p{L}\p{N}_])", "$1"),
-        (r"~~(?=\S)(.+?)(?<=\S)~~", "$1"),
-    ]
-    for pattern, replacement in steps:
-        line = F.regexp_replace(line, pattern, replacement)
-    return line
-
-
-def _block_markdown(line: Column) -> Column:
-    """Heading marks, quote marks, list marks and horizontal rules of one line."""
-    steps = [
-        (r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$", ""),
-        (r"^ {0,3}(?:> ?)+", ""),
-        (r"^ {0,3}#{1,6}(?:[ \t]+|$)", ""),
-        (r"^[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+", ""),
-    ]
-    for pattern, replacement in steps:
-        line = F.regexp_replace(line, pattern, replacement)
-    return line
+    def without_marks(text: Column) -> Column:
+        plain = _replace_all(_code_set_aside(text), _INLINE)
+        # References are resolved here, so that those inside code stay as they are written.
+        resolved = let(plain, unescape_entities)
+        return F.translate(resolved, _SET_ASIDE, _CODE_MARKS)
+
+    return let(line, lambda x: F.when(x.rlike(r"[*_~`\[<&]"), without_marks(x)).otherwise(x))
+
+
+def _is_table_rule(line: Column) -> Column:
+    return (
+        F.contains(line, F.lit("|"))
+        & F.contains(line, F.lit("-"))
+        & (F.translate(line, " \t|:-", "") == "")
+    )
+
+
+def _is_horizontal_rule(line: Column) -> Column:
+    """Three or more of one mark and nothing else but spaces."""
+    marks = F.translate(line, " \t", "")
+    same = [F.translate(marks, mark, "") == "" for mark in "*-_"]
+    return (F.char_length(marks) >= 3) & (same[0] | same[1] | same[2])
+
+
+def _table_row(line: Column, separator: str) -> Column:
+    """The cells between the outer pipes, joined by the separator."""
+    inner = strip(line)
+    inner = F.substring(inner, F.lit(2), F.char_length(inner) - 2)
+    cells = F.transform(F.split(inner, r"\|", -1), lambda c: _inline_markdown(strip(c)))
+    return F.array_join(cells, separator)
 
 
 def _markdown_lines(part: Column, indicate_tables: bool, separator: str) -> Column:
     def convert(lines: Column) -> Column:
         def line(text: Column, i: Column) -> Column:
-            following = F.get(lines, i + 1)
-            row = F.regexp_replace(text, r"^\s*\|\s*|\s*\|\s*$", "")
-            row = _inline_markdown(F.regexp_replace(row, r"\s*\|\s*", separator))
+            row = _table_row(text, separator)
             if indicate_tables:
-                is_head = F.coalesce(following.rlike(_TABLE_RULE), F.lit(False))
-                is_head = is_head & F.contains(following, F.lit("|"))
+                is_head = F.coalesce(_is_table_rule(F.get(lines, i + 1)), F.lit(False))
                 row = F.when(is_head, F.concat(F.lit("Table:\n"), row)).otherwise(row)
+            bare = strip(text)
+            is_row = bare.startswith("|") & bare.endswith("|") & (F.char_length(bare) > 1)
             return (
-                F.when(
-                    text.rlike(_TABLE_RULE) & F.contains(text, F.lit("|")),
-                    F.lit(None).cast("string"),
-                )
-                .when(text.rlike(_TABLE_ROW), row)
-                .otherwise(_inline_markdown(_block_markdown(text)))
+                F.when(_is_table_rule(text), F.lit(None).cast("string"))
+                .when(_is_horizontal_rule(text), F.lit(""))
+                .when(is_row, row)
+                .otherwise(_inline_markdown(_replace_all(text, _BLOCK)))
             )
 
         # array_join leaves out the null that stands for a table's rule line.
@@ -281,15 +328,12 @@ def markdown_to_text(
     Fenced code is kept as it stands; blank lines between blocks become one line break.
     """
     parts = F.split(text, r"(?m)^ {0,3}```[^\n]*(?:\n|\z)", -1)
-    converted = F.array_join(
-        F.transform(
-            parts,
-            lambda part, i: F.when(i % 2 == 1, part).otherwise(
-                F.regexp_replace(
-                    _markdown_lines(part, indicate_tables, table_separator), r"\n{2,}", "\n"
-                )
-            ),
+    converted = F.transform(
+        parts,
+        lambda part, i: F.when(i % 2 == 1, part).otherwise(
+            F.regexp_replace(
+                _markdown_lines(part, indicate_tables, table_separator), r"\n{2,}", "\n"
+            )
         ),
-        "",
     )
-    return unescape_entities(F.regexp_replace(converted, r"^\n+", ""))
+    return F.regexp_replace(F.array_join(converted, ""), r"^\n+", "")

@@ -32,7 +32,8 @@ def present(field: T.StructField) -> Column:
 
 def table_columns(df: DataFrame) -> DataFrame:
     """Exactly the columns of the vector table, in order, of its types and without nulls."""
+    types = [f.dataType.simpleString() for f in VECTOR_TABLE]
     chosen = df.select(*VECTOR_TABLE.fieldNames())
-    return chosen.select(*[present(f) for f in chosen.schema]).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in VECTOR_TABLE]
+    return chosen.select(
+        *[present(f).cast(t).alias(f.name) for f, t in zip(chosen.schema, types)]
     )

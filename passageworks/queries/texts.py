@@ -10,6 +10,7 @@ from passageworks.operators import strategies as st
 from passageworks.queries import inputs as inp
 from passageworks.queries.registry import query
 from passageworks.sources.files import allowed, text_by_type
+from passageworks.sources.spread import spread
 
 
 @query(
@@ -74,7 +75,7 @@ SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', '
   '&copy;', '©'), '&amp;', '&') AS text FROM bare""",
 )
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inp.read(spark, sf_dir, "pages").select(
+    return spread(inp.read(spark, sf_dir, "pages"), "page_id").select(
         "page_id", tx.html_to_text(F.col("html")).alias("text")
     )
 

@@ -24,6 +24,9 @@ from passageworks.functions.text import (
 from passageworks.schema import ALLOWED_EXTENSIONS
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def allowed(
     path: Column, extensions: Sequence[str] = ALLOWED_EXTENSIONS, deny: Sequence[str] = ()
 ) -> Column:
@@ -57,7 +60,8 @@ def discover_files(
 ) -> DataFrame:
     """The files below ``root``; their content is only read by plans that use it.
 
-    Spark passes over files and folders whose names start with ``_`` or ``.``.
+    Spark passes over empty files, which have no text to extract, and over files and folders
+    whose names start with ``_`` or ``.``.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return file_rows(found, extensions, deny, internal_only)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passageworks.operators.embedding import Embedder
 from passageworks.plans.ingest import ingest
-from passageworks.sources.files import extracted_documents, file_rows
+from passageworks.sources.files import BINARY_FILE, extracted_documents, file_rows
 
 
 def ingest_arriving_files(
@@ -29,7 +29,8 @@ def ingest_arriving_files(
     after a failure appends only rows that are not in the table yet.
     """
     arriving = (
-        spark.readStream.format("binaryFile")
+        spark.readStream.schema(BINARY_FILE)
+        .format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
