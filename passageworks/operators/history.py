@@ -118,11 +118,11 @@ def trim_history(
     fitting = near_end.withColumn(
         "_used", F.col("_later") + F.sum("_tokens").over(suffix)
     ).filter("_system or _used <= _budget")
-    first_user = (
-        fitting.filter("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("_first"))
-    )
+    # What fits is short, so it may be seen whole; system messages stand alone in their windows.
+    whole = Window.partitionBy("conv_id", F.when(F.col("_system"), F.col("turn")))
+    first_user = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(whole)
     return (
-        fitting.join(first_user, "conv_id", "left")
+        fitting.withColumn("_first", first_user)
         .filter("_system or turn >= _first")
         .select(*messages.columns)
     )

@@ -88,11 +88,53 @@ def chunk_every_n_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(inp.read_documents(spark, sf_dir), ch.every_n_words(F.col("text"), 100))
 
 
-@query("chunk_recursive")
+# Cut points of lines, or of the words of a line of 300 characters and more; then one chunk
+# per step of the recursion: as many pieces as fit, and back by at most 50 characters.
+_RECURSIVE_SQL = f"""WITH RECURSIVE split AS (
+  SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) - 1 AS i
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+ends AS (
+  SELECT *, (sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS e FROM split),
+lines AS (
+  SELECT *, e - length(s) - (i > 0)::INT AS b, length(s) + (i > 0)::INT >= 300 AS is_long FROM ends
+  WHERE length(s) + (i > 0)::INT > 0),
+numbered AS (
+  SELECT *, sum(is_long::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM lines),
+short_runs AS (
+  SELECT doc_id, min(b) AS run_start, list_append(list(b ORDER BY b), max(e)) AS cuts
+  FROM numbered WHERE NOT is_long GROUP BY doc_id, g),
+words AS (
+  SELECT doc_id, b, e, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j
+  FROM (SELECT doc_id, b, e, string_split(CASE WHEN i > 0 THEN chr(10) ELSE '' END || s, ' ') AS ws
+        FROM numbered WHERE is_long)),
+starts AS (
+  SELECT doc_id, b, e, greatest(b, b + (sum(length(w) + 1) OVER (
+    PARTITION BY doc_id, b ORDER BY j))::BIGINT - length(w) - 2) AS c FROM words),
+long_runs AS (
+  SELECT doc_id, b AS run_start, list_append(list(DISTINCT c ORDER BY c), max(e)) AS cuts
+  FROM starts GROUP BY doc_id, b),
+runs AS (SELECT * FROM short_runs UNION ALL SELECT * FROM long_runs),
+steps AS (
+  SELECT doc_id, run_start, cuts, 1::BIGINT AS f,
+         len(list_filter(cuts, lambda c: c <= cuts[1] + 300)) AS e FROM runs
+  UNION ALL
+  SELECT doc_id, run_start, cuts, f, len(list_filter(cuts, lambda c: c <= cuts[f] + 300)) AS e
+  FROM (SELECT doc_id, run_start, cuts, greatest(f, least(e, 1 + len(list_filter(cuts,
+          lambda c: c < greatest(cuts[e] - 50, cuts[e + 1] - 300))))) AS f
+        FROM steps WHERE e < len(cuts))),
+pieces AS (
+  SELECT doc_id, run_start, f, trim(substring(text, cuts[f] + 1, cuts[e] - cuts[f]), ' ' || chr(10)) AS c
+  FROM steps JOIN documents USING (doc_id)),
+made AS (
+  SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY run_start, f) - 1 AS chunk_no
+  FROM pieces WHERE c <> '')
+SELECT {_OUT} FROM made"""
+
+
+@query("chunk_recursive", _RECURSIVE_SQL)
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: the greedy merge is checked against a plain program in the tests."""
     return _chunks(
-        _with_blank_lines(spark, sf_dir), ch.recursive_characters(F.col("text"), 300, 50)
+        inp.read_documents(spark, sf_dir), ch.recursive_characters(F.col("text"), 300, 50)
     )
 
 

@@ -30,9 +30,16 @@ def _score_sql(name: str, a: str, b: str) -> str:
     return f"round({_SQL_METRIC[name].format(a=a, b=b)}, 9)"
 
 
+_KEY = {
+    "euclidean_distance": "metric_euclidean",
+    "manhattan_distance": "metric_manhattan",
+    "squared_euclidean_distance": "metric_sq_euclidean",
+}
+
+
 def _register_metric(name: str) -> None:
     @query(
-        f"metric_{name}",
+        _KEY.get(name, f"metric_{name}"),
         f"""WITH {inp.QUESTION_VECTOR}
 SELECT vec_id, {_score_sql(name, 'e.embedding::DOUBLE[]', 'q.v')} AS score
 FROM embeddings e, q_dense q""",
