@@ -45,8 +45,8 @@ def ingest(
     and ``document_text``.
     """
     chunks = chunk_documents(documents, list(strategies), sizes, embedder)
-    if vt.exists(spark, table_path):
-        table = vt.read_vector_table(spark, table_path)
+    table = vt.find_vector_table(spark, table_path)
+    if table is not None:
         st.check_strategies(spark, table, [st.label(s, sizes) for s in strategies], on_mismatch)
         keyed = chunks.withColumn("embedding_model", F.lit(embedder.name))
         embedded = embed_missing(vt.only_new(keyed, table), table, embedder, date_generated)

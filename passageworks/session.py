@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
-
 # Adaptive execution coalesces small shuffle partitions and splits skewed ones.
 # Documents are wide rows, so Arrow batches are kept short: one batch must stay far
 # below the 2 GB limit of a string column even with texts of a megabyte.
@@ -45,18 +43,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
-
-    Not needed where it is installed on the executors.
-    """
-    application = spark.sparkContext.applicationId
-    if application in _shipped:
-        return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="passageworks-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for source in sorted(package.rglob("*.py")):
-            z.write(source, source.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(application)
+def send_code_with_tasks() -> None:
+    """Pickle this package's functions by value, for workers on which it is not installed."""
+    cloudpickle.register_pickle_by_value(importlib.import_module(__package__))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +38,14 @@ def read_vector_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VECTOR_TABLE).parquet(path).select(*VECTOR_TABLE.fieldNames())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there, asked of the file system the path names."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def find_vector_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or nothing where no folder is."""
+    try:
+        return read_vector_table(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def only_new(chunks: DataFrame, table: DataFrame) -> DataFrame:
