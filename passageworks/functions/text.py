@@ -287,7 +287,9 @@ def _is_horizontal_rule(line: Column) -> Column:
     """Three or more of one mark and nothing else but spaces."""
     marks = F.translate(line, " \t", "")
     same = [F.translate(marks, mark, "") == "" for mark in "*-_"]
-    return (F.char_length(marks) >= 3) & (same[0] | same[1] | same[2])
+    # The pattern lets most lines go at their first character.
+    only_marks = line.rlike(r"^[ \t]*[-*_][-*_ \t]*$")
+    return only_marks & (F.char_length(marks) >= 3) & (same[0] | same[1] | same[2])
 
 
 def _table_row(line: Column, separator: str) -> Column:
@@ -306,7 +308,8 @@ def _markdown_lines(part: Column, indicate_tables: bool, separator: str) -> Colu
                 is_head = F.coalesce(_is_table_rule(F.get(lines, i + 1)), F.lit(False))
                 row = F.when(is_head, F.concat(F.lit("Table:\n"), row)).otherwise(row)
             bare = strip(text)
-            is_row = bare.startswith("|") & bare.endswith("|") & (F.char_length(bare) > 1)
+            is_row = F.contains(text, F.lit("|")) & bare.startswith("|") & bare.endswith("|")
+            is_row = is_row & (F.char_length(bare) > 1)
             return (
                 F.when(_is_table_rule(text), F.lit(None).cast("string"))
                 .when(_is_horizontal_rule(text), F.lit(""))

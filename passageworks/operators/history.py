@@ -80,7 +80,7 @@ def trim_history(
 ) -> DataFrame:
     """The last whole messages that fit the budget, starting on a user message.
 
-    System messages are kept and use up budget first. Turns are weighed in blocks before they
+    A system message at turn 0 is kept and uses up budget first. Turns are weighed in blocks before they
     are ordered one by one, so of a conversation of any length only the blocks near its end are
     ever sorted.
     """
@@ -89,10 +89,10 @@ def trim_history(
         {
             "_tokens": cost.cast("long"),
             "_block": F.floor(F.col("turn") / turns_per_block),
-            "_system": F.col("role") == "system",
+            "_system": (F.col("role") == "system") & (F.col("turn") == 0),
         }
     )
-    # Newest first: tokens in later blocks, without the system messages.
+    # Newest first: tokens in later blocks, without the system message.
     blocks = weighed.groupBy("conv_id", "_block").agg(
         F.sum(F.when(F.col("_system"), F.lit(0)).otherwise(F.col("_tokens"))).alias("_in_block"),
         F.sum(F.when(F.col("_system"), F.col("_tokens")).otherwise(F.lit(0))).alias("_reserved"),
@@ -118,9 +118,10 @@ def trim_history(
     fitting = near_end.withColumn(
         "_used", F.col("_later") + F.sum("_tokens").over(suffix)
     ).filter("_system or _used <= _budget")
-    # What fits is short, so it may be seen whole; system messages stand alone in their windows.
-    whole = Window.partitionBy("conv_id", F.when(F.col("_system"), F.col("turn")))
-    first_user = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(whole)
+    # What fits the budget is short, so it may be seen whole.
+    first_user = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(
+        Window.partitionBy("conv_id")
+    )
     return (
         fitting.withColumn("_first", first_user)
         .filter("_system or turn >= _first")

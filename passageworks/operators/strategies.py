@@ -105,6 +105,11 @@ def missing_strategies_except(requested: DataFrame, table: DataFrame) -> DataFra
     return requested.select("chunking_strategy").subtract(table.select("chunking_strategy"))
 
 
+def labels_frame(spark: SparkSession, labels: list[str]) -> DataFrame:
+    values = F.array(*[F.lit(x) for x in labels])
+    return spark.range(1).select(F.explode(values).alias("chunking_strategy"))
+
+
 def check_strategies(
     spark: SparkSession, table: DataFrame, labels: list[str], on_mismatch: str = "error"
 ) -> list[str]:
@@ -114,7 +119,7 @@ def check_strategies(
     """
     if on_mismatch not in ("error", "warn", "ignore"):
         raise ValueError(f"unknown policy {on_mismatch!r}")
-    requested = spark.createDataFrame([(x,) for x in labels], "chunking_strategy string")
+    requested = labels_frame(spark, labels)
     found = sorted(r[0] for r in missing_strategies(requested, table).collect())
     if found and on_mismatch == "error":
         raise StrategyMismatch(

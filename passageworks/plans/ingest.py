@@ -37,6 +37,7 @@ def ingest(
     sizes: st.ChunkSizes = st.ChunkSizes(),
     on_mismatch: str = "error",
     rows_per_file: int = 0,
+    compact: bool = False,
 ) -> None:
     """Chunk, embed and append ``documents``; rows the table already holds are left alone.
 
@@ -52,4 +53,4 @@ def ingest(
         embedded = embed_missing(vt.only_new(keyed, table), table, embedder, date_generated)
     else:
         embedded = embed_chunks(chunks, embedder, date_generated)
-    vt.write_vector_table(embedded, table_path, rows_per_file)
+    vt.write_vector_table(embedded, table_path, rows_per_file, compact=compact)

@@ -108,8 +108,7 @@ def validate_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requested(spark: SparkSession) -> DataFrame:
-    labels = [(st.label(s),) for s in st.STRATEGIES]
-    return spark.createDataFrame(labels, "chunking_strategy string")
+    return st.labels_frame(spark, [st.label(s) for s in st.STRATEGIES])
 
 
 _REQUESTED_SQL = "requested(chunking_strategy) AS (VALUES {})".format(

@@ -16,17 +16,23 @@ FORMATS = ("parquet", "json")
 
 
 def write_vector_table(
-    df: DataFrame, path: str, rows_per_file: int = 0, mode: str = "append"
+    df: DataFrame,
+    path: str,
+    rows_per_file: int = 0,
+    mode: str = "append",
+    compact: bool = False,
 ) -> None:
     """Append rows: NOT NULL checked, chunks of mere white space left out.
 
-    The rebalance hint groups rows by folder and lets adaptive execution split a folder that
-    holds most of the rows over many tasks, and merge small ones into one file.
+    Each task writes its own rows, a file per folder, without a shuffle. ``compact`` is for
+    loads of many small tasks: rows are gathered by folder first, and adaptive execution merges
+    small shares and splits the folder that holds most rows.
     """
     rows = table_columns(df).filter(~is_blank(F.col("chunk_content")))
+    if compact:
+        rows = rows.hint("rebalance", *LAYOUT)
     (
-        rows.hint("rebalance", *LAYOUT)
-        .sortWithinPartitions(*LAYOUT, "date_generated", "document_id")
+        rows.sortWithinPartitions(*LAYOUT, "date_generated", "document_id")
         .write.mode(mode)
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*LAYOUT)

@@ -39,7 +39,13 @@ def ingest_arriving_files(
 
     def load(batch: DataFrame, _: int) -> None:
         ingest(
-            batch.sparkSession, identify(batch), table_path, embedder, date_generated, **options
+            batch.sparkSession,
+            identify(batch),
+            table_path,
+            embedder,
+            date_generated,
+            compact=True,
+            **options,
         )
 
     return (
