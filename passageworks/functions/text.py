@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -51,6 +52,11 @@ def local_path(uri: Column) -> Column:
     return F.regexp_replace(uri, r"^file:(//)?(?=/)", "")
 
 
+def local_root(uri: str) -> str:
+    """``local_path`` for one path given as text."""
+    return re.sub(r"^file:(//)?(?=/)", "", uri)
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, r"/+$", ""), "/"), -1)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,12 +23,20 @@ def parse_name_status(diffs: DataFrame, diff: str = "diff") -> DataFrame:
     )
 
 
-def touched_paths(changes: DataFrame, branch: str | None = None) -> DataFrame:
-    """``commit_hash, seq, path`` of the changes on a branch that left a file in place."""
+def touched_paths(
+    changes: DataFrame, branch: str | None = None, folder: Column | None = None
+) -> DataFrame:
+    """``commit_hash, seq, path`` of the changes on a branch that left a file in place.
+
+    ``folder`` is put before the paths of the log, which are relative to their repository.
+    """
     if branch is not None:
         changes = changes.filter(F.col("branch") == branch)
+    path = F.col("new_path")
+    if folder is not None:
+        path = F.concat(folder, F.lit("/"), path)
     return changes.filter(~F.col("change_type").isin("D", "DELETE")).select(
-        "commit_hash", "seq", F.col("new_path").alias("path")
+        "commit_hash", "seq", path.alias("path")
     )
 
 

@@ -20,26 +20,27 @@ def number_rows(
 ) -> DataFrame:
     """Dense numbers from 1 within ``keys`` in ``order``, without one task per key.
 
-    ``block`` cuts a key into ordered ranges: it must never decrease along ``order``. Rows are
+    ``block`` cuts a key into ordered ranges: never null, never less along ``order``. Rows are
     shuffled once by (keys, block); only one count per block is ordered within a key.
     """
-    cells = [*keys, "_block"]
-    placed = df.withColumn("_block", block)
+    # A struct is never null, so rows whose key is null are numbered like any other.
+    cells = ["_key", "_block"]
+    placed = df.withColumns({"_key": F.struct(F.lit(0), *keys), "_block": block})
     sizes = placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("_size"))
     earlier = (
-        Window.partitionBy(*keys)
+        Window.partitionBy("_key")
         .orderBy("_block")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     offsets = sizes.withColumn("_offset", F.sum("_size").over(earlier) - F.col("_size"))
     if total:
-        offsets = offsets.withColumn(total, F.sum("_size").over(Window.partitionBy(*keys)))
+        offsets = offsets.withColumn(total, F.sum("_size").over(Window.partitionBy("_key")))
     inside = F.row_number().over(Window.partitionBy(*cells).orderBy(*order))
     return (
         placed.withColumn("_inside", inside)
         .join(offsets.drop("_size"), cells)
         .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_block", "_inside", "_offset")
+        .drop(*cells, "_inside", "_offset")
     )
 
 

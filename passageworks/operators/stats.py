@@ -14,8 +14,9 @@ def ingest_counts(documents: DataFrame, chunks: DataFrame, group: str = "repo_na
         F.count(F.lit(1)).alias("files"),
         F.count_if(F.col("document_version").isNull()).alias("unversioned"),
     )
-    made = chunks.groupBy(group).agg(F.count(F.lit(1)).alias("chunks"))
-    return files.join(made, group, "left").na.fill(0, ["chunks"])
+    made = chunks.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("chunks"))
+    joined = files.join(made, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+    return joined.na.fill(0, ["chunks"])
 
 
 def share_of_total(
@@ -26,9 +27,11 @@ def share_of_total(
     The whole is summed from the parts, so the rows are shuffled once and then only their sums.
     """
     parts = df.groupBy(*part).agg(F.sum(amount).alias("amount"))
-    wholes = parts.groupBy(*whole).agg(F.sum("amount").alias("_whole"))
+    # A struct is never null, so a null key has a whole like any other.
+    keyed = parts.withColumn("_key", F.struct(F.lit(0), *whole))
+    wholes = keyed.groupBy("_key").agg(F.sum("amount").alias("_whole"))
     share = F.try_divide(F.col("amount").cast("double") * 100, F.col("_whole").cast("double"))
-    return parts.join(wholes, list(whole)).select(
+    return keyed.join(wholes, "_key").select(
         *part, "amount", F.round(share, digits).alias("share")
     )
 

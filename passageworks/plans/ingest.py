@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageworks.functions.text import repo_of, sha256_hex
+from passageworks.functions.text import local_root, repo_of, sha256_hex
 from passageworks.operators import strategies as st
 from passageworks.operators.chunking import chunk_documents
 from passageworks.operators.embedding import Embedder, embed_chunks, embed_missing
-from passageworks.operators.lineage import with_versions
+from passageworks.operators.lineage import touched_paths, with_versions
 from passageworks.sources import vector_table as vt
+from passageworks.sources.files import read_documents
+
+
+@dataclass(frozen=True)
+class Repo:
+    """A folder of documents below the corpus root."""
+
+    name: str
+    main_branch: str = "main"
+    internal_only: bool = False
 
 
 def with_identity(files: DataFrame, touched: DataFrame, root: str) -> DataFrame:
@@ -27,6 +38,32 @@ def with_identity(files: DataFrame, touched: DataFrame, root: str) -> DataFrame:
     )
 
 
+def read_corpus(
+    spark: SparkSession,
+    root: str,
+    repos: Sequence[Repo],
+    changes: DataFrame,
+    deny: Sequence[str] = (),
+    **how,
+) -> DataFrame:
+    """The documents of all repositories below ``root`` in one read, ready for ``ingest``.
+
+    ``changes`` is the change log of all of them (``repo_name, commit_hash, seq, branch,
+    change_type, new_path``); of each repository only its main branch counts.
+    """
+    root = root.rstrip("/")
+    dimension = spark.createDataFrame(
+        [(r.name, r.main_branch, r.internal_only) for r in repos],
+        "repo_name string, branch string, internal_only boolean",
+    )
+    files = read_documents(spark, [f"{root}/{r.name}" for r in repos], deny=deny, **how)
+    on_main = changes.join(dimension.select("repo_name", "branch"), ["repo_name", "branch"])
+    folder = F.concat(F.lit(local_root(root) + "/"), "repo_name")
+    touched = touched_paths(on_main, folder=folder)
+    found = with_identity(files.drop("internal_only"), touched, local_root(root))
+    return found.join(dimension.select("repo_name", "internal_only"), "repo_name")
+
+
 def ingest(
     spark: SparkSession,
     documents: DataFrame,

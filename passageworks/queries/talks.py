@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from passageworks.functions.text import strip
 from passageworks.operators import history as hi
+from passageworks.plans.answer import prompts
 from passageworks.queries import inputs as inp
 from passageworks.queries.registry import query
+from passageworks.queries.vectors import BATCH_SQL
 from passageworks.schema import HISTORY_SEPARATOR
 
 
@@ -66,11 +68,12 @@ def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hi.append_turns(history, new)
 
 
-_TRIM_SQL = """WITH cost AS (
+def _trim_sql(source: str, budget: int) -> str:
+    return f"""cost AS (
   SELECT *, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::BIGINT AS n
-  FROM conversations),
+  FROM {source}),
 budget AS (
-  SELECT conv_id, 200 - coalesce(sum(n) FILTER (role = 'system'), 0) AS budget
+  SELECT conv_id, {budget} - coalesce(sum(n) FILTER (role = 'system'), 0) AS budget
   FROM cost GROUP BY conv_id),
 used AS (
   SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC
@@ -79,26 +82,29 @@ fit AS (SELECT used.* FROM used JOIN budget USING (conv_id) WHERE used <= budget
 first AS (SELECT conv_id, min(turn) AS first FROM fit WHERE role = 'user' GROUP BY conv_id),
 kept AS (
   SELECT conv_id, turn, role, text FROM fit JOIN first USING (conv_id) WHERE turn >= first
-  UNION ALL SELECT conv_id, turn, role, text FROM cost WHERE role = 'system')
+  UNION ALL SELECT conv_id, turn, role, text FROM cost WHERE role = 'system'),
+talk AS (
+  SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS talk
+  FROM kept GROUP BY conv_id)
 """
 
 
+_TRIM_SQL = "WITH " + _trim_sql("conversations", 200)
+
+
 @query("history_trim", _TRIM_SQL + "SELECT * FROM kept")
 def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hi.trim_history(_turns(spark, sf_dir), 200)
 
 
 TEMPLATE = "Answer from the context only.\nContext:\n{context}\nEnd of context."
+_TEMPLATE_SQL = " || chr(10) || ".join(f"'{line}'" for line in TEMPLATE.split("\n"))
 
 
 @query(
     "assemble_prompt",
     _TRIM_SQL
-    + """, talk AS (
-  SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS talk
-  FROM kept GROUP BY conv_id)
-SELECT talk.conv_id, replace('Answer from the context only.' || chr(10) || 'Context:' || chr(10)
-  || '{context}' || chr(10) || 'End of context.', '{context}', coalesce(b.text, ''))
+    + f"""SELECT talk.conv_id, replace({_TEMPLATE_SQL}, '{{context}}', coalesce(b.text, ''))
   || chr(10) || talk AS prompt
 FROM talk LEFT JOIN benchmark b ON b.item_id = conv_id""",
 )
@@ -145,3 +151,35 @@ def render_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select(
         "conv_id", "turn", hi.render_message(F.col("role"), F.col("text")).alias("lines")
     )
+
+
+@query(
+    "answer_prompts",
+    BATCH_SQL
+    + f""", context AS (
+  SELECT qid AS conv_id, string_agg(chunk_content, chr(10) || chr(10) ORDER BY rank)
+    || chr(10) || chr(10) AS context FROM ranked WHERE rank <= 10 GROUP BY qid),
+last AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+grown AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  WHERE conv_id IN (SELECT item_id FROM benchmark)
+  UNION ALL SELECT item_id, coalesce(last, -1) + 1, 'user', trim(text, ' ' || chr(10))
+  FROM benchmark LEFT JOIN last ON conv_id = item_id),
+{_trim_sql('grown', 400)}
+SELECT talk.conv_id, replace({_TEMPLATE_SQL}, '{{context}}', coalesce(context, ''))
+  || chr(10) || talk AS prompt
+FROM talk LEFT JOIN context USING (conv_id)""",
+)
+def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from a question in a conversation to the prompt of a model."""
+    questions = inp.read(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("conv_id"), F.col("text").alias("question")
+    )
+    return prompts(
+        inp.vector_table(spark, sf_dir),
+        questions,
+        _turns(spark, sf_dir),
+        inp.MODEL,
+        TEMPLATE,
+        max_tokens=400,
+    )

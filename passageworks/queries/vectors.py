@@ -131,7 +131,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ASKED_SQL = inp.sparse_vectors("q", "SELECT item_id AS id, text AS txt FROM benchmark")
 
-_BATCH_SQL = f"""WITH {inp.VECTOR_TABLE}, {_ASKED_SQL}, {inp.dense_vector('q')},
+BATCH_SQL = f"""WITH {inp.VECTOR_TABLE}, {_ASKED_SQL}, {inp.dense_vector('q')},
 pairs AS (
   SELECT DISTINCT q.id AS qid, chunk_content, document_name,
          {_score_sql('cosine_similarity', 't.v', 'q.v')} AS score
@@ -148,7 +148,7 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "vector_search_batch",
-    _BATCH_SQL + "SELECT qid, rank, chunk_content, round(score, 3) AS score, document_name "
+    BATCH_SQL + "SELECT qid, rank, chunk_content, round(score, 3) AS score, document_name "
     "FROM ranked WHERE rank <= 10",
 )
 def vector_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def vector_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "assemble_context",
-    _BATCH_SQL + "SELECT qid, string_agg(chunk_content, chr(10) || chr(10) ORDER BY rank) "
+    BATCH_SQL + "SELECT qid, string_agg(chunk_content, chr(10) || chr(10) ORDER BY rank) "
     "|| chr(10) || chr(10) AS context FROM ranked WHERE rank <= 10 GROUP BY qid",
 )
 def assemble_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:

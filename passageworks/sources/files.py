@@ -53,7 +53,7 @@ def file_rows(
 
 def discover_files(
     spark: SparkSession,
-    root: str,
+    root: str | list[str],
     extensions: Sequence[str] = ALLOWED_EXTENSIONS,
     deny: Sequence[str] = (),
     internal_only: bool = False,
@@ -189,7 +189,7 @@ def extracted_documents(
 
 def read_documents(
     spark: SparkSession,
-    root: str,
+    root: str | list[str],
     extensions: Sequence[str] = ALLOWED_EXTENSIONS,
     deny: Sequence[str] = (),
     internal_only: bool = False,

@@ -1,5 +1,6 @@
 """Lineage, ordinals, conversations, sources, sinks and the two flows."""
 
+import hashlib
 import io
 import random
 import zipfile
@@ -14,7 +15,8 @@ from passageworks.operators.embedding import HashedWords, embed_chunks, embed_mi
 from passageworks.operators.chunking import chunk_documents
 from passageworks.operators.ordinal import assign_batches, number_rows
 from passageworks.plans.answer import prompts
-from passageworks.plans.ingest import ingest, with_identity
+from passageworks.operators.stats import share_of_total
+from passageworks.plans.ingest import Repo, ingest, read_corpus, with_identity
 from passageworks.session import shared_folder
 from passageworks.sources import vector_table as vt
 from passageworks.sources.files import discover_files, read_documents
@@ -331,6 +333,44 @@ def test_arriving_files_are_ingested_once(spark, tmp_path):
     assert {r.repo_name for r in vt.read_vector_table(spark, table).collect()} == {"repo"}
 
 
+def test_corpus_of_two_repositories(spark, tmp_path):
+    corpus(tmp_path)
+    (tmp_path / "open").mkdir()
+    (tmp_path / "open" / "a.txt").write_text("Open text.")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "a.txt").write_text("Not listed.")
+    changes = spark.createDataFrame(
+        [
+            ("repo", "c1", 1, "trunk", "A", "a.txt"),
+            ("repo", "c2", 2, "main", "M", "a.txt"),
+            ("repo", "c3", 3, "trunk", "M", "sub/b.md"),
+            ("open", "c4", 1, "main", "A", "a.txt"),
+        ],
+        "repo_name string, commit_hash string, seq long, branch string, change_type string, new_path string",
+    )
+    repos = [Repo("repo", "trunk", internal_only=True), Repo("open")]
+    found = read_corpus(spark, f"file://{tmp_path}/", repos, changes, deny=["README.md"])
+    got = sorted(
+        (r.repo_name, r.document_name, r.document_version, r.internal_only, r.document_id)
+        for r in found.collect()
+    )
+    ident = lambda p: hashlib.sha256(f"{tmp_path}/{p}".encode()).hexdigest()
+    assert got == [
+        ("open", "a.txt", "c4", False, ident("open/a.txt")),
+        ("repo", "a.txt", "c1", True, ident("repo/a.txt")),
+        ("repo", "b.md", "c3", True, ident("repo/sub/b.md")),
+        ("repo", "c.docx", None, True, ident("repo/c.docx")),
+    ]
+
+
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, i long")
+    got = sorted((r.i, r.n) for r in number_rows(df, ["k"], ["i"], F.floor(F.col("i") / 2), "n").collect())
+    assert got == [(1, 1), (2, 2), (3, 1)]
+    shares = share_of_total(df, ["k", "i"], ["k"], F.col("i")).collect()
+    assert sorted((r.i, r.share) for r in shares) == [(1, 33.333333), (2, 66.666667), (3, 100.0)]
+
+
 def test_prompts(spark):
     path = shared_folder(spark, "t")
     ingest(spark, some_documents(spark), path, MODEL, "2024-01-01", [st.BY_SENTENCE])
