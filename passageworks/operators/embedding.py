@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import md5
 from typing import Protocol
 
@@ -118,6 +118,18 @@ def embed_questions(questions: DataFrame, embedder: Embedder, text: str = "quest
     return questions.withColumn("embedding", embed(F.col(text), embedder))
 
 
+def stored_for(
+    stored: DataFrame, wanted: DataFrame, keys: Sequence[str], few: bool = False
+) -> DataFrame:
+    """Rows of a large stored table whose key is wanted.
+
+    ``few`` says that ``wanted`` is known to be small: its keys are then sent to the scan of the
+    stored table, which is not shuffled at all.
+    """
+    needed = wanted.select(*keys).distinct()
+    return stored.join(F.broadcast(needed) if few else needed, list(keys), "left_semi")
+
+
 def still_to_embed(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     """Chunks whose text has no stored vector for their strategy and model."""
     return chunks.join(stored.select(*_REUSE_KEY).distinct(), _REUSE_KEY, "left_anti")
@@ -138,11 +150,16 @@ def reuse_embeddings(chunks: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def embed_missing(
-    chunks: DataFrame, stored: DataFrame, embedder: Embedder, date_generated: str
+    chunks: DataFrame,
+    stored: DataFrame,
+    embedder: Embedder,
+    date_generated: str,
+    few: bool = False,
 ) -> DataFrame:
     """``embed_chunks`` in which the model only sees texts that have no stored vector."""
-    known = _known_vectors(stored).withColumnRenamed("embedding", "_known")
     keyed = chunks.withColumn("embedding_model", F.lit(embedder.name))
+    known = _known_vectors(stored_for(stored, keyed, _REUSE_KEY, few))
+    known = known.withColumnRenamed("embedding", "_known")
     new_text = F.when(F.col("_known").isNull(), F.col("chunk_content"))
     return (
         keyed.join(known, _REUSE_KEY, "left")

@@ -23,6 +23,10 @@ MAX_SENT_QUESTIONS = 4096
 MAX_SENT_BYTES = 32 << 20
 QUESTIONS_PER_BLOCK = 1024
 VECTORS_PER_BLOCK = 20_000
+MIN_TASKS = 10_000
+TASKS_PER_CORE = 4
+ROWS_PER_STEP = 16_384
+BYTES_PER_STEP = 32 << 20
 CELLS_PER_STEP = 4_000_000
 
 _HIT = [
@@ -128,13 +132,24 @@ class _Best:
         self.rows = sorted(fresh.union(self.rows))[: self.k]
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a vector, regrouped: the fewer batches, the fewer times a best list changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch.filter(batch.column("embedding").is_valid()))
+        if sum(map(len, held)) >= ROWS_PER_STEP or sum(b.nbytes for b in held) >= BYTES_PER_STEP:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _best_rows(
     batches: Iterator[pa.RecordBatch], questions: np.ndarray, k: int, metric: str
 ) -> list[_Best]:
     best = [_Best(k) for _ in range(len(questions))]
     sign = -1.0 if METRICS[metric] else 1.0
-    for batch in batches:
-        batch = batch.filter(batch.column("embedding").is_valid())
+    for batch in _larger(batches):
         if not len(batch):
             continue
         vectors = _matrix(batch.column("embedding"), questions.shape[1])
@@ -185,7 +200,11 @@ def _score_with_sent_questions(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _hits(_best_rows(batches, questions, k, metric), qids, metric)
 
-    return table.mapInArrow(run, T.StructType([T.StructField("qid", qid), *_HIT]))
+    # Splits are scored one after another in a task, so that a scan of a million splits does
+    # not send a million best lists to the ranking.
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    tasks = max(MIN_TASKS, TASKS_PER_CORE * cores)
+    return table.coalesce(tasks).mapInArrow(run, T.StructType([T.StructField("qid", qid), *_HIT]))
 
 
 def _score_in_blocks(

@@ -13,9 +13,13 @@ from passageworks.operators import strategies as st
 from passageworks.operators.chunking import chunk_documents
 from passageworks.operators.embedding import Embedder, embed_chunks, embed_missing
 from passageworks.operators.lineage import touched_paths, with_versions
+from passageworks.session import shared_folder
 from passageworks.sources import vector_table as vt
 from passageworks.sources.files import read_documents
 
+# Keys of this many chunks (two hashes and two names each, about 20 MB) are sent to the table.
+FEW_CHUNKS = 100_000
+
 
 @dataclass(frozen=True)
 class Repo:
@@ -84,10 +88,21 @@ def ingest(
     """
     chunks = chunk_documents(documents, list(strategies), sizes, embedder)
     table = vt.find_vector_table(spark, table_path)
-    if table is not None:
-        st.check_strategies(spark, table, [st.label(s, sizes) for s in strategies], on_mismatch)
-        keyed = chunks.withColumn("embedding_model", F.lit(embedder.name))
-        embedded = embed_missing(vt.only_new(keyed, table), table, embedder, date_generated)
-    else:
+    if table is None:
         embedded = embed_chunks(chunks, embedder, date_generated)
+    else:
+        labels = [st.label(s, sizes) for s in strategies]
+        st.check_strategies(spark, table, labels, on_mismatch)
+        same = table.filter(
+            F.col("chunking_strategy").isin(labels)
+            & (F.col("embedding_model") == F.lit(embedder.name))
+        )
+        # Chunks are compared with the table twice, so they are written once and not cut again.
+        staged_path = shared_folder(spark, "chunks")
+        chunks.withColumn("embedding_model", F.lit(embedder.name)).write.parquet(staged_path)
+        staged = spark.read.parquet(staged_path)
+        few = staged.count() <= FEW_CHUNKS
+        embedded = embed_missing(
+            vt.only_new(staged, same, few), same, embedder, date_generated, few
+        )
     vt.write_vector_table(embedded, table_path, rows_per_file, compact=compact)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageworks.functions.text import is_blank
+from passageworks.operators.embedding import stored_for
 from passageworks.operators.validation import table_columns
 from passageworks.schema import CHUNK_KEY, VECTOR_TABLE
 
@@ -54,10 +55,14 @@ def find_vector_table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def only_new(chunks: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows whose key is not stored yet, so a second ingest adds nothing."""
+def only_new(chunks: DataFrame, table: DataFrame, few: bool = False) -> DataFrame:
+    """Rows whose key is not stored yet, so a second ingest adds nothing.
+
+    Of the table only the key columns are read, and only keys among the chunks go further.
+    """
     keys = list(CHUNK_KEY)
-    return chunks.join(table.select(*keys).distinct(), keys, "left_anti")
+    present = stored_for(table.select(*keys), chunks, keys, few).distinct()
+    return chunks.join(present, keys, "left_anti")
 
 
 def _known(file_format: str) -> str:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from passageworks.operators import history as hi
 from passageworks.operators import lineage as li
 from passageworks.operators import strategies as st
-from passageworks.operators.embedding import HashedWords, embed_chunks, embed_missing
+from passageworks.operators.embedding import HashedWords, embed_chunks, embed_missing, stored_for
 from passageworks.operators.chunking import chunk_documents
 from passageworks.operators.ordinal import assign_batches, number_rows
+from passageworks.plans import ingest as ingest_plan
 from passageworks.plans.answer import prompts
 from passageworks.operators.stats import share_of_total
 from passageworks.plans.ingest import Repo, ingest, read_corpus, with_identity
@@ -239,7 +240,9 @@ def some_documents(spark, n=5, version="v"):
     return spark.createDataFrame(rows, DOCS)
 
 
-def test_second_ingest_adds_nothing_and_new_rows_are_added(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_second_ingest_adds_nothing_and_new_rows_are_added(spark, monkeypatch, few):
+    monkeypatch.setattr(ingest_plan, "FEW_CHUNKS", few)
     path = shared_folder(spark, "t")
     run = lambda n, **o: ingest(spark, some_documents(spark, n), path, MODEL, "2024-01-01", [st.BY_SENTENCE], **o)
     run(5)
@@ -254,6 +257,18 @@ def test_second_ingest_adds_nothing_and_new_rows_are_added(spark):
     assert len({tuple(r.embedding) for r in rows if r.chunk_content == "Shared end."}) == 1
 
 
+def test_small_loads_do_not_shuffle_the_table(spark, tmp_path):
+    chunks = chunk_documents(some_documents(spark), st.BY_SENTENCE)
+    embed_chunks(chunks, MODEL, "2024-01-01").write.parquet(str(tmp_path / "t"))
+    chunks.withColumn("embedding_model", F.lit(MODEL.name)).write.parquet(str(tmp_path / "c"))
+    table, wanted = (spark.read.parquet(str(tmp_path / x)) for x in "tc")
+    found = stored_for(table, wanted, ["chunk_id", "chunking_strategy"], few=True)
+    before_join = found._jdf.queryExecution().executedPlan().toString().split("BuildRight")[1]
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+    # The first scan below the join is the table's; its only exchange is the other side's.
+    assert "Exchange" not in before_join.split("FileScan")[0]
+
+
 def test_other_strategy_is_refused_or_allowed(spark):
     path = shared_folder(spark, "t")
     docs = some_documents(spark)
