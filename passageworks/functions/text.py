@@ -150,52 +150,107 @@ def unescape_entities(text: Column) -> Column:
     return F.replace(numbered, F.lit("&amp;"), F.lit("&"))
 
 
+# Markup is cut at its closing marks first: in each part the opening mark, if any, is looked for
+# once, so pages full of elements that never close cost no more than others.
+
+
+def _parts(text: Column, closing: str, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """The parts of a text before each closing mark, changed by ``body(part, i, n)`` and joined."""
+
+    def changed(parts: Column) -> Column:
+        n = F.size(parts)
+        return F.array_join(F.transform(parts, lambda part, i: body(part, i, n)), "")
+
+    return let(F.split(text, closing, -1), changed)
+
+
+def _element_contents(text: Column, name: str) -> Column:
+    """Contents of the closed elements of a name, from the first opening tag of each."""
+
+    def contents(parts: Column) -> Column:
+        opened = F.transform(
+            F.slice(parts, F.lit(1), F.size(parts) - 1),
+            lambda part: F.regexp_extract(part, rf"(?is)<{name}\b.*", 0),
+        )
+        return F.transform(
+            F.filter(opened, lambda element: element != ""),
+            lambda element: F.regexp_replace(element, r"(?s)^<[^>]*>", ""),
+        )
+
+    return let(F.split(text, rf"(?i)</{name}\s*>", -1), contents)
+
+
+def _without_elements(text: Column, name: str) -> Column:
+    return _parts(
+        text,
+        rf"(?i)</{name}\s*>",
+        lambda part, i, n: F.when(
+            i < n - 1, F.regexp_replace(part, rf"(?is)<{name}\b.*", "")
+        ).otherwise(part),
+    )
+
+
+def _without_comments(text: Column) -> Column:
+    return _parts(
+        text,
+        "-->",
+        lambda part, i, n: F.when(i == n - 1, part)
+        .when(F.contains(part, F.lit("<!--")), F.regexp_replace(part, r"(?s)<!--.*", ""))
+        .otherwise(F.concat(part, F.lit("-->"))),
+    )
+
+
+def _without_tags(text: Column) -> Column:
+    tag = r"</?[a-zA-Z!?]"
+    return _parts(
+        text,
+        ">",
+        lambda part, i, n: F.when(i == n - 1, part)
+        .when(part.rlike(tag), F.regexp_replace(part, rf"(?s){tag}.*", ""))
+        .otherwise(F.concat(part, F.lit(">"))),
+    )
+
+
 def _without_markup(html: Column) -> Column:
-    """Comments, whole script and style elements, the doctype and all tags removed.
+    """Whole script, style and template elements, comments, the doctype and all tags removed.
 
     Script and style go first because their text may contain closing tags.
     """
-    html = F.regexp_replace(html, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", "")
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(html, r"(?s)</?[a-zA-Z!?][^>]*>", "")
+    for name in ("script", "style", "template"):
+        html = _without_elements(html, name)
+    return _without_tags(_without_comments(html))
 
 
 def linearize_html_table(
     table: Column, indicate_table: bool = True, separator: str = ","
 ) -> Column:
     """The paragraph that stands for one ``<table>`` element: a line for each row."""
-    row_texts = F.transform(
-        F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), 1),
+    rows = F.transform(
+        _element_contents(table, "tr"),
         lambda row: F.concat(
-            F.array_join(
-                F.regexp_extract_all(row, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>"), 1),
-                separator,
-            ),
-            F.lit("\n"),
+            F.array_join(_element_contents(row, "t[hd]"), separator), F.lit("\n")
         ),
     )
     head = "<p>Table:\n" if indicate_table else "<p>"
-    return F.concat(F.lit(head), F.array_join(row_texts, ""), F.lit("</p>"))
+    return F.concat(F.lit(head), F.array_join(rows, ""), F.lit("</p>"))
 
 
 def replace_html_tables(
     html: Column, indicate_table: bool = True, separator: str = ","
 ) -> Column:
     """Every table element replaced by its paragraph; a page without one is left as it is."""
-    marked = F.regexp_replace(html, r"(?is)(<table\b[^>]*>.*?</table\s*>)", "\u0001$1\u0001")
-    return F.when(
-        html.rlike("(?i)<table"),
-        F.array_join(
-            F.transform(
-                F.split(marked, "\u0001", -1),
-                lambda part: F.when(
-                    part.rlike("(?i)^<table"),
-                    linearize_html_table(part, indicate_table, separator),
-                ).otherwise(part),
-            ),
-            "",
-        ),
-    ).otherwise(html)
+    opening = r"(?is)<table\b.*"
+
+    def paragraph(part: Column, i: Column, n: Column) -> Column:
+        table = F.regexp_extract(part, opening, 0)
+        text = linearize_html_table(table, indicate_table, separator)
+        return F.when(
+            (i < n - 1) & part.rlike(r"(?i)<table\b"),
+            F.concat(F.regexp_replace(part, opening, ""), text),
+        ).otherwise(part)
+
+    replaced = _parts(html, r"(?i)</table\s*>", paragraph)
+    return F.when(html.rlike(r"(?i)</table"), replaced).otherwise(html)
 
 
 def html_to_text(html: Column, indicate_table: bool = True, separator: str = ",") -> Column:

@@ -105,3 +105,13 @@ def test_long_lines_of_marks_stay_linear(spark, mark):
     for line in (mark * 200_000, "y" + mark * 200_000 + "x"):
         assert value(spark, line, lambda t: F.length(tx.markdown_to_text(t))) >= 0
         assert value(spark, line, lambda t: F.length(tx.html_to_text(t))) >= 0
+
+
+@pytest.mark.parametrize("mark", ["<script>", "<style ", "<!--", "<table>", "<a ", "</script", "&#"])
+def test_pages_of_unclosed_elements_stay_linear(spark, mark):
+    assert value(spark, mark * 20_000 + "x", lambda t: F.length(tx.html_to_text(t))) >= 1
+
+
+def test_comments_and_elements_that_do_not_close(spark):
+    html = "a --> b<!-- c > d --> e > f <!-- open <i>g</i> <td>h</td> <script>i"
+    assert value(spark, html, tx.html_to_text) == "a --> b e > f g h i"
