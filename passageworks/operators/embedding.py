@@ -118,16 +118,12 @@ def embed_questions(questions: DataFrame, embedder: Embedder, text: str = "quest
     return questions.withColumn("embedding", embed(F.col(text), embedder))
 
 
-def stored_for(
-    stored: DataFrame, wanted: DataFrame, keys: Sequence[str], few: bool = False
-) -> DataFrame:
-    """Rows of a large stored table whose key is wanted.
+def stored_for(stored: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a large stored table whose key is among a few rows, counted beforehand.
 
-    ``few`` says that ``wanted`` is known to be small: its keys are then sent to the scan of the
-    stored table, which is not shuffled at all.
+    The keys are sent to the scan of the table, which is not shuffled.
     """
-    needed = wanted.select(*keys).distinct()
-    return stored.join(F.broadcast(needed) if few else needed, list(keys), "left_semi")
+    return stored.join(F.broadcast(few.select(*keys).distinct()), list(keys), "left_semi")
 
 
 def still_to_embed(chunks: DataFrame, stored: DataFrame) -> DataFrame:
@@ -156,10 +152,13 @@ def embed_missing(
     date_generated: str,
     few: bool = False,
 ) -> DataFrame:
-    """``embed_chunks`` in which the model only sees texts that have no stored vector."""
+    """``embed_chunks`` in which the model only sees texts that have no stored vector.
+
+    ``few`` says that the chunks were counted and their keys may be broadcast.
+    """
     keyed = chunks.withColumn("embedding_model", F.lit(embedder.name))
-    known = _known_vectors(stored_for(stored, keyed, _REUSE_KEY, few))
-    known = known.withColumnRenamed("embedding", "_known")
+    candidates = stored_for(stored, keyed, _REUSE_KEY) if few else stored
+    known = _known_vectors(candidates).withColumnRenamed("embedding", "_known")
     new_text = F.when(F.col("_known").isNull(), F.col("chunk_content"))
     return (
         keyed.join(known, _REUSE_KEY, "left")

@@ -58,11 +58,13 @@ def find_vector_table(spark: SparkSession, path: str) -> DataFrame | None:
 def only_new(chunks: DataFrame, table: DataFrame, few: bool = False) -> DataFrame:
     """Rows whose key is not stored yet, so a second ingest adds nothing.
 
-    Of the table only the key columns are read, and only keys among the chunks go further.
+    Of the table only the key columns are read; for ``few`` chunks, counted beforehand, it is
+    not shuffled either.
     """
     keys = list(CHUNK_KEY)
-    present = stored_for(table.select(*keys), chunks, keys, few).distinct()
-    return chunks.join(present, keys, "left_anti")
+    stored = table.select(*keys)
+    present = stored_for(stored, chunks, keys) if few else stored
+    return chunks.join(present.distinct(), keys, "left_anti")
 
 
 def _known(file_format: str) -> str:

@@ -262,7 +262,7 @@ def test_small_loads_do_not_shuffle_the_table(spark, tmp_path):
     embed_chunks(chunks, MODEL, "2024-01-01").write.parquet(str(tmp_path / "t"))
     chunks.withColumn("embedding_model", F.lit(MODEL.name)).write.parquet(str(tmp_path / "c"))
     table, wanted = (spark.read.parquet(str(tmp_path / x)) for x in "tc")
-    found = stored_for(table, wanted, ["chunk_id", "chunking_strategy"], few=True)
+    found = stored_for(table, wanted, ["chunk_id", "chunking_strategy"])
     before_join = found._jdf.queryExecution().executedPlan().toString().split("BuildRight")[1]
     assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
     # The first scan below the join is the table's; its only exchange is the other side's.
