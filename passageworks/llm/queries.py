@@ -44,3 +44,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = sp.Pieces.read(tokenizer_file("piece_bpe_32k.model"))
     return sp.encoded(table(spark, sf_dir, "documents"), pieces, sp.DIGEST, sp.digest)
+
+
+OP7_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), x -> x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+      WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+each AS (SELECT doc_id, unnest(s) AS t FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM each a JOIN each b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * k >= 80 * (len(x.s) + len(y.s) - k)),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION SELECT reach.doc_id, both.b FROM reach JOIN both ON reach.r = both.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(r) AS component_id
+FROM sets JOIN reach USING (doc_id) GROUP BY doc_id, s
+"""
+
+
+@query("op7_ngram_jaccard_join", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passageworks.llm.jaccard_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), percent=80, size=5)
