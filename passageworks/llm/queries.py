@@ -63,10 +63,10 @@ common AS (
 links AS (
   SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
   WHERE 100 * k >= 80 * (len(x.s) + len(y.s) - k)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(doc_id, r) AS (
   SELECT doc_id, doc_id FROM sets
-  UNION SELECT reach.doc_id, both.b FROM reach JOIN both ON reach.r = both.a)
+  UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON reach.r = ways.a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, min(r) AS component_id
 FROM sets JOIN reach USING (doc_id) GROUP BY doc_id, s
 """
