@@ -6,6 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passageworks.llm.sample import id_crc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +80,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passageworks.llm.jaccard_join import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents"), percent=80, size=5)
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passageworks.llm import toxicity as tox
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(id_crc() % 4 == 2, F.lit(False))
+    model = tox.train(docs, labels, ~held_out)
+    return tox.toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
