@@ -93,3 +93,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passageworks.llm.secret_scan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_source_mix")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passageworks.llm.source_mix import plan_mix, taken_words
+
+    docs = table(spark, sf_dir, "documents")
+    return taken_words(docs, plan_mix(docs))
