@@ -108,3 +108,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return taken_words(docs, plan_mix(docs))
+
+
+@query("op6_line_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passageworks.llm import line_quality as lq
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(id_crc() % 5 == 0, F.lit(False))
+    model = lq.train(docs, labels, ~held_out)
+    return lq.quality(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
