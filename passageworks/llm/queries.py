@@ -121,3 +121,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op8_cap_filters")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passageworks.llm.cap_filters import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
