@@ -28,7 +28,8 @@ from passageworks.llm.store import written
 from passageworks.llm.vectors import matrix, only_length, sizes_above, usable
 
 WORDS = 100  # code words of each half: 10,000 filters
-PASSED = 14.0  # filters that a random vector passes on average; more find more and cost more
+PASSED = 8.0  # filters that a random vector passes on average; more find more and cost more
+BEST = 16  # filters that every vector passes at least: its best ones, where the cap gives fewer
 BLOCK = 1024  # vectors of a block
 
 
@@ -55,10 +56,15 @@ def cap_height(dim: int, words: int = WORDS, passed: float = PASSED, seed: int =
     return float(np.quantile(both[:, ::1, :], 1 - min(1.0, passed / words**2)))
 
 
-def list_decode(unit: np.ndarray, a: np.ndarray, b: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and filter of all filters that each unit vector passes, one filter at least.
+def list_decode(
+    unit: np.ndarray, a: np.ndarray, b: np.ndarray, cap: float, best: int = BEST
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row and filter of all filters that each unit vector passes, and of its ``best`` ones.
 
     Words of the first half are kept only if the best word of the second half can make up the cap.
+    Norms of the halves differ, so the number that passes a fixed cap varies much; the best ones
+    are added so that no vector passes only a few. The m best pairs of two ordered lists lie at
+    places i and j with (i + 1) * (j + 1) <= m.
     """
     n, split = len(unit), a.shape[1]
     one, two = unit[:, :split] @ a.T, unit[:, split:] @ b.T
@@ -73,7 +79,15 @@ def list_decode(unit: np.ndarray, a: np.ndarray, b: np.ndarray, cap: float) -> t
         if not len(row):
             break
         rows.append(row), filters.append(word * b.shape[0] + order[row, k])
-    rows.append(np.arange(n)), filters.append(one.argmax(axis=1) * b.shape[0] + order[:, 0])
+    first = np.argsort(-one, axis=1)
+    high = np.take_along_axis(one, first, axis=1)
+    i, j = np.array([
+        (i, j) for i in range(min(best, len(a))) for j in range(min(best, len(b))) if (i + 1) * (j + 1) <= best
+    ]).T
+    sums = high[:, i] + ranked[:, j]
+    top = np.argsort(-sums, axis=1, kind="stable")[:, :best]
+    rows.append(np.repeat(np.arange(n), top.shape[1]))
+    filters.append((np.take_along_axis(first, i[top], axis=1) * b.shape[0] + np.take_along_axis(order, j[top], axis=1)).ravel())
     both = np.unique(np.stack([np.concatenate(rows), np.concatenate(filters)]), axis=1)
     return both[0], both[1]
 

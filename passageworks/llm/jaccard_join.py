@@ -14,7 +14,7 @@ and b are linked when 100 * |a and b| >= percent * |a or b|. Sets hold 64-bit ha
     prefixes, and pairs must agree in size and position and in their parity maps.
 4.  Pairs that remain are verified on whole sets. First every group meets only the least group of
     each of its hashes; later pairs are only formed between components that are still apart,
-    so a large group of near copies costs links in proportion to its size, not to its square.
+    so a large group of near copies makes rows in proportion to its size, not to its square.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from passageworks.llm.store import written
 
 BITS = 2048
 HOT = 16  # a hash in more lists than this comes last in the order; it changes cost, not results
+HEAVY = 64  # members of a hash from which pairs are tested on their parity maps where they meet
 MOST_SENT = 1 << 20  # so many hot hashes (8 MB) are sent to the tasks, more are joined by shuffle
 
 _SCHEMA = (
@@ -169,13 +170,17 @@ def _prefixes(
     return first.where("prefix IS NOT NULL").union(second), shared
 
 
+def _differ(a: str, b: str) -> Column:
+    """In how many bits two parity maps differ; written out, so that it is compiled."""
+    count = F.lit(0)
+    for i in range(BITS // 64):
+        count = count + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+    return count
+
+
 def _far(percent: int) -> Column:
     """Whether the parity maps differ in more bits than similar sets may."""
-    differ = F.aggregate(
-        F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0), lambda s, x: s + x,
-    )
-    return differ > F.col("a_n") + F.col("b_n") - 2 * _need(F.col("a_n"), F.col("b_n"), percent)
+    return _differ("a_bits", "b_bits") > F.col("a_n") + F.col("b_n") - 2 * _need(F.col("a_n"), F.col("b_n"), percent)
 
 
 def _side(table: DataFrame, side: str, key: str) -> DataFrame:
@@ -273,16 +278,26 @@ def _links(
         members.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members"
     )
     mixed = (
-        labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo < hi").select("h")
-    )
-    apart = labelled.join(mixed, "h")
-    rest = (
-        apart.alias("x").join(apart.alias("y"), "h")
-        .where(
-            (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-            & usable("x", "y")
-        )
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        labelled.groupBy("h")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"))
+        .where("lo < hi").select("h", "k").checkpoint()
     )
+
+    def meet(apart: DataFrame, near: Column | bool) -> DataFrame:
+        return (
+            apart.alias("x").join(apart.alias("y"), "h")
+            .where(
+                (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+                & usable("x", "y") & near
+            )
+            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        )
+
+    rare = labelled.join(mixed.where(F.col("k") <= HEAVY).select("h"), "h")
+    heavy = labelled.join(mixed.where(F.col("k") > HEAVY).select("h"), "h")
+    maps = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits")
+    # Where many meet, a pair becomes a row only if its parity maps allow a link.
+    heavy = heavy.join(maps, ["rep", "n"])
+    least = F.col("x.n") + F.col("y.n") - 2 * _need(F.col("x.n"), F.col("y.n"), percent)
+    rest = meet(rare, F.lit(True)).union(meet(heavy, _differ("x.bits", "y.bits") <= least))
     return links.union(_verified(docs, rest, signed, percent, size, text, "rest"))

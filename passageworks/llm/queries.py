@@ -128,3 +128,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passageworks.llm.cap_filters import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+@query("op3_p_stable")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passageworks.llm.p_stable import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
