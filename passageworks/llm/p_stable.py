@@ -28,13 +28,13 @@ from passageworks.llm.store import written
 from passageworks.llm.vectors import matrix, only_length, sizes_above, usable
 
 TABLES = 4
-TARGET = 0.985  # estimated probability that a neighbour is met
-BUCKET = 24  # vectors of a bucket on average, by which the number of directions is chosen
-CELLS = 1.3  # width of a cell, in deviations of the projections
+TARGET = 0.95  # estimated probability that a neighbour is met
+BUCKET = 512  # vectors of a bucket on average, by which the number of directions is chosen
+CELLS = 2.0  # width of a cell, in deviations of the projections
 CHUNK = 4096  # vectors of a chunk of a large bucket
 SAMPLED = 64  # queries for which r is measured
 HELD = 20_000  # queries whose best candidates a task holds before it hands them on
-BEAM = 6000  # partial buckets kept while buckets are listed in the order of their probability
+BEAM = 4096  # partial buckets kept at first, four times as many whenever they do not suffice
 
 
 def directions(dim: int, dims: int, tables: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +70,19 @@ def probes(place: np.ndarray, spread: float, target: float) -> np.ndarray:
     home = np.floor(place).astype(np.int64)
     low = home[:, None] + offsets[None, :]
     share = _normal((low + 1 - place[:, None]) / spread) - _normal((low - place[:, None]) / spread)
-    cells, weight = np.zeros((1, 0), dtype=np.int64), np.ones(1)
-    for k in range(len(place)):
-        both = (weight[:, None] * share[k][None, :]).ravel()
-        keep = np.argsort(-both, kind="stable")[:BEAM]
-        cells = np.c_[cells[keep // len(offsets)], low[k][keep % len(offsets)]]
-        weight = both[keep]
-    stop = int(np.searchsorted(np.cumsum(weight), target)) + 1
-    return cells[:stop]
+    beam = BEAM
+    while True:
+        cells, weight, cut = np.zeros((1, 0), dtype=np.int64), np.ones(1), False
+        for k in range(len(place)):
+            both = (weight[:, None] * share[k][None, :]).ravel()
+            keep = np.argsort(-both, kind="stable")[:beam]
+            cut |= len(keep) < len(both)
+            cells = np.c_[cells[keep // len(offsets)], low[k][keep % len(offsets)]]
+            weight = both[keep]
+        total = np.cumsum(weight)
+        if total[-1] >= target or not cut:
+            return cells[: int(np.searchsorted(total, target)) + 1]
+        beam *= 4
 
 
 class _Best:
@@ -174,8 +179,8 @@ def nearest(
         deviation = 1.0
     width = CELLS * max(deviation, 1e-12)
     spread = max(radius, 1e-3 * deviation) / width
-    # A cell's share of the projections: about 2.4 cells hold them all at this width.
-    dims = max(2, min(24, round(math.log(max(2, n / bucket)) / math.log(2.4))))
+    # At this width a direction tells about 1.9 cells apart (the exponential of their entropy).
+    dims = max(2, math.floor(math.log(max(2, n / bucket)) / math.log(1.9)))
     turn, offset = directions(dim or 1, dims, tables)
     per_table = 1 - (1 - target) ** (1 / tables)
 
