@@ -135,3 +135,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passageworks.llm.p_stable import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op4_backoff_lm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passageworks.llm.backoff_lm import backoff_scores
+
+    return backoff_scores(table(spark, sf_dir, "documents"), order=2)
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from passageworks.llm import section_tokens as st
+
+    ranks = st.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents")
+    return st.token_counts(docs, ranks, public_tokenizers.PATTERN, ("source", "lang", "text"), "most")
