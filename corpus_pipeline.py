@@ -54,7 +54,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of the mix, as often as it takes them, in its order."""
-    return source_mix.mixed(docs, source_mix.plan_mix(docs)).select(docs.columns)
+    mix = source_mix.mixed(docs, source_mix.plan_mix(docs))
+    return mix.toDF(*docs.columns, "_shard").drop("_shard")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,8 @@ class _Best:
         self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(self, queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        if not len(ids):
+            return
         rough = (q * q).sum(1)[:, None] - 2 * (q @ x.T) + (x * x).sum(1)[None, :]
         few = min(2 * self.k + 2, len(ids))
         for i, query in enumerate(queries.tolist()):

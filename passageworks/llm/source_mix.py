@@ -20,7 +20,7 @@ empty mix; sources without words take nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,15 +100,27 @@ def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) ->
             + _log_factorial(drawn - x) + _log_factorial(total - marked - drawn + x)
         )
 
-    logs = F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda x: F.struct(x.alias("x"), log_weight(x).alias("l")))
-    top = F.array_max(F.transform(logs, lambda e: e["l"]))
-    weights = F.transform(logs, lambda e: F.struct(e["x"].alias("x"), F.exp(e["l"] - top).alias("p")))
-    whole = F.aggregate(weights, F.lit(0.0), lambda s, e: s + e["p"])
-    start = F.struct(F.lit(0.0).alias("sum"), lo.alias("x"))
-    step = lambda s, e: F.struct(
-        (s["sum"] + e["p"]).alias("sum"), F.when(s["sum"] < u * whole, e["x"]).otherwise(s["x"]).alias("x")
-    )
-    return F.when(hi <= lo, lo).otherwise(F.aggregate(weights, start, step)["x"])
+    def invert(lo: Column, weights: Column) -> Column:
+        """The first place at which the running sum of the weights reaches u times their sum."""
+        state = lambda left, i: F.struct(left.alias("left"), i.alias("i"))
+        step = lambda s, p: state(s["left"] - p, s["i"] + F.when(s["left"] > p, 1).otherwise(0))
+        whole = F.aggregate(weights, F.lit(0.0), lambda s, p: s + p)
+        last = F.size(weights) - 1
+        return lo + F.least(F.aggregate(weights, state(u * whole, F.lit(0)), step)["i"], last)
+
+    def scaled(logs: Column) -> Column:
+        return _let(F.array_max(logs), lambda top: F.transform(logs, lambda l: F.exp(l - top)))
+
+    drawn_from = _let(lo, lambda lo: _let(
+        F.transform(F.sequence(lo, F.greatest(lo, hi)), log_weight),
+        lambda logs: _let(scaled(logs), lambda weights: invert(lo, weights)),
+    ))
+    return F.when(hi <= lo, lo).otherwise(drawn_from)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _uniform(*parts: Column) -> Column:
@@ -171,21 +183,21 @@ class Mix:
     text: str
 
     def placed(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_units``, one per time taken."""
-        keyed = docs.withColumns({"_key": _key(self.seed, self.text), "_size": words(F.col(self.text))})
-        per = _sent(self.sources.select("i", "source", "source_size", "target", "n_blocks")).alias("s")
-        joined = keyed.alias("d").join(per, F.col("d.source").eqNullSafe(F.col("s.source")))
-        joined = joined.select(
-            "d.*", F.col("s.i").alias("_i"), F.col("s.source_size").alias("_source_size"),
-            F.col("s.target").alias("_target"), _block(F.col("_key"), F.col("s.n_blocks")).alias("_block"),
-        )
-        units = _sent(self.blocks.select(F.col("i").alias("_i"), F.col("block").alias("_block"), "units"))
-        taken = F.filter("units", lambda u: u["most"].isNull() | (F.col("_key") <= u["most"]))
-        return (
-            joined.join(units, ["_i", "_block"], "left")
-            .withColumn("_units", F.coalesce(taken, F.array().cast(units.schema["units"].dataType)))
-            .drop("units", "_i", "_block")
+        """``row`` (all columns of ``docs``), ``key, size, source_size, target`` and ``units``.
+
+        ``units`` has an element for each time that the row is taken.
+        """
+        keyed = docs.select(
+            F.struct(*docs.columns).alias("row"), F.col("source").alias("name"),
+            _key(self.seed, self.text).alias("key"), words(F.col(self.text)).alias("size"),
         )
+        per = _sent(self.sources.select("i", "source", "source_size", "target", "n_blocks"))
+        joined = keyed.join(per, F.col("name").eqNullSafe(F.col("source"))).select(
+            "row", "key", "size", "i", "source_size", "target", _block(F.col("key"), F.col("n_blocks")).alias("block")
+        )
+        taken = F.filter("units", lambda u: u["most"].isNull() | (F.col("key") <= u["most"]))
+        none = F.array().cast(self.blocks.schema["units"].dataType)
+        return joined.join(_sent(self.blocks), ["i", "block"], "left").withColumn("units", F.coalesce(taken, none))
 
 
 def _block(key: Column, blocks: Column) -> Column:
@@ -270,22 +282,19 @@ def plan_mix(
 
 
 def mixed(docs: DataFrame, plan: Mix, partitions: int | None = None) -> DataFrame:
-    """The mix: every taken row with all columns of ``docs``, and its ``shard``.
+    """The mix: every taken row with all columns of ``docs``, and a last column ``shard``.
 
     Shards are the partitions' ranges; within one, rows are in the order of a hash of row and pass.
     """
-    taken = plan.placed(docs).select(*docs.columns, "_key", F.explode("_units").alias("_unit"))
-    taken = taken.select(
-        *docs.columns, F.col("_unit.shard").alias("shard"),
-        F.xxhash64("_key", F.col("_unit.pass"), F.lit(plan.seed)).alias("_order"),
-    )
-    dealt = taken.repartition(partitions, "shard") if partitions else taken.repartition("shard")
-    return dealt.sortWithinPartitions("shard", "_order").drop("_order")
+    taken = plan.placed(docs).select("row", "key", F.explode("units").alias("unit"))
+    dealt = taken.repartition(partitions, "unit.shard") if partitions else taken.repartition("unit.shard")
+    order = F.xxhash64("key", F.col("unit.pass"), F.lit(plan.seed))
+    return dealt.sortWithinPartitions("unit.shard", order).select("row.*", F.col("unit.shard").alias("shard"))
 
 
 def taken_words(docs: DataFrame, plan: Mix) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row of ``docs``."""
     return plan.placed(docs).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.size("_units") * F.col("_size")).cast("long").alias("taken"),
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
+        (F.size("units") * F.col("size")).cast("long").alias("taken"),
     )
