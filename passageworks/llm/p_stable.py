@@ -153,8 +153,10 @@ def measured_radius(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[flo
     last = _best_of(found, k).groupBy("query_id").agg(F.max("score").alias("d")).collect()
     center = q.mean(axis=0)
     deviation = float(np.sqrt(((q - center) ** 2).sum(axis=1).mean()))
-    # Each query visits for a neighbour as far as the middle sampled query's last one.
-    return float(np.median([r["d"] for r in last])) if last else 0.0, deviation
+    # Each query visits for a neighbour as far as the middle sampled query's last one. A few
+    # queries may lie closer together than the vectors do: cells are never far below the radius.
+    radius = float(np.median([r["d"] for r in last])) if last else 0.0
+    return radius, max(deviation, radius / 2)
 
 
 def nearest(
