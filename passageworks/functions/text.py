@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,7 +94,7 @@ def cache_name(repo: Column, strategy: Column, file_format: str) -> Column:
 
 # ---------------------------------------------------------------- HTML
 
-# Named character references that are replaced.
+# Named character references whose replacement is not left to the table of HTML 5.
 ENTITIES = {
     "&lt;": "<",
     "&gt;": ">",
@@ -116,14 +118,17 @@ ENTITIES = {
 
 
 def _code_point(digits: Column, base: int) -> Column:
-    number = F.conv(digits, base, 16)
+    """The character of a number; U+FFFD beyond Unicode, for surrogates and for zero."""
+    value = F.conv(digits, base, 10).cast("long")
+    valid = ((value > 0) & (value < 0xD800)) | ((value > 0xDFFF) & (value <= 0x10FFFF))
+    number = F.conv(F.when(valid, value).otherwise(0xFFFD).cast("string"), 10, 16)
     return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
 
 
 def _numeric_reference(piece: Column) -> Column:
     """A piece of text that followed ``&#``: its leading reference as a character."""
-    decimal = F.regexp_extract(piece, r"^([0-9]{1,7});", 1)
-    hexadecimal = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+    decimal = F.regexp_extract(piece, r"^0*([0-9]{1,12});", 1)
+    hexadecimal = F.regexp_extract(piece, r"^[xX]0*([0-9a-fA-F]{1,12});", 1)
     rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
     return (
         F.when(decimal != "", F.concat(_code_point(decimal, 10), rest))
@@ -132,22 +137,34 @@ def _numeric_reference(piece: Column) -> Column:
     )
 
 
+def _references() -> Column:
+    """Name (with its semicolon) to characters: the names of HTML 5, and the fixed ones above."""
+    names = {name: found for name, found in html5.items() if name.endswith(";")}
+    names |= {name[1:]: found for name, found in ENTITIES.items()}
+    return F.from_json(F.lit(json.dumps(names)), "map<string, string>")
+
+
+def _reference(piece: Column) -> Column:
+    """A piece of text that followed ``&``; what is no reference stays as it is."""
+    name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]{1,31};)", 1)
+    found = F.when(name != "", F.try_element_at(_references(), name))
+    rest = F.substr(piece, F.char_length(name) + 1)
+    return F.when(
+        F.startswith(piece, F.lit("#")), _numeric_reference(F.substr(piece, F.lit(2)))
+    ).otherwise(F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), piece)))
+
+
 def unescape_entities(text: Column) -> Column:
-    numbered = F.when(
-        F.contains(text, F.lit("&#")),
+    """Numeric and named references as characters, each once, in one pass over the text."""
+    return F.when(
+        F.contains(text, F.lit("&")),
         let(
-            F.split(text, "&#", -1),
+            F.split(text, "&", -1),
             lambda parts: F.array_join(
-                F.transform(
-                    parts, lambda p, i: F.when(i == 0, p).otherwise(_numeric_reference(p))
-                ),
-                "",
+                F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_reference(p))), ""
             ),
         ),
     ).otherwise(text)
-    for name, character in ENTITIES.items():
-        numbered = F.replace(numbered, F.lit(name), F.lit(character))
-    return F.replace(numbered, F.lit("&amp;"), F.lit("&"))
 
 
 # Markup is cut at its closing marks first: in each part the opening mark, if any, is looked for

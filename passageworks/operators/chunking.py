@@ -191,7 +191,8 @@ def semantic(text: Column, embedder: Embedder) -> Column:
         made = [c for rows in in_slices(batch) for c in _segments(rows, embedder)]
         return pa.array(made, pa.list_(pa.string()))
 
-    return segments(sentences(text))
+    # A null text has no chunks, whatever else is in its batch.
+    return F.when(text.isNotNull(), segments(sentences(text)))
 
 
 def chunk_column(

@@ -118,22 +118,18 @@ def embed_questions(questions: DataFrame, embedder: Embedder, text: str = "quest
     return questions.withColumn("embedding", embed(F.col(text), embedder))
 
 
-def stored_for(stored: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of a large stored table whose key is among a few rows, counted beforehand.
-
-    The keys are sent to the scan of the table, which is not shuffled.
-    """
-    return stored.join(F.broadcast(few.select(*keys).distinct()), list(keys), "left_semi")
-
-
 def still_to_embed(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     """Chunks whose text has no stored vector for their strategy and model."""
     return chunks.join(stored.select(*_REUSE_KEY).distinct(), _REUSE_KEY, "left_anti")
 
 
-def _known_vectors(stored: DataFrame) -> DataFrame:
-    """One vector per key: any of its copies, so no key is larger than a row."""
-    return stored.groupBy(*_REUSE_KEY).agg(F.min("embedding").alias("embedding"))
+def _known_vectors(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One vector per wanted key: any of its copies, so no key is larger than a row.
+
+    The stored keys meet the wanted ones first; only the vectors of matches are grouped.
+    """
+    found = stored.join(wanted.select(*_REUSE_KEY).distinct(), _REUSE_KEY, "left_semi")
+    return found.groupBy(*_REUSE_KEY).agg(F.any_value("embedding").alias("embedding"))
 
 
 def reuse_embeddings(chunks: DataFrame, stored: DataFrame) -> DataFrame:
@@ -142,7 +138,7 @@ def reuse_embeddings(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     A text that fills a third of the chunks meets one row of the stored side, and the adaptive
     skew join splits its chunks over many tasks.
     """
-    return chunks.join(_known_vectors(stored), _REUSE_KEY)
+    return chunks.join(_known_vectors(stored, chunks), _REUSE_KEY)
 
 
 def embed_missing(
@@ -150,15 +146,10 @@ def embed_missing(
     stored: DataFrame,
     embedder: Embedder,
     date_generated: str,
-    few: bool = False,
 ) -> DataFrame:
-    """``embed_chunks`` in which the model only sees texts that have no stored vector.
-
-    ``few`` says that the chunks were counted and their keys may be broadcast.
-    """
+    """``embed_chunks`` in which the model only sees texts that have no stored vector."""
     keyed = chunks.withColumn("embedding_model", F.lit(embedder.name))
-    candidates = stored_for(stored, keyed, _REUSE_KEY) if few else stored
-    known = _known_vectors(candidates).withColumnRenamed("embedding", "_known")
+    known = _known_vectors(stored, keyed).withColumnRenamed("embedding", "_known")
     new_text = F.when(F.col("_known").isNull(), F.col("chunk_content"))
     return (
         keyed.join(known, _REUSE_KEY, "left")

@@ -101,8 +101,9 @@ def missing_strategies(requested: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def missing_strategies_except(requested: DataFrame, table: DataFrame) -> DataFrame:
-    """The set form: labels requested minus labels stored."""
-    return requested.select("chunking_strategy").subtract(table.select("chunking_strategy"))
+    """The set form: labels requested minus labels stored; none when the table is empty."""
+    wanted = requested.select("chunking_strategy").where(table.select("chunking_strategy").exists())
+    return wanted.subtract(table.select("chunking_strategy"))
 
 
 def labels_frame(spark: SparkSession, labels: list[str]) -> DataFrame:
@@ -117,10 +118,19 @@ def check_strategies(
 
     ``error`` raises, ``warn`` and ``ignore`` return them. The result is no longer than ``labels``.
     """
-    if on_mismatch not in ("error", "warn", "ignore"):
-        raise ValueError(f"unknown policy {on_mismatch!r}")
     requested = labels_frame(spark, labels)
     found = sorted(r[0] for r in missing_strategies(requested, table).collect())
+    return _handled(found, on_mismatch)
+
+
+def check_labels(labels: list[str], stored: set[str], on_mismatch: str = "error") -> list[str]:
+    """``check_strategies`` for stored labels that are known, as from the folders of a table."""
+    return _handled(sorted(set(labels) - stored) if stored else [], on_mismatch)
+
+
+def _handled(found: list[str], on_mismatch: str) -> list[str]:
+    if on_mismatch not in ("error", "warn", "ignore"):
+        raise ValueError(f"unknown policy {on_mismatch!r}")
     if found and on_mismatch == "error":
         raise StrategyMismatch(
             f"the table holds other chunking strategies, but not {found}; mixing them "

@@ -13,13 +13,9 @@ from passageworks.operators import strategies as st
 from passageworks.operators.chunking import chunk_documents
 from passageworks.operators.embedding import Embedder, embed_chunks, embed_missing
 from passageworks.operators.lineage import touched_paths, with_versions
-from passageworks.session import shared_folder
 from passageworks.sources import vector_table as vt
 from passageworks.sources.files import read_documents
 
-# Keys of this many chunks (two hashes and two names each, about 20 MB) are sent to the table.
-FEW_CHUNKS = 100_000
-
 
 @dataclass(frozen=True)
 class Repo:
@@ -82,7 +78,10 @@ def ingest(
 ) -> None:
     """Chunk, embed and append ``documents``; rows the table already holds are left alone.
 
-    Texts that were embedded before, with the same strategy and model, keep their vector.
+    A document's new version or access flag is appended next to the old rows; ``current_versions``
+    of the vector table gives what is valid now. Texts that were embedded before, with the same
+    strategy and model, keep their vector. One plan, whatever the size of the load, and no
+    intermediate tables.
     ``documents`` has ``document_id, document_name, document_version, repo_name, internal_only``
     and ``document_text``.
     """
@@ -92,17 +91,12 @@ def ingest(
         embedded = embed_chunks(chunks, embedder, date_generated)
     else:
         labels = [st.label(s, sizes) for s in strategies]
-        st.check_strategies(spark, table, labels, on_mismatch)
+        stored = vt.stored_labels(spark, table_path)
+        st.check_labels(labels, stored, on_mismatch)
         same = table.filter(
             F.col("chunking_strategy").isin(labels)
             & (F.col("embedding_model") == F.lit(embedder.name))
         )
-        # Chunks are compared with the table twice, so they are written once and not cut again.
-        staged_path = shared_folder(spark, "chunks")
-        chunks.withColumn("embedding_model", F.lit(embedder.name)).write.parquet(staged_path)
-        staged = spark.read.parquet(staged_path)
-        few = staged.count() <= FEW_CHUNKS
-        embedded = embed_missing(
-            vt.only_new(staged, same, few), same, embedder, date_generated, few
-        )
+        keyed = chunks.withColumn("embedding_model", F.lit(embedder.name))
+        embedded = embed_missing(vt.only_new(keyed, same), same, embedder, date_generated)
     vt.write_vector_table(embedded, table_path, rows_per_file, compact=compact)

@@ -9,7 +9,7 @@ from passageworks.functions import text as tx
 from passageworks.operators import strategies as st
 from passageworks.queries import inputs as inp
 from passageworks.queries.registry import query
-from passageworks.sources.files import allowed, text_by_type
+from passageworks.sources.files import allowed, text_by_type, with_text
 from passageworks.sources.spread import spread
 
 
@@ -27,14 +27,19 @@ def filter_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "filter_nonempty_docs",
-    """SELECT doc_id, split_part(text, chr(10), 2) AS document_text FROM documents
-WHERE split_part(text, chr(10), 2) <> ''""",
+    """WITH lines AS (
+  SELECT doc_id, text AS document_text FROM documents UNION ALL
+  SELECT doc_id, unnest(string_split(text, chr(10))[2:]) FROM documents UNION ALL
+  SELECT doc_id, '' FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id, document_text FROM lines WHERE document_text <> ''""",
 )
 def filter_nonempty_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second line of a document stands for its text; many have none."""
-    return inp.read(spark, sf_dir, "documents").select(
-        "doc_id", F.split_part("text", F.lit("\n"), F.lit(2)).alias("document_text")
-    ).filter("document_text <> ''")
+    """Whole texts, all their later lines as documents of their own, and empty documents."""
+    docs = inp.read(spark, sf_dir, "documents")
+    lines = F.explode(F.slice(F.split("text", "\n", -1), F.lit(2), F.lit(1 << 30)))
+    both = docs.select("doc_id", F.col("text").alias("document_text")).union(docs.select("doc_id", lines))
+    empty = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(""))
+    return with_text(both.union(empty))
 
 
 _BLANKS = "\t\n\u000b\u001c\u001f\u0085  　​"

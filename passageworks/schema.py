@@ -33,5 +33,9 @@ MAX_TOKENS = 3000
 TOP_K = 10
 DEFAULT_BATCH_SIZE = 100
 
-# Row identity of a stored chunk; a second ingest of the same rows adds nothing.
-CHUNK_KEY = ("document_id", "chunk_id", "chunking_strategy", "embedding_model")
+# Row identity of a stored chunk; a second ingest of the same rows adds nothing, but a document's
+# new version, or a change of its access flag, is stored next to the old one.
+CHUNK_KEY = (
+    "document_id", "document_version", "internal_only", "chunk_id", "chunking_strategy",
+    "embedding_model",
+)

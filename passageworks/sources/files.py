@@ -35,6 +35,11 @@ def allowed(
     return keep & ~basename(path).isin(*deny) if deny else keep
 
 
+def name_pattern(extensions: Sequence[str] = ALLOWED_EXTENSIONS) -> str:
+    """The glob of wanted names: the reader lists by it, so other files are never opened."""
+    return "{" + ",".join(f"*{e}" for e in extensions) + "}"
+
+
 def file_rows(
     binary: DataFrame,
     extensions: Sequence[str] = ALLOWED_EXTENSIONS,
@@ -63,7 +68,8 @@ def discover_files(
     Spark passes over empty files, which have no text to extract, and over files and folders
     whose names start with ``_`` or ``.``.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = reader.option("pathGlobFilter", name_pattern(extensions)).load(root)
     return file_rows(found, extensions, deny, internal_only)
 
 
@@ -182,9 +188,14 @@ def extracted_documents(
     text = text_by_type(
         F.col("filepath"), plain, packed, indicate_tables, table_separator, escape
     )
-    return files.select(
-        "filepath", "internal_only", text.alias("document_text"), "document_name"
-    ).filter("document_text <> ''")
+    return with_text(
+        files.select("filepath", "internal_only", text.alias("document_text"), "document_name")
+    )
+
+
+def with_text(documents: DataFrame) -> DataFrame:
+    """Documents whose text is neither null nor empty."""
+    return documents.filter("document_text <> ''")
 
 
 def read_documents(

@@ -43,7 +43,8 @@ def read_history_files(
         messages.withColumn("_place", place)
         .join(starts, ["_file", "_split"])
         .select(
-            F.regexp_extract("_file", session, 1).alias("conv_id"),
+            # The path is URL-encoded; a plus sign in it stands for itself.
+            F.url_decode(F.replace(F.regexp_extract("_file", session, 1), F.lit("+"), F.lit("%2B"))).alias("conv_id"),
             (F.col("_start") + F.col("_place") - 1).alias("turn"),
             "role",
             "text",

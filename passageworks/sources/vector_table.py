@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageworks.functions.text import is_blank
-from passageworks.operators.embedding import stored_for
 from passageworks.operators.validation import table_columns
 from passageworks.schema import CHUNK_KEY, VECTOR_TABLE
 
@@ -45,6 +46,14 @@ def read_vector_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VECTOR_TABLE).parquet(path).select(*VECTOR_TABLE.fieldNames())
 
 
+def stored_labels(spark: SparkSession, path: str) -> set[str]:
+    """The strategies a table holds, from the names of its folders: no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = (f.getPath().getName() for f in listing if f.isDirectory())
+    return {unquote(n.partition("=")[2]) for n in names if n.startswith(f"{LAYOUT[0]}=")}
+
+
 def find_vector_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or nothing where no folder is."""
     try:
@@ -55,16 +64,25 @@ def find_vector_table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def only_new(chunks: DataFrame, table: DataFrame, few: bool = False) -> DataFrame:
+def only_new(chunks: DataFrame, table: DataFrame) -> DataFrame:
     """Rows whose key is not stored yet, so a second ingest adds nothing.
 
-    Of the table only the key columns are read; for ``few`` chunks, counted beforehand, it is
-    not shuffled either.
+    Of the table only the key columns are read. The planner sends the smaller side's keys if they
+    are small, and shuffles both by key if not.
     """
     keys = list(CHUNK_KEY)
-    stored = table.select(*keys)
-    present = stored_for(stored, chunks, keys) if few else stored
-    return chunks.join(present.distinct(), keys, "left_anti")
+    return chunks.join(table.select(*keys), keys, "left_anti")
+
+
+def current_versions(table: DataFrame, versions: DataFrame) -> DataFrame:
+    """The rows of each document's newest version, with the access flag it has now.
+
+    ``versions`` has one row per document: ``document_id, document_version, internal_only``.
+    Rows of older versions, of documents that are not listed, and rows stored with another flag
+    than the current one are left out, so a text that became internal is no longer found.
+    """
+    keys = ["document_id", "document_version", "internal_only"]
+    return table.join(versions.select(*keys), keys, "left_semi").select(*table.columns)
 
 
 def _known(file_format: str) -> str:

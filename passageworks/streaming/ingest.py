@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passageworks.operators.embedding import Embedder
 from passageworks.plans.ingest import ingest
-from passageworks.sources.files import BINARY_FILE, extracted_documents, file_rows
+from passageworks.sources.files import BINARY_FILE, extracted_documents, file_rows, name_pattern
 
 
 def ingest_arriving_files(
@@ -32,6 +32,7 @@ def ingest_arriving_files(
         spark.readStream.schema(BINARY_FILE)
         .format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", name_pattern())
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
     )

@@ -203,3 +203,11 @@ def test_labels_and_fallback():
     assert st.resolve(None) == st.RECURSIVE_CHARACTER_TEXT_SPLITTING
     with pytest.raises(ValueError):
         ch.chunk_column(F.lit("a"), "LINES")
+
+
+def test_semantic_null_stays_null_in_any_batch(spark):
+    rows = spark.createDataFrame([(0, None), (1, "One here. Two there. Three more."), (2, None)], "i int, t string")
+    for parts in (1, 3):
+        made = rows.repartitionByRange(parts, "i").select("i", ch.semantic(F.col("t"), HashedWords(64)).alias("c"))
+        found = {r.i: r.c for r in made.collect()}
+        assert found[0] is None and found[2] is None and found[1]

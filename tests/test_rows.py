@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from passageworks.operators import history as hi
 from passageworks.operators import lineage as li
 from passageworks.operators import strategies as st
-from passageworks.operators.embedding import HashedWords, embed_chunks, embed_missing, stored_for
+from passageworks.operators.embedding import HashedWords, embed_chunks, embed_missing
 from passageworks.operators.chunking import chunk_documents
 from passageworks.operators.ordinal import assign_batches, number_rows
-from passageworks.plans import ingest as ingest_plan
 from passageworks.plans.answer import prompts
 from passageworks.operators.stats import share_of_total
 from passageworks.plans.ingest import Repo, ingest, read_corpus, with_identity
@@ -240,9 +239,7 @@ def some_documents(spark, n=5, version="v"):
     return spark.createDataFrame(rows, DOCS)
 
 
-@pytest.mark.parametrize("few", [100_000, 0])
-def test_second_ingest_adds_nothing_and_new_rows_are_added(spark, monkeypatch, few):
-    monkeypatch.setattr(ingest_plan, "FEW_CHUNKS", few)
+def test_second_ingest_adds_nothing_and_new_rows_are_added(spark):
     path = shared_folder(spark, "t")
     run = lambda n, **o: ingest(spark, some_documents(spark, n), path, MODEL, "2024-01-01", [st.BY_SENTENCE], **o)
     run(5)
@@ -257,16 +254,23 @@ def test_second_ingest_adds_nothing_and_new_rows_are_added(spark, monkeypatch, f
     assert len({tuple(r.embedding) for r in rows if r.chunk_content == "Shared end."}) == 1
 
 
-def test_small_loads_do_not_shuffle_the_table(spark, tmp_path):
-    chunks = chunk_documents(some_documents(spark), st.BY_SENTENCE)
-    embed_chunks(chunks, MODEL, "2024-01-01").write.parquet(str(tmp_path / "t"))
-    chunks.withColumn("embedding_model", F.lit(MODEL.name)).write.parquet(str(tmp_path / "c"))
-    table, wanted = (spark.read.parquet(str(tmp_path / x)) for x in "tc")
-    found = stored_for(table, wanted, ["chunk_id", "chunking_strategy"])
-    before_join = found._jdf.queryExecution().executedPlan().toString().split("BuildRight")[1]
-    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
-    # The first scan below the join is the table's; its only exchange is the other side's.
-    assert "Exchange" not in before_join.split("FileScan")[0]
+def test_new_versions_and_flags_are_stored_and_searched(spark):
+    path = shared_folder(spark, "t")
+    first = some_documents(spark, 3, "v1")
+    second = some_documents(spark, 3, "v2").withColumn("internal_only", F.lit(True))
+    for docs in (first, second, second):
+        ingest(spark, docs, path, MODEL, "2024-01-01", [st.BY_SENTENCE])
+    table = vt.read_vector_table(spark, path)
+    assert table.count() == 12
+    now = vt.current_versions(table, second)
+    assert {(r.document_version, r.internal_only) for r in now.collect()} == {("v2", True)}
+    assert now.count() == 6 and now.columns == table.columns
+
+
+def test_labels_come_from_the_folders(spark):
+    path = shared_folder(spark, "t")
+    ingest(spark, some_documents(spark), path, MODEL, "2024-01-01", [st.RECURSIVE_CHARACTER_TEXT_SPLITTING])
+    assert vt.stored_labels(spark, path) == {st.label(st.RECURSIVE_CHARACTER_TEXT_SPLITTING)}
 
 
 def test_other_strategy_is_refused_or_allowed(spark):
@@ -285,6 +289,7 @@ def test_empty_table_has_no_mismatch(spark):
     requested = spark.createDataFrame([("By sentence",)], "chunking_strategy string")
     empty = spark.createDataFrame([], "chunking_strategy string")
     assert st.missing_strategies(requested, empty).collect() == []
+    assert st.missing_strategies_except(requested, empty).collect() == []
 
 
 def test_known_texts_do_not_reach_the_model(spark):
@@ -401,3 +406,14 @@ def test_prompts(spark):
     assert row.conv_id == 1
     assert row.prompt.startswith("C: Text number")
     assert row.prompt.endswith("\n\n|\nsystem: Be kind.\nuser: hi\nassistant: hello\nuser: Text number 3?")
+
+
+def test_unwanted_files_are_not_opened(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("text")
+    (tmp_path / "b.bin").write_bytes(b"x" * 5000)
+    found = discover_files(spark, str(tmp_path)).select("document_name", "content")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert [r.document_name for r in found.collect()] == ["a.txt"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")

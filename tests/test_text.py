@@ -115,3 +115,15 @@ def test_pages_of_unclosed_elements_stay_linear(spark, mark):
 def test_comments_and_elements_that_do_not_close(spark):
     html = "a --> b<!-- c > d --> e > f <!-- open <i>g</i> <td>h</td> <script>i"
     assert value(spark, html, tx.html_to_text) == "a --> b e > f g h i"
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        ("&#9999999;", "\ufffd"), ("&#xFFFFFF;", "\ufffd"), ("&#xD800;", "\ufffd"), ("&#0;", "\ufffd"),
+        ("&#000065;&#x41;", "AA"), ("caf&eacute; &amp;lt; &lt;", "caf\u00e9 &lt; <"),
+        ("a & b &nosuch; &; &#; &#x;", "a & b &nosuch; &; &#; &#x;"), ("&#128512;", "\U0001f600"),
+    ],
+)
+def test_references(spark, given, wanted):
+    assert spark.range(1).select(tx.unescape_entities(F.lit(given))).first()[0] == wanted
