@@ -2,6 +2,8 @@
 
 Scores are computed where the vectors are read: each task keeps its best ``k`` distinct rows per
 question, so what is shuffled is ``tasks * questions * k`` short rows and never a pair list.
+Questions travel to the tasks in blocks of bounded size, one scan for each block: the table is
+neither shuffled nor copied, whatever the number of questions.
 """
 
 from __future__ import annotations
@@ -17,14 +19,10 @@ from pyspark.sql import types as T
 
 from passageworks import schema
 from passageworks.functions.vectors import METRICS, SCORE_DIGITS
+from passageworks.session import shared_folder
 
-# Question sets up to both limits travel to the tasks; larger ones take the block join.
-MAX_SENT_QUESTIONS = 4096
-MAX_SENT_BYTES = 32 << 20
-QUESTIONS_PER_BLOCK = 1024
-VECTORS_PER_BLOCK = 20_000
-MIN_TASKS = 10_000
-TASKS_PER_CORE = 4
+# Questions are hashed into blocks of about this many bytes; each block is one scan of the table.
+BYTES_PER_BLOCK = 32 << 20
 ROWS_PER_STEP = 16_384
 BYTES_PER_STEP = 32 << 20
 CELLS_PER_STEP = 4_000_000
@@ -200,51 +198,7 @@ def _score_with_sent_questions(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _hits(_best_rows(batches, questions, k, metric), qids, metric)
 
-    # Splits are scored one after another in a task, so that a scan of a million splits does
-    # not send a million best lists to the ranking.
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    tasks = max(MIN_TASKS, TASKS_PER_CORE * cores)
-    return table.coalesce(tasks).mapInArrow(run, T.StructType([T.StructField("qid", qid), *_HIT]))
-
-
-def _score_in_blocks(
-    table: DataFrame, questions: DataFrame, k: int, metric: str, qid: T.DataType
-) -> DataFrame:
-    """Every block of vectors meets every block of questions in one group of bounded size.
-
-    Copies are removed first, so rows spread evenly over the vector blocks. Nothing passes
-    through the driver but the two counts.
-    """
-    vectors = table.distinct()
-    n_vector_blocks = max(1, -(-vectors.count() // VECTORS_PER_BLOCK))
-    n_question_blocks = max(1, -(-questions.count() // QUESTIONS_PER_BLOCK))
-    left = vectors.withColumns(
-        {
-            "vb": F.pmod(F.xxhash64(*vectors.columns), F.lit(n_vector_blocks)),
-            "qb": F.explode(F.sequence(F.lit(0), F.lit(n_question_blocks - 1)).cast("array<long>")),
-        }
-    )
-    right = questions.select("qid", F.col("embedding").alias("question")).withColumns(
-        {
-            "qb": F.pmod(F.xxhash64("qid"), F.lit(n_question_blocks)),
-            "vb": F.explode(F.sequence(F.lit(0), F.lit(n_vector_blocks - 1)).cast("array<long>")),
-        }
-    )
-
-    def run(some_vectors: pa.Table, some_questions: pa.Table) -> pa.Table:
-        qids = some_questions.column("qid").combine_chunks()
-        matrix = _matrix(some_questions.column("question").combine_chunks())
-        best = []
-        if len(qids):
-            batches = iter(some_vectors.combine_chunks().to_batches())
-            best = _best_rows(batches, matrix, k, metric)
-        return pa.Table.from_batches([_hits(best, qids, metric)])
-
-    return (
-        left.groupBy("vb", "qb")
-        .cogroup(right.groupBy("vb", "qb"))
-        .applyInArrow(run, T.StructType([T.StructField("qid", qid), *_HIT]))
-    )
+    return table.mapInArrow(run, T.StructType([T.StructField("qid", qid), *_HIT]))
 
 
 def vector_search_batch(
@@ -255,12 +209,15 @@ def vector_search_batch(
     strategy: str | None = None,
     model: str | None = None,
     is_customer: bool = True,
-    max_sent_questions: int = MAX_SENT_QUESTIONS,
+    bytes_per_block: int = BYTES_PER_BLOCK,
 ) -> DataFrame:
     """The best ``k`` distinct chunks of every question, ranked from 1.
 
-    ``questions`` has a unique ``qid`` and an ``embedding``. Sets up to ``max_sent_questions``
-    and ``MAX_SENT_BYTES`` are sent to the scan of the table; larger ones are met in blocks.
+    ``questions`` has a unique ``qid`` and an ``embedding``. They are cut by a hash into blocks
+    of about ``bytes_per_block``; every block is scored in one scan of the table, and its hits are
+    written before the next block is read, so the driver holds one block at a time. Questions
+    without a vector, and an empty set, have no rows. ``strategy`` and ``model`` should name what
+    the table holds: scores of different ones are not comparable.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {sorted(METRICS)}")
@@ -268,15 +225,23 @@ def vector_search_batch(
     asked = questions.select("qid", "embedding")
     qid = asked.schema["qid"].dataType
 
-    head = asked.limit(max_sent_questions + 1).toArrow()
-    few = len(head) <= max_sent_questions and head.nbytes <= MAX_SENT_BYTES
-    if few:
-        head = head.filter(head.column("embedding").is_valid())
-        qids = head.column("qid").combine_chunks()
-        matrix = _matrix(head.column("embedding").combine_chunks())
-        hits = _score_with_sent_questions(seen, qids, matrix, k, metric, qid)
-    else:
-        hits = _score_in_blocks(seen, asked.filter("embedding is not null"), k, metric, qid)
+    asked = asked.filter("embedding is not null")
+    spark = table.sparkSession
+    size = asked.agg(F.sum(F.size("embedding") * 8 + 16)).first()[0] or 0
+    blocks = -(-size // bytes_per_block)
+    hits = spark.createDataFrame([], T.StructType([T.StructField("qid", qid), *_HIT]))
+    for block in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow()
+        if not len(mine):
+            continue
+        qids = mine.column("qid").combine_chunks()
+        matrix = _matrix(mine.column("embedding").combine_chunks())
+        found = _score_with_sent_questions(seen, qids, matrix, k, metric, qid)
+        if blocks > 1:
+            path = shared_folder(spark, "hits")
+            found.write.parquet(path)
+            found = spark.read.schema(found.schema).parquet(path)
+        hits = hits.union(found)
 
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*_order(metric)))
     return (

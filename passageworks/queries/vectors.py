@@ -106,6 +106,19 @@ def vector_search_employee(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _register_search(name: str) -> None:
+    @query(f"vector_search_{name}", _search_sql(name, "chunking_strategy = 'By sentence' AND NOT internal_only"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return se.vector_search(
+            inp.vector_table(spark, sf_dir), inp.question_vector(), metric=name, strategy="By sentence",
+            model=inp.MODEL.name,
+        )
+
+
+for _name in ("cosine_distance", "manhattan_distance", "squared_euclidean_distance"):
+    _register_search(_name)
+
+
 @query(
     "vector_search_distinct",
     _search_sql(
@@ -144,7 +157,8 @@ ranked AS (
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.vector_search_batch(inp.vector_table(spark, sf_dir), _asked(spark, sf_dir))
+    # Small blocks, so that the questions make several.
+    return se.vector_search_batch(inp.vector_table(spark, sf_dir), _asked(spark, sf_dir), bytes_per_block=4096)
 
 
 @query(

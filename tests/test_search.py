@@ -64,7 +64,7 @@ def test_single_search_is_exact(spark, name, k):
 
 
 @pytest.mark.parametrize("name", ["cosine_similarity", "euclidean_distance"])
-def test_batch_and_block_search_agree_with_brute_force(spark, name, monkeypatch):
+def test_batch_search_agrees_with_brute_force(spark, name):
     t = table(spark)
     rows = t.collect()
     rng = np.random.default_rng(3)
@@ -75,17 +75,20 @@ def test_batch_and_block_search_agree_with_brute_force(spark, name, monkeypatch)
         for q, v in asked
         for i, row in enumerate(brute(rows, v, name, 5))
     )
-    monkeypatch.setattr(se, "QUESTIONS_PER_BLOCK", 6)
-    monkeypatch.setattr(se, "VECTORS_PER_BLOCK", 50)
-    for limit in (4096, 3):  # sent to the scan; met in blocks
-        found = se.vector_search_batch(
-            t, questions, 5, name, is_customer=False, max_sent_questions=limit
-        )
+    for size in (1 << 20, 200):  # one block; several
+        found = se.vector_search_batch(t, questions, 5, name, is_customer=False, bytes_per_block=size)
         got = sorted((r.qid, r.rank, r.score, r.chunk_content, r.document_name) for r in found.collect())
         assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
         assert [g[2] for g in got] == pytest.approx([w[2] for w in want], nan_ok=True)
 
 
+def test_no_question_has_no_rows(spark):
+    t = table(spark)
+    for rows in ([], [(1, None)]):
+        questions = spark.createDataFrame(rows, "qid long, embedding array<float>")
+        assert se.vector_search_batch(t, questions).collect() == []
+
+
 def test_customer_sees_no_internal_rows(spark):
     rows = [
         ("open", "a", "s", "m", False, [0.0, 1.0]),
