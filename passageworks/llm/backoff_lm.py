@@ -8,8 +8,8 @@ words.
 ``score_against`` scores other documents that way. A document of the corpus itself has all its
 n-grams in the tables and never backs off, so in ``backoff_scores`` its logarithm is a difference of
 two sums: over its longest n-grams, and over their contexts. That lets every n-gram be shuffled
-once, as a hash: a document's distinct n-grams are dealt to buckets by hash, as one row per
-document and bucket; the task of a bucket builds the bucket's count table, joins it to the n-grams
+once, as a hash: the distinct n-grams of documents are dealt to buckets by hash, as one row per
+bucket and few megabytes of text; the task of a bucket builds the bucket's count table, joins it to the n-grams
 it holds, and hands on one sum per document. Sums are added per document.
 
 N-grams that a bounded sample of documents shows to be very common are counted beforehand and sent
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,9 @@ from passageworks.llm import flat
 
 ORDER = 2
 ALPHA = 0.4
-SAMPLED = 1000  # documents among which common n-grams are looked for
-COMMON = 0.01  # share of the sampled documents in which a common n-gram occurs
+NO_ID = -(1 << 62)  # stands for a null id inside the tasks
+SAMPLED = 2000  # documents among which common n-grams are looked for
+COMMON = 0.003  # share of the sampled documents in which a common n-gram occurs
 IN_BUCKET = 1 << 20  # n-grams of a bucket on average
 
 
@@ -121,53 +123,61 @@ def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return table[place] == values, place
 
 
-_DEALT = "bucket bigint, doc_id bigint, words bigint, total double, h array<bigint>, n array<int>, w array<int>"
+_DEALT = "bucket bigint, docs array<bigint>, runs array<int>, h array<bigint>, n array<int>, w array<int>"
 _SUMS = "doc_id bigint, words bigint, total double"
+OWED = -1  # the bucket of rows that hold words and sums of common n-grams instead
 
 
 def _dealt(
     docs: DataFrame, common: np.ndarray, log_count: np.ndarray, all_words: int, buckets: int, order: int, text: str
 ) -> DataFrame:
-    """A document's n-grams by bucket, and one row of what it owes to common n-grams."""
+    """The n-grams of a few megabytes of text by bucket: hashes, and how many each document has.
+
+    ``docs`` holds differences of ids, and ``runs`` the number of n-grams of each, so a row costs
+    little more than its hashes. A document's words, and what it owes to common n-grams, are a
+    row of their own kind: ``h`` holds the words, and the bits of the sum follow them.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((common, log_count))
     log_words = float(np.log(max(1, all_words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, logs = sent.value
-        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for first, part in flat.pieces(batch.column(1)):
-                ids = batch.column(0).slice(first, len(part)).to_pylist()
-                rows = []
+                ids = pc.fill_null(batch.column(0).slice(first, len(part)), NO_ID).to_numpy()
+                found, owner, words, owed = [], [], [], []
                 for r, values, weight, counts, size in _ngrams(part, order):
                     hit, place = _find(table, values)
-                    owed = float((weight[hit] * logs[place[hit]]).sum()) - (log_words if size else 0.0)
-                    rows.append(((first + r) % buckets, ids[r], size, owed, none, none, none))
-                    values, weight, counts = values[~hit], weight[~hit], counts[~hit]
-                    home = (values >> np.uint64(20)) % np.uint64(buckets)
-                    by = np.argsort(home, kind="stable")
-                    cuts = np.flatnonzero(np.diff(home[by])) + 1
-                    for at in np.split(by, cuts) if len(by) else []:
-                        rows.append((int(home[at[0]]), ids[r], 0, 0.0, values[at].view(np.int64), counts[at], weight[at]))
-                    if len(rows) > 20_000:
-                        yield _packed(rows)
-                        rows = []
-                if rows:
-                    yield _packed(rows)
+                    owed.append(float((weight[hit] * logs[place[hit]]).sum()) - (log_words if size else 0.0))
+                    words.append(size)
+                    found.append((values[~hit], counts[~hit], weight[~hit]))
+                    owner.append(np.full(len(found[-1][0]), r))
+                values, counts, weight = (np.concatenate(c) for c in zip(*found, strict=True))
+                owner = np.concatenate(owner)
+                home = (values >> np.uint64(20)) % np.uint64(buckets)
+                by = np.argsort(home, kind="stable")
+                cuts = np.flatnonzero(np.diff(home[by])) + 1
+                rows = [(OWED, ids, np.ones(len(ids)), np.r_[words, np.array(owed).view(np.int64)], [], [])]
+                for at in np.split(by, cuts) if len(by) else []:
+                    mine, runs = np.unique(owner[at], return_counts=True)
+                    rows.append((int(home[at[0]]), ids[mine], runs, values[at].view(np.int64), counts[at], weight[at]))
+                for lo in range(0, len(rows), 1000):
+                    yield _packed(rows[lo : lo + 1000])
 
     return docs.select("doc_id", text).mapInArrow(run, _DEALT)
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    bucket, doc, words, total, h, n, w = zip(*rows, strict=True)
+    bucket, ids, runs, h, n, w = zip(*rows, strict=True)
+    steps = [np.diff(i, prepend=0) for i in ids]
     arrays = [
-        pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()), pa.array(words, pa.int64()),
-        pa.array(total, pa.float64()), _lists(h, np.int64), _lists(n, np.int32), _lists(w, np.int32),
+        pa.array(bucket, pa.int64()), _lists(steps, np.int64), _lists(runs, np.int32), _lists(h, np.int64),
+        _lists(n, np.int32), _lists(w, np.int32),
     ]
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "doc_id", "words", "total", "h", "n", "w"])
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "docs", "runs", "h", "n", "w"])
 
 
-def _lists(values: tuple, kind: type) -> pa.Array:
+def _lists(values: tuple | list, kind: type) -> pa.Array:
     offsets = np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).astype(kind)))
 
@@ -191,23 +201,31 @@ def _scored(dealt: DataFrame) -> DataFrame:
         if held:
             yield _bucket_sums(held)
 
-    sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    # What documents owe to common n-grams needs no bucket: those rows go where there is room.
+    spread = F.when(F.col("bucket") == OWED, F.xxhash64("docs")).otherwise(F.col("bucket"))
+    sorted_ = dealt.repartition(spread).sortWithinPartitions("bucket")
     return sorted_.mapInArrow(run, _SUMS)
 
 
 def _bucket_sums(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     rows = pa.Table.from_batches(held)
-    h, n, w = (rows.column(c).combine_chunks() for c in ("h", "n", "w"))
-    ids = rows.column("doc_id").combine_chunks()
-    size = np.diff(h.offsets.to_numpy())
+    column = lambda name: rows.column(name).combine_chunks()
+    steps, h = column("docs"), column("h")
+    ids = np.concatenate([np.cumsum(d) for d in np.split(steps.flatten().to_numpy(), np.cumsum(steps.value_lengths())[:-1])])
+    if rows.column("bucket")[0].as_py() == OWED:
+        both = [x.reshape(2, -1) for x in np.split(h.flatten().to_numpy(), np.cumsum(h.value_lengths())[:-1])]
+        words, total = np.concatenate(both, axis=1)
+        return _sums(ids, words, total.view(np.float64))
     values, place = np.unique(h.flatten().to_numpy(), return_inverse=True)
-    count = np.bincount(place, n.flatten().to_numpy(), len(values))
-    gain = w.flatten().to_numpy() * np.log(np.maximum(count, 1))[place]
-    owner = np.repeat(np.arange(len(size)), size)
-    total = np.bincount(owner, gain, len(size)) + rows.column("total").to_numpy()
-    return pa.RecordBatch.from_arrays(
-        [ids, rows.column("words").combine_chunks(), pa.array(total)], names=["doc_id", "words", "total"]
-    )
+    count = np.bincount(place, column("n").flatten().to_numpy(), len(values))
+    gain = column("w").flatten().to_numpy() * np.log(np.maximum(count, 1))[place]
+    owner = np.repeat(np.arange(len(ids)), column("runs").flatten().to_numpy())
+    return _sums(ids, np.zeros(len(ids), dtype=np.int64), np.bincount(owner, gain, len(ids)))
+
+
+def _sums(ids: np.ndarray, words: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    ids = pa.array(ids, mask=ids == NO_ID)
+    return pa.RecordBatch.from_arrays([ids, pa.array(words), pa.array(total)], names=["doc_id", "words", "total"])
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER, text: str = "text") -> DataFrame:

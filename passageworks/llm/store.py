@@ -29,3 +29,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; results read from them must be saved."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    )
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
