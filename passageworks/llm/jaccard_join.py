@@ -273,7 +273,9 @@ def _links(
     members = index.select("h", "n", "pos", F.col("group").alias("rep")).union(
         index.join(inside, ["group", "n"]).select("h", "n", "pos", "rep")
     )
-    known = components(links, "a", "b").withColumnRenamed("node", "rep")
+    # Two documents linked to one centre are connected, which is all that is used here: whoever
+    # keeps apart from its component only costs a comparison more.
+    known = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("component"))
     labelled = written(
         members.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members"
     )
