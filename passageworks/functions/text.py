@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from collections.abc import Callable
 from html.entities import html5
 
@@ -292,9 +293,10 @@ def linearize_cells(rows: Column, n_columns: Column) -> Column:
 
 # ---------------------------------------------------------------- Markdown
 
-# Marks inside code are set aside as control characters while the line's other marks go.
-_CODE_MARKS = "*_~[]<>&"
-_SET_ASIDE = "".join(chr(0x0E + i) for i in range(len(_CODE_MARKS)))
+# Marks inside code, and escaped ones, are set aside while the line's other marks go: as the 32
+# code points that Unicode keeps for use inside a program. A line that holds one is left alone.
+_MARKS = string.punctuation
+_SET_ASIDE = "".join(chr(0xFDD0 + i) for i in range(len(_MARKS)))
 _WORD = r"\p{L}\p{N}_"
 _TARGET = r"\([^()]*(?:\([^()]*\)[^()]*)?\)"
 
@@ -303,6 +305,7 @@ _TARGET = r"\([^()]*(?:\([^()]*\)[^()]*)?\)"
 _INLINE = [
     (rf"!\[[^\[\]]*\]{_TARGET}", ""),  # images have no text
     (rf"\[([^\[\]]*)\]{_TARGET}", "$1"),  # links keep their label
+    (r"\[([^\[\]]*)\]\[[^\[\]]*\]", "$1"),
     (r"<((?:https?|mailto):[^<>\s]*)>", "$1"),
     (r"</?[a-zA-Z][a-zA-Z0-9-]*(?:\s[^<>]*)?/?>", ""),
     (r"(?<!\*)\*(?=[^\s*])([^*]*)(?<!\s)\*(?!\*)", "$1"),
@@ -334,23 +337,47 @@ def _code_set_aside(line: Column) -> Column:
         balanced = F.size(parts) % 2 == 1
         aside = F.transform(
             parts,
-            lambda p, i: F.when(i % 2 == 1, F.translate(p, _CODE_MARKS, _SET_ASIDE)).otherwise(p),
+            lambda p, i: F.when(i % 2 == 1, F.translate(p, _MARKS, _SET_ASIDE)).otherwise(
+                _escapes_set_aside(p)
+            ),
         )
-        return F.when(balanced, F.array_join(aside, "")).otherwise(line)
+        return F.when(balanced, F.array_join(aside, "")).otherwise(_escapes_set_aside(line))
 
     return F.when(F.contains(line, F.lit("`")), let(F.split(line, "`", -1), by_part)).otherwise(
-        line
+        _escapes_set_aside(line)
     )
 
 
+def _aside(mark: str) -> str:
+    return _SET_ASIDE[_MARKS.index(mark)]
+
+
+def _escapes_set_aside(text: Column) -> Column:
+    """Marks behind a backslash, without it; a backslash before anything else stays."""
+
+    def by_part(part: Column, i: Column) -> Column:
+        first = F.translate(F.left(part, F.lit(1)), _MARKS, _SET_ASIDE)
+        escaped = F.concat(first, F.substr(part, F.lit(2)))
+        plain = F.when(first == F.left(part, F.lit(1)), F.concat(F.lit("\\"), part))
+        return F.when(i == 0, part).otherwise(F.coalesce(plain, escaped))
+
+    # Escaped backslashes go first, so the others stand alone.
+    single = F.replace(text, F.lit("\\\\"), F.lit(_aside("\\")))
+    joined = let(F.split(single, r"\\", -1), lambda parts: F.array_join(F.transform(parts, by_part), ""))
+    return F.when(F.contains(text, F.lit("\\")), joined).otherwise(text)
+
+
 def _inline_markdown(line: Column) -> Column:
     def without_marks(text: Column) -> Column:
-        plain = _replace_all(_code_set_aside(text), _INLINE)
+        # An escaped backtick opens no code.
+        whole = F.replace(text, F.lit("\\`"), F.lit(_aside("`")))
+        plain = _replace_all(_code_set_aside(whole), _INLINE)
         # References are resolved here, so that those inside code stay as they are written.
         resolved = let(plain, unescape_entities)
-        return F.translate(resolved, _SET_ASIDE, _CODE_MARKS)
+        return F.translate(resolved, _SET_ASIDE, _MARKS)
 
-    return let(line, lambda x: F.when(x.rlike(r"[*_~`\[<&]"), without_marks(x)).otherwise(x))
+    marked = r"^[^\x{FDD0}-\x{FDEF}]*[*_~`\[<&\\][^\x{FDD0}-\x{FDEF}]*$"
+    return let(line, lambda x: F.when(x.rlike(marked), without_marks(x)).otherwise(x))
 
 
 def _is_table_rule(line: Column) -> Column:
@@ -373,7 +400,7 @@ def _is_horizontal_rule(line: Column) -> Column:
 def _table_row(line: Column, separator: str) -> Column:
     """The cells between the outer pipes, joined by the separator."""
     inner = strip(line)
-    inner = F.substring(inner, F.lit(2), F.char_length(inner) - 2)
+    inner = F.regexp_replace(inner, r"^\||\|$", "")
     cells = F.transform(F.split(inner, r"\|", -1), lambda c: _inline_markdown(strip(c)))
     return F.array_join(cells, separator)
 
@@ -388,8 +415,14 @@ def _markdown_lines(part: Column, indicate_tables: bool, separator: str) -> Colu
             bare = strip(text)
             is_row = F.contains(text, F.lit("|")) & bare.startswith("|") & bare.endswith("|")
             is_row = is_row & (F.char_length(bare) > 1)
+            # Below a head and its rule, cells need no outer pipes.
+            in_table = F.coalesce(_is_table_rule(F.get(lines, F.lit(1))), F.lit(False))
+            is_row = is_row | (in_table & F.contains(text, F.lit("|")))
+            above = F.coalesce(strip(F.get(lines, i - 1)), F.lit(""))
+            underline = (above != "") & text.rlike(r"^ {0,3}=+[ \t]*$")
+            definition = text.rlike(r"^ {0,3}\[[^\[\]]+\]:[ \t]*[^ \t]+")
             return (
-                F.when(_is_table_rule(text), F.lit(None).cast("string"))
+                F.when(_is_table_rule(text) | underline | definition, F.lit(None).cast("string"))
                 .when(_is_horizontal_rule(text), F.lit(""))
                 .when(is_row, row)
                 .otherwise(_inline_markdown(_replace_all(text, _BLOCK)))
@@ -398,7 +431,17 @@ def _markdown_lines(part: Column, indicate_tables: bool, separator: str) -> Colu
         # array_join leaves out the null that stands for a table's rule line.
         return F.array_join(F.transform(lines, line), "\n")
 
-    return let(F.split(part, "\n", -1), convert)
+    def block(text: Column) -> Column:
+        listed = text.rlike(r"^[ \t]+(?:[-*+]|[0-9]{1,9}[.)])[ \t]")
+        code = text.rlike(r"^(?: {4}|\t)") & ~listed
+        kept = F.regexp_replace(text, r"(?m)^(?: {4}|\t)", "")
+        return F.when(code, kept).otherwise(let(F.split(text, "\n", -1), convert))
+
+    # Blank lines part blocks: tables, paragraphs, and code that is indented.
+    blocks = F.split(part, r"\n[ \t]*\n", -1)
+    return F.array_join(
+        F.transform(blocks, lambda b: let(F.regexp_replace(b, r"^\n+", ""), block)), "\n"
+    )
 
 
 def markdown_to_text(
@@ -408,7 +451,7 @@ def markdown_to_text(
 
     Fenced code is kept as it stands; blank lines between blocks become one line break.
     """
-    parts = F.split(text, r"(?m)^ {0,3}```[^\n]*(?:\n|\z)", -1)
+    parts = F.split(text, r"(?m)^ {0,3}(?:```|~~~)[^\n]*(?:\n|\z)", -1)
     converted = F.transform(
         parts,
         lambda part, i: F.when(i % 2 == 1, part).otherwise(

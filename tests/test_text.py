@@ -127,3 +127,21 @@ def test_comments_and_elements_that_do_not_close(spark):
 )
 def test_references(spark, given, wanted):
     assert spark.range(1).select(tx.unescape_entities(F.lit(given))).first()[0] == wanted
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        (r"\*not emphasized\* *but this*", "*not emphasized* but this"),
+        ("Title\n=====\nbody", "Title\nbody"),
+        ("~~~\n*kept*\n~~~\n*gone*", "*kept*\ngone"),
+        ("a | b\n--- | ---\n1 | *2*\n", "Table:\na,b\n1,2\n"),
+        ("see [the text][1] here\n\n[1]: http://a.example/x", "see the text here\n"),
+        ("one\n\n    x = *a* * *b*\n\ntwo", "one\nx = *a* * *b*\ntwo"),
+        ("\x0e\x0f and *x*", "\x0e\x0f and x"),
+        (r"a\\b \q \`c\`", r"a\b \q `c`"),
+        ("`a\\*` and *b*", "a\\* and b"),
+    ],
+)
+def test_markdown_forms(spark, given, wanted):
+    assert spark.range(1).select(tx.markdown_to_text(F.lit(given))).first()[0] == wanted
