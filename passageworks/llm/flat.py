@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 22  # bytes of text handled at once: the arrays over it are 8 to 40 times as large
+BLOCK = 1 << 21  # bytes of text handled at once: the arrays over it are 8 to 40 times as large
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers never vanish
 
 
