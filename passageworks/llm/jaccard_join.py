@@ -170,10 +170,17 @@ def _prefixes(
     return first.where("prefix IS NOT NULL").union(second), shared
 
 
-def _differ(a: str, b: str) -> Column:
+def _folded(bits: Column) -> Column:
+    """A parity map of a quarter of the bits: parities of the union of four places."""
+    words = BITS // 256
+    fold = lambda i: bits[i].bitwiseXOR(bits[i + words]).bitwiseXOR(bits[i + 2 * words]).bitwiseXOR(bits[i + 3 * words])
+    return F.array(*(fold(i) for i in range(words)))
+
+
+def _differ(a: str, b: str, words: int = BITS // 64) -> Column:
     """In how many bits two parity maps differ; written out, so that it is compiled."""
     count = F.lit(0)
-    for i in range(BITS // 64):
+    for i in range(words):
         count = count + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
     return count
 
@@ -297,9 +304,11 @@ def _links(
 
     rare = labelled.join(mixed.where(F.col("k") <= HEAVY).select("h"), "h")
     heavy = labelled.join(mixed.where(F.col("k") > HEAVY).select("h"), "h")
-    maps = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits")
-    # Where many meet, a pair becomes a row only if its parity maps allow a link.
+    folded = _folded(F.col("bits")).alias("bits")
+    maps = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), folded)
+    # Where many meet, a pair becomes a row only if its parity maps allow a link; short maps, as
+    # they travel with every row.
     heavy = heavy.join(maps, ["rep", "n"])
     least = F.col("x.n") + F.col("y.n") - 2 * _need(F.col("x.n"), F.col("y.n"), percent)
-    rest = meet(rare, F.lit(True)).union(meet(heavy, _differ("x.bits", "y.bits") <= least))
+    rest = meet(rare, F.lit(True)).union(meet(heavy, _differ("x.bits", "y.bits", BITS // 256) <= least))
     return links.union(_verified(docs, rest, signed, percent, size, text, "rest"))
