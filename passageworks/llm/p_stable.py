@@ -8,7 +8,10 @@ directions. It stops when the visited buckets hold a neighbour with probability
 tables. Candidates are ranked by exact Euclidean distance in double precision.
 
 r is measured: for a few sampled queries the distance of the k-th neighbour is found exactly, in
-one scan. The number of directions grows with the logarithm of the number of vectors, so buckets
+one scan, and its median is r in the first round. The k-th distance that a query finds there bounds
+its own from above; where it is larger than r, the query probes again with it as its r. Queries
+that found fewer than k, or for which that would be too many buckets, are compared with all
+vectors, block by block. The number of directions grows with the logarithm of the number of vectors, so buckets
 keep their size. Buckets beyond CHUNK vectors are cut into chunks that a query visits one by one.
 No candidate list is capped: a task keeps, per query, the k best of all candidates it has seen.
 """
@@ -34,6 +37,8 @@ CELLS = 2.0  # width of a cell, in deviations of the projections
 CHUNK = 4096  # vectors of a chunk of a large bucket
 SAMPLED = 64  # queries for which r is measured
 HELD = 20_000  # queries whose best candidates a task holds before it hands them on
+MOST_PROBES = 1 << 16  # buckets of a table beyond which a query is compared with all vectors
+QUERY_BLOCK = 1 << 24  # bytes of queries that are compared with all vectors in one scan
 BEAM = 4096  # partial buckets kept at first, four times as many whenever they do not suffice
 
 
@@ -59,8 +64,8 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, 1 - tail, tail)
 
 
-def probes(place: np.ndarray, spread: float, target: float) -> np.ndarray:
-    """Cells of the buckets to visit for a query, most probable first.
+def probes(place: np.ndarray, spread: float, target: float, most: float = math.inf) -> np.ndarray | None:
+    """Cells of the buckets to visit for a query, most probable first; None if over ``most``.
 
     ``place`` are its projections in cells, ``spread`` the deviation of a neighbour in cells.
     Directions are added one by one; after each, the most probable partial buckets are kept.
@@ -81,7 +86,10 @@ def probes(place: np.ndarray, spread: float, target: float) -> np.ndarray:
             weight = both[keep]
         total = np.cumsum(weight)
         if total[-1] >= target or not cut:
-            return cells[: int(np.searchsorted(total, target)) + 1]
+            cells = cells[: int(np.searchsorted(total, target)) + 1]
+            return cells if len(cells) <= most else None
+        if beam >= most:
+            return None
         beam *= 4
 
 
@@ -128,13 +136,14 @@ def _best_of(found: DataFrame, k: int) -> DataFrame:
     """The k nearest distinct vectors of each query, with their rank."""
     ahead = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
-        found.distinct().withColumn("rank", F.row_number().over(ahead)).where(F.col("rank") <= k)
+        found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        .withColumn("rank", F.row_number().over(ahead)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
 def measured_radius(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[float, float]:
-    """A high quantile of the distance of the k-th neighbour, and the deviation of a projection.
+    """The median distance of the k-th neighbour, and the deviation of a projection.
 
     Exact for at most SAMPLED queries (in the order of a hash of their id), in one scan.
     """
@@ -153,12 +162,43 @@ def measured_radius(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[flo
     last = _best_of(found, k).groupBy("query_id").agg(F.max("score").alias("d")).collect()
     center = q.mean(axis=0)
     deviation = float(np.sqrt(((q - center) ** 2).sum(axis=1).mean()))
-    # Each query visits for a neighbour as far as the middle sampled query's last one. A few
-    # queries may lie closer together than the vectors do: cells are never far below the radius.
+    # In the first round each query visits for a neighbour as far as the middle sampled query's
+    # last one. A few queries may lie closer together than the vectors do: cells are never far
+    # below the radius.
     radius = float(np.median([r["d"] for r in last])) if last else 0.0
     return radius, max(deviation, radius / 2)
 
 
+def _compared_with_all(good: DataFrame, queries: DataFrame, k: int, dim: int) -> list[DataFrame]:
+    """The best of all vectors for each query, exactly: a scan for each block of queries."""
+    session, size = good.sparkSession, max(1, QUERY_BLOCK // (8 * max(1, dim)))
+
+    def scan(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        sent = session.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (ids, q), best = sent.value, _Best(k)
+            for batch in batches:
+                have, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+                for lo in range(0, len(ids), 1024):
+                    best.add(ids[lo : lo + 1024], q[lo : lo + 1024], have, x)
+            if (out := best.take()) is not None:
+                yield out
+
+        found = good.select("id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+        return written(found, "compared")
+
+    out, block = [], []
+    for row in queries.select("id", "v").toLocalIterator():
+        block.append(row)
+        if len(block) == size:
+            out.append(scan(np.array([r[0] for r in block], dtype=np.int64), np.array([r[1] for r in block])))
+            block = []
+    if block:
+        out.append(scan(np.array([r[0] for r in block], dtype=np.int64), np.array([r[1] for r in block])))
+    return out
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding",
     target: float = TARGET, tables: int = TABLES, bucket: int = BUCKET,
@@ -182,7 +222,6 @@ def nearest(
     if radius == 0.0 and deviation == 0.0:
         deviation = 1.0
     width = CELLS * max(deviation, 1e-12)
-    spread = max(radius, 1e-3 * deviation) / width
     # At this width a direction tells about 1.9 cells apart (the exponential of their entropy).
     dims = max(2, math.floor(math.log(max(2, n / bucket)) / math.log(1.9)))
     turn, offset = directions(dim or 1, dims, tables)
@@ -199,18 +238,24 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns[:2]], names=["bucket", "id", "v"])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The buckets that a query visits for neighbours as far as its r; null if too many."""
         for batch in batches:
-            x = matrix(batch.column(1))
+            x, r = matrix(batch.column(1)), batch.column(2).to_numpy()
             for lo in range(len(x)):
-                keys = [bucket_key(t, probes(place(x[lo : lo + 1], t)[0], spread, per_table)) for t in range(tables)]
-                keys = np.concatenate(keys)
+                spread, keys = max(float(r[lo]), 1e-3 * deviation) / width, []
+                for t in range(tables):
+                    # Beyond 4 cells, nearly every bucket would have to be visited.
+                    cells = probes(place(x[lo : lo + 1], t)[0], spread, per_table, MOST_PROBES) if spread <= 4 else None
+                    keys.append(None if cells is None else pa.array(bucket_key(t, cells)))
+                if any(key is None for key in keys):
+                    keys = [pa.nulls(1, pa.int64())]
+                keys = pa.concat_arrays(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), batch.column(0).take(pa.array(np.full(len(keys), lo)))], names=["bucket", "id"]
+                    [keys, batch.column(0).take(pa.array(np.full(len(keys), lo)))], names=["bucket", "id"]
                 )
 
     stored = good.select("id", "v").mapInArrow(index, "bucket bigint, id bigint, v array<double>")
     stored = written(stored, "buckets")
-    probed = queries.repartition("id").mapInArrow(visits, "bucket bigint, id bigint")
     large = sizes_above(stored, ["bucket"], CHUNK).checkpoint()
     placed = stored.join(large, "bucket", "left").select(
         "bucket", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("part"),
@@ -218,13 +263,11 @@ def nearest(
     )
     every = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
     there = stored.select("bucket").distinct()
-    asked = (
-        probed.join(there, "bucket", "left_semi").join(large, "bucket", "left")
-        .select("bucket", F.explode(every).alias("part"), F.lit(0).alias("kind"), "id")
-    )
-    asked = asked.join(queries, "id").select("bucket", "part", "kind", "id", "v")
-    both = placed.union(asked).withColumn("bin", F.xxhash64("bucket", "part"))
-    dealt = both.repartition("bin").sortWithinPartitions("bucket", "part", "kind")
+
+    def probed(asking: DataFrame) -> DataFrame:
+        """``bucket, id`` of queries with their ``r``."""
+        made = asking.select("id", "v", "r").repartition("id").mapInArrow(visits, "bucket bigint, id bigint")
+        return written(made.distinct(), "visits")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, here = _Best(k), None
@@ -248,5 +291,30 @@ def nearest(
         if (out := best.take()) is not None:
             yield out
 
-    found = dealt.drop("bin").mapInArrow(search, "query_id bigint, vec_id bigint, score double")
+    def met(visited: DataFrame) -> DataFrame:
+        """The best of the buckets visited, for each query."""
+        asked = (
+            visited.join(there, "bucket", "left_semi").join(large, "bucket", "left")
+            .select("bucket", F.explode(every).alias("part"), F.lit(0).alias("kind"), "id")
+        )
+        asked = asked.join(queries, "id").select("bucket", "part", "kind", "id", "v")
+        both = placed.union(asked).withColumn("bin", F.xxhash64("bucket", "part"))
+        dealt = both.repartition("bin").sortWithinPartitions("bucket", "part", "kind")
+        found = dealt.drop("bin").mapInArrow(search, "query_id bigint, vec_id bigint, score double")
+        return written(_best_of(found, k).drop("rank"), "met")
+
+    visited = probed(queries.withColumn("r", F.lit(radius)))
+    found = met(visited.where("bucket IS NOT NULL"))
+    # What a query has found bounds its own distance: who was to look farther looks again.
+    own = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("r"))
+    own = queries.join(own.withColumnRenamed("query_id", "id"), "id", "left")
+    own = written(own.withColumn("short", F.coalesce(F.col("n"), F.lit(0)) < k), "own")
+    farther = own.where(~F.col("short") & (F.col("r") > max(radius, 1e-3 * deviation)))
+    if not farther.isEmpty():
+        again = probed(farther)
+        found = found.union(met(again.where("bucket IS NOT NULL").join(visited, ["bucket", "id"], "left_anti")))
+        visited = visited.union(again)
+    left = visited.where("bucket IS NULL").select("id").union(own.where("short").select("id")).distinct()
+    for rows in _compared_with_all(good, queries.join(left, "id", "left_semi"), k, dim):
+        found = found.union(rows)
     return _best_of(found, k)

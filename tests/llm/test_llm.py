@@ -228,6 +228,28 @@ def test_large_buckets_are_cut(spark, monkeypatch):
         assert sorted(r.vec_id for r in out if r.query_id == i) == sorted(np.argsort(d, kind="stable")[:5].tolist())
 
 
+@pytest.mark.parametrize("probes", [1 << 16, 1])
+def test_scattered_vectors_among_tight_groups(spark, monkeypatch, probes):
+    """Most vectors are near copies, which says nothing about how far the others have to look."""
+    monkeypatch.setattr(p_stable, "MOST_PROBES", probes)
+    monkeypatch.setattr(p_stable, "QUERY_BLOCK", 8 * 32 * 50)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 32))
+    for lo in range(0, 2600, 20):
+        x[lo : lo + 20] = x[lo] + 1e-4 * rng.normal(size=(20, 32))
+    f = x.astype(np.float32).astype(np.float64)
+    table = vectors_of(spark, [(i, v.tolist(), 0, 0.0, "") for i, v in enumerate(f)])
+    out = p_stable.nearest(table, F.col("vec_id") % 20 == 0, bucket=64).collect()
+    hits = {True: [], False: []}
+    for i in range(0, 4000, 20):
+        d = np.sqrt(((f - f[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        mine = {r.vec_id for r in out if r.query_id == i}
+        assert len(mine) == 10
+        hits[i >= 2600].append(len(mine & set(np.argsort(d)[:10].tolist())) / 10)
+    assert np.mean(hits[False]) >= 0.95 and np.mean(hits[True]) >= 0.95
+
+
 # ---------------------------------------------------------------- 4
 
 
