@@ -12,6 +12,11 @@ once, as a hash: the distinct n-grams of documents are dealt to buckets by hash,
 bucket and few megabytes of text; the task of a bucket builds the bucket's count table, joins it to the n-grams
 it holds, and hands on one sum per document. Sums are added per document.
 
+``document_scores`` also leaves a document's own counts out of the counts it is scored with, so it
+backs off where no other document has an n-gram. Which length a word takes is known only when the
+counts of all its n-grams are: blocks of documents are written, buckets return the counts of the
+n-grams that a block sent, and a block's task scores its documents.
+
 N-grams that a bounded sample of documents shows to be very common are counted beforehand and sent
 to the tasks, so none of them gathers in one bucket. The number of buckets follows the number of
 n-grams, so a bucket's size does not grow with the corpus.
@@ -19,6 +24,7 @@ n-grams, so a bucket's size does not grow with the corpus.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passageworks.llm import flat
+from passageworks.llm.store import written
 
 ORDER = 2
 ALPHA = 0.4
 NO_ID = -(1 << 62)  # stands for a null id inside the tasks
 SAMPLED = 2000  # documents among which common n-grams are looked for
 COMMON = 0.003  # share of the sampled documents in which a common n-gram occurs
+MOST_SENT = 1 << 20  # repeated ids up to which their list is sent to the tasks
 IN_BUCKET = 1 << 20  # n-grams of a bucket on average
 
 
@@ -43,30 +51,20 @@ def _ngrams(part: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.nd
     Each word after a full context gives +1 to the n-gram and -1 to the context; the words before
     are scored after the context there is. The first word has no context but the corpus.
     """
-    data, offsets = flat.text_bytes(part)
-    row, _, _, word = flat.words(data, offsets)
-    ends = np.searchsorted(row, np.arange(len(part) + 1))
-    levels = []
-    for n in range(1, order + 1):
-        total = np.zeros(max(0, len(word) - n + 1), dtype=np.uint64)
-        for k in range(n):
-            total = flat.mix(total + word[k : k + len(total)] + np.uint64(n))
-        levels.append(total)
-    for r in range(len(part)):
-        lo, hi = int(ends[r]), int(ends[r + 1])
-        size = hi - lo
-        hashes, counts, weights = [], [], []
-        for n in range(1, order + 1):
-            if size < n:
+    for r, levels in _occurrences(part, order):
+        size = len(levels[0])
+        hashes, weights = [], []
+        for n, own in enumerate(levels, 1):
+            if not len(own):
                 break
-            own = levels[n - 1][lo : hi - n + 1]
             weight = np.zeros(len(own))
             if n == order:
                 weight += 1
             else:
                 weight[0] += 1  # the word that ends the first n-gram has no longer context
-                weight[: max(0, size - n)] -= 1
-            hashes.append(own), weights.append(weight), counts.append(np.ones(len(own)))
+                # Contexts: of every full n-gram, or of the first word after the first n-gram.
+                weight[: max(0, size - n) if n == order - 1 else int(size > n)] -= 1
+            hashes.append(own), weights.append(weight)
         if hashes:
             values, place = np.unique(np.concatenate(hashes), return_inverse=True)
             weight = np.bincount(place, np.concatenate(weights), len(values))
@@ -75,6 +73,22 @@ def _ngrams(part: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.nd
             yield r, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), 0
 
 
+def _occurrences(part: pa.Array, order: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Per text: its row, and the hashes of its n-grams of each length, in the order of the text."""
+    data, offsets = flat.text_bytes(part)
+    row, _, _, word = flat.words(data, offsets)
+    ends = np.searchsorted(row, np.arange(len(part) + 1))
+    levels = []
+    for n in range(1, order + 1):
+        total = np.zeros(max(0, len(word) - n + 1), dtype=np.uint64)
+        for k in range(n):
+            total = flat.mix(total + word[k : k + len(total)] + np.uint64(n))
+        levels.append(total)
+    for r in range(len(part)):
+        lo, hi = int(ends[r]), int(ends[r + 1])
+        yield r, [level[lo : max(lo, hi - n)] for n, level in enumerate(levels)]
+
+
 def _common(docs: DataFrame, order: int, text: str) -> np.ndarray:
     """Hashes of the n-grams found in many of the sampled documents.
 
@@ -148,7 +162,8 @@ def _dealt(
                 found, owner, words, owed = [], [], [], []
                 for r, values, weight, counts, size in _ngrams(part, order):
                     hit, place = _find(table, values)
-                    owed.append(float((weight[hit] * logs[place[hit]]).sum()) - (log_words if size else 0.0))
+                    alone = size if order == 1 else min(size, 1)  # words whose context is the corpus
+                    owed.append(float((weight[hit] * logs[place[hit]]).sum()) - alone * log_words)
                     words.append(size)
                     found.append((values[~hit], counts[~hit], weight[~hit]))
                     owner.append(np.full(len(found[-1][0]), r))
@@ -251,6 +266,231 @@ def _per_document(sums: DataFrame) -> DataFrame:
     )
 
 
+_BLOCKS = "block bigint, ids array<bigint>, again array<boolean>, texts array<string>"
+_SENT = f"{_BLOCKS}, bucket bigint, h array<bigint>, n array<bigint>"
+IN_BLOCK = 1 << 21  # bytes of text of a block
+
+
+def _blocks(docs: DataFrame, text: str) -> DataFrame:
+    """Documents in blocks; ``again`` marks those whose id other rows have too."""
+    repeated = written(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if (n := repeated.count()) == 0:
+        marked = docs.select("doc_id", text, F.lit(False).alias("again"))
+    else:
+        other = repeated.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again"))
+        other = F.broadcast(other) if n <= MOST_SENT else other
+        marked = docs.join(other, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+            "doc_id", text, F.coalesce("_again", F.lit(False)).alias("again")
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in flat.pieces(batch.column(1), IN_BLOCK):
+                ids = pc.fill_null(batch.column(0).slice(first, len(part)), NO_ID)
+                whole = pa.array([0, len(part)], pa.int32())
+                lists = [ids, batch.column(2).slice(first, len(part)), pc.fill_null(part, "").cast(pa.string())]
+                name = pa.array([uuid.uuid4().int & ((1 << 62) - 1)])
+                yield pa.RecordBatch.from_arrays(
+                    [name, *(pa.ListArray.from_arrays(whole, x) for x in lists)], names=["block", "ids", "again", "texts"]
+                )
+
+    return written(marked.mapInArrow(run, _BLOCKS), "blocks")
+
+
+class _Block:
+    """The distinct n-grams of the documents of a block, and where each of them is counted."""
+
+    def __init__(self, ids: pa.Array, again: pa.Array, texts: pa.Array, common: np.ndarray, order: int, buckets: int):
+        self.ids, self.levels, self.places, found = ids.to_numpy(), [], [], []
+        for _, levels in _occurrences(texts.cast(pa.large_string()), order):
+            values, place, n = np.unique(np.concatenate(levels), return_inverse=True, return_counts=True)
+            self.levels.append([len(level) for level in levels]), self.places.append(place), found.append((values, n))
+        self.sizes = np.array([len(v) for v, _ in found])
+        self.values = np.concatenate([v for v, _ in found])
+        self.counts = np.concatenate([n for _, n in found])
+        self.owner = np.repeat(np.arange(len(found)), self.sizes)
+        self.hit, self.common = _find(common, self.values)
+        # A bucket counts the n-grams of a block, each sent once; common ones are counted already.
+        self.distinct, self.place = np.unique(self.values[~self.hit], return_inverse=True)
+        self.n = np.bincount(self.place, self.counts[~self.hit], len(self.distinct)).astype(np.int64)
+        home = ((self.distinct >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        self.by = np.argsort(home, kind="stable")
+        self.home = home[self.by]
+        # What other rows of a document's id hold of them is counted in buckets of ids.
+        self.again = np.flatnonzero(again.to_numpy(zero_copy_only=False).astype(bool)[self.owner])
+        home = flat.mix(self.ids.astype(np.int64).view(np.uint64))[self.owner[self.again]] % np.uint64(buckets)
+        home = home.astype(np.int64) + buckets
+        by = np.argsort(home, kind="stable")
+        self.again, self.again_home = self.again[by], home[by]
+
+
+def _runs(keys: np.ndarray) -> list[np.ndarray]:
+    """The places of each run of equal keys."""
+    return np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1) if len(keys) else []
+
+
+def _sent_row(block: int, **given: object) -> dict:
+    return {"block": block, **dict.fromkeys(("ids", "again", "texts", "h", "n")), **given}
+
+
+def _sent_batch(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"ids": pa.int64(), "again": pa.bool_(), "texts": pa.string(), "h": pa.int64(), "n": pa.int64()}
+    names = ["block", "ids", "again", "texts", "bucket", "h", "n"]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[x] for r in rows], pa.list_(kinds[x]) if x in kinds else pa.int64()) for x in names], names=names
+    )
+
+
+def document_scores(
+    docs: DataFrame, order: int = 3, own_order: int = ORDER, text: str = "text", alpha: float = ALPHA
+) -> DataFrame:
+    """``doc_id, n_words, score, left_out`` of every document.
+
+    ``score`` is that of ``backoff_scores`` of order ``own_order``. ``left_out`` is the score of
+    order ``order`` under the counts of all other documents (count minus own): a word takes the
+    longest n-gram ending at it that another document has, and ``alpha`` for each word of context
+    given up; a word of no other document scores as if counted once. Rows that repeat a doc_id are
+    one document.
+    """
+    docs = docs.select("doc_id", text)
+    order, keep = max(order, own_order), order
+    common = _common(docs, order, text)
+    counts, all_words, rest = _counted(docs, common, order, text)
+    buckets = max(1, -(-rest // IN_BUCKET))
+    blocks = _blocks(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast((common, counts))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, _ = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name = batch.column(0)[i].as_py()
+                lists = [batch.column(c)[i].values for c in (1, 2, 3)]
+                block, rows = _Block(*lists, common, order, buckets), []
+                for at in _runs(block.home):
+                    entry = block.by[at]
+                    rows.append(_sent_row(name, bucket=int(block.home[at[0]]), h=block.distinct[entry].view(np.int64), n=block.n[entry]))
+                for at in _runs(block.again_home):
+                    entry = block.again[at]
+                    rows.append(_sent_row(
+                        name, bucket=int(block.again_home[at[0]]), ids=block.ids[block.owner[entry]],
+                        h=block.values[entry].view(np.int64), n=block.counts[entry],
+                    ))
+                for lo in range(0, len(rows), 1000):
+                    yield _sent_batch(rows[lo : lo + 1000])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            keys = batch.column(4).to_numpy()
+            for at in _runs(keys):
+                if here is not None and keys[at[0]] != here:
+                    yield from _returned(held, here >= buckets)
+                    held = []
+                here = keys[at[0]]
+                held.append(batch.slice(int(at[0]), len(at)))
+        if held:
+            yield from _returned(held, here >= buckets)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, known = shared.value
+        block, name, more, own = None, None, [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column(4)[i].as_py() == -1:
+                    if block is not None:
+                        yield _block_scores(block, more, own, known, keep, own_order, alpha)
+                    block = _Block(*(batch.column(c)[i].values for c in (1, 2, 3)), common, order, buckets)
+                    name, more, own = batch.column(0)[i].as_py(), [], []
+                else:
+                    assert batch.column(0)[i].as_py() == name
+                    given = own if batch.column(4)[i].as_py() >= buckets else more
+                    given.append(batch.column(6)[i].values.to_numpy())
+        if block is not None:
+            yield _block_scores(block, more, own, known, keep, own_order, alpha)
+
+    dealt = blocks.mapInArrow(deal, _SENT)
+    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _SENT)
+    nothing = F.lit(None).cast("array<bigint>")
+    texts = blocks.select("*", F.lit(-1).cast("bigint").alias("bucket"), nothing.alias("h"), nothing.alias("n"))
+    home = counted.union(texts).repartition("block").sortWithinPartitions("block", "bucket")
+    sums = home.mapInArrow(score, "doc_id bigint, words bigint, total double, left_out double, alone bigint")
+    n = F.col("n_words")
+    log_words = float(np.log(max(1, all_words)))
+    others = F.log(F.greatest(F.lit(1), F.lit(all_words) - n).cast("double"))
+    return (
+        sums.groupBy("doc_id")
+        .agg(F.sum("words").alias("n_words"), *(F.sum(x).alias(x) for x in ("total", "left_out", "alone")),
+             F.sum(F.col("words") if own_order == 1 else F.least("words", F.lit(1))).alias("first"))
+        .select(
+            "doc_id", "n_words", F.when(n > 0, F.round((F.col("total") - F.col("first") * log_words) / n, 9)).alias("score"),
+            F.when(n > 0, F.round((F.col("left_out") - F.col("alone") * others) / n, 9)).alias("left_out"),
+        )
+    )
+
+
+def _returned(held: list[pa.RecordBatch], by_id: bool) -> Iterator[pa.RecordBatch]:
+    """How often the n-grams of each row of a bucket lie elsewhere: in other blocks, or in other
+    rows of the same document."""
+    rows = pa.Table.from_batches(held)
+    column = lambda name: rows.column(name).combine_chunks()
+    n = column("n").flatten().to_numpy()
+    values, place = np.unique(column("h").flatten().to_numpy(), return_inverse=True)
+    if by_id:
+        _, doc = np.unique(column("ids").flatten().to_numpy(), return_inverse=True)
+        _, place = np.unique(doc.astype(np.int64) * len(values) + place, return_inverse=True)
+    more = np.bincount(place, n).astype(np.int64)[place] - n
+    offsets = np.r_[0, np.cumsum(column("h").value_lengths().to_numpy())]
+    names = column("block").to_pylist()
+    key = rows.column("bucket")[0].as_py()
+    for lo in range(0, len(names), 1000):
+        yield _sent_batch([
+            _sent_row(names[i], bucket=key, n=more[offsets[i] : offsets[i + 1]])
+            for i in range(lo, min(lo + 1000, len(names)))
+        ])
+
+
+def _block_scores(
+    block: _Block, more: list, own: list, known: np.ndarray, order: int, own_order: int, alpha: float
+) -> pa.RecordBatch:
+    count, mine = np.zeros(len(block.values), dtype=np.int64), block.counts.astype(np.int64)
+    count[block.hit] = known[block.common[block.hit]]
+    if more:
+        total = block.n.copy()
+        total[block.by] += np.concatenate(more)
+        count[~block.hit] = total[block.place]
+    if own:
+        mine[block.again] += np.concatenate(own)
+    rows, at = [], 0
+    for levels, place, n in zip(block.levels, block.places, block.sizes, strict=True):
+        size = levels[0]
+        every = np.split(np.log(np.maximum(count[at : at + n], 1))[place], np.cumsum(levels)[:-1])
+        rest = (count[at : at + n] - mine[at : at + n])[place]
+        left, logs = (np.split(x, np.cumsum(levels)[:-1]) for x in (rest, np.log(np.maximum(rest, 1))))
+        at += n
+        inner = 0.0
+        for k in range(1, min(own_order, size) + 1):
+            to = levels[k - 1] if k == own_order else 1
+            inner += float(every[k - 1][:to].sum()) - (float(every[k - 2][:to].sum()) if k > 1 else 0.0)
+        outer, chosen, alone = 0.0, np.zeros(size, dtype=bool), 0
+        possible = np.minimum(np.arange(size) + 1, order)
+        for k in range(min(order, size), 0, -1):
+            takes = ~chosen[k - 1 :] & ((left[k - 1] > 0) | (k == 1))
+            outer += float(logs[k - 1][takes].sum()) + float((possible[k - 1 :][takes] - k).sum()) * float(np.log(alpha))
+            if k > 1:
+                outer -= float(logs[k - 2][: len(takes)][takes].sum())
+            else:
+                alone = int(takes.sum())
+            chosen[k - 1 :] |= takes
+        rows.append((size, inner, outer, alone))
+    words, inner, outer, alone = zip(*rows, strict=True)
+    ids = pa.array(block.ids, mask=block.ids == NO_ID)
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(words, pa.int64()), pa.array(inner, pa.float64()), pa.array(outer, pa.float64()), pa.array(alone, pa.int64())],
+        names=["doc_id", "words", "total", "left_out", "alone"],
+    )
+
+
 def _exploded(docs: DataFrame, order: int, text: str) -> DataFrame:
     """``doc_id, place, level, h, context``: the n-grams that end at each word, by length."""
 

@@ -139,9 +139,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_backoff_lm")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from passageworks.llm.backoff_lm import backoff_scores
+    from passageworks.llm.backoff_lm import document_scores
 
-    return backoff_scores(table(spark, sf_dir, "documents"), order=2)
+    return document_scores(table(spark, sf_dir, "documents"), order=3, own_order=2)
 
 
 @query("op5_token_counts")

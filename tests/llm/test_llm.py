@@ -306,6 +306,54 @@ def test_backoff_awkward(spark, monkeypatch):
     assert backoff_lm.backoff_scores(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_every_order_and_own_counts_left_out(spark, monkeypatch, order):
+    monkeypatch.setattr(backoff_lm, "IN_BUCKET", 20)
+    monkeypatch.setattr(backoff_lm, "IN_BLOCK", 40)
+    texts = ["a b a b a b", "a b c a b d", "c", "", None, "q1 q2 q3 q4 q5 q6", "b c a b d d d"] + [f"the a b c of {i % 3} x" for i in range(9)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "a b a c"), (8, "the a b"), (None, "a b c a b"), (None, "c a b c")]
+    # Null and repeated ids: one document each.
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def grams(given):
+        out = Counter()
+        for w in given:
+            out.update(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+        return out
+
+    of = {}
+    for i, t in rows:
+        of.setdefault(i, []).append((t or "").split())
+    all_grams, all_words = grams([w for ws in of.values() for w in ws]), sum(len(w) for ws in of.values() for w in ws)
+
+    def score(gram, counts, words):
+        if len(gram) == 1:
+            return math.log(max(1, counts[gram]) / max(1, words))
+        if counts[gram]:
+            return math.log(counts[gram] / counts[gram[:-1]])
+        return math.log(0.4) + score(gram[1:], counts, words)
+
+    def mean(ws, counts, words):
+        each = [score(tuple(w[max(0, i - order + 1) : i + 1]), counts, words) for w in ws for i in range(len(w))]
+        return sum(each) / len(each) if each else None
+
+    for share in (0.0005, 1e9):  # all that three documents have is common, or nothing is
+        monkeypatch.setattr(backoff_lm, "COMMON", share)
+        plain = {r.doc_id: r for r in backoff_lm.backoff_scores(frame, order).collect()}
+        got = {r.doc_id: r for r in backoff_lm.document_scores(frame, order, order).collect()}
+        assert got.keys() == plain.keys() == of.keys()
+        for i, ws in of.items():
+            n = sum(len(w) for w in ws)
+            left = {g: c for g, c in (all_grams - grams(ws)).items()}
+            for value, want in (
+                (plain[i].score, mean(ws, all_grams, all_words)), (got[i].score, mean(ws, all_grams, all_words)),
+                (got[i].left_out, mean(ws, Counter(left), all_words - n)),
+            ):
+                assert (value is None and want is None) or abs(value - want) < 1e-8
+    # Words that no other document has are not the best of the corpus any more.
+    assert min((r.left_out, r.doc_id) for r in got.values() if r.n_words > 4 and r.doc_id is not None)[1] == 5
+
+
 # ---------------------------------------------------------------- 5
 
 
