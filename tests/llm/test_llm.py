@@ -153,6 +153,28 @@ def test_formats_are_inferred_and_found(spark):
     assert [r.text for r in kept[80:]] == texts[80:]
 
 
+def test_short_digitless_and_overlapping_formats(spark):
+    rng = random.Random(6)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+
+    def short():
+        return "zk." + some("GHJKLMNPQ", 10)
+
+    def long():
+        return "K-" + some("GHJKLMNPQ", 6) + "-" + some("0123456789abcdef", 20) + "_" + some("GHJKLMNPQ", 6)
+
+    words = ["internationalization and characteristic", "a well-established state-of-the-art misunderstanding", "see www.example.org/index"]
+    for key in (short, long):
+        texts = [f"here token = {key()} is set" for _ in range(60)] + [f"a bare one {key()} lies here" for _ in range(20)] + words * 8
+        rows = {r.doc_id: r for r in secret_scan.find_secrets(docs_of(spark, texts)).collect()}
+        assert all(rows[i].n_format == 0 for i in range(60))
+        assert sum(rows[i].n_format for i in range(60, 80)) >= 18
+        assert all(rows[i].n_format == 0 for i in range(80, len(texts)))
+        kept = secret_scan.without_secrets(docs_of(spark, texts)).orderBy("doc_id").collect()
+        assert sum(r.text == "a bare one [secret] lies here" for r in kept[60:80]) >= 18
+        assert [r.text for r in kept[80:]] == texts[80:]
+
+
 def test_merging_generalises_to_a_loop():
     automaton = secret_scan.infer(["d" * n for n in range(12, 60)])
     assert len(automaton.stops) < 30
