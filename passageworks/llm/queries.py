@@ -153,3 +153,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = st.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents")
     return st.token_counts(docs, ranks, public_tokenizers.PATTERN, ("source", "lang", "text"), "most")
+
+
+@query("op13_pii_boosting")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passageworks.llm.pii_boosting import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
