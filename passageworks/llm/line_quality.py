@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 
 from passageworks.llm import flat
 from passageworks.llm.sample import labelled_sample
+from passageworks.llm.store import send
 from passageworks.llm.toxicity import logistic
 
 MOST = 2000
@@ -246,13 +247,14 @@ def train(
 
 def quality(docs: DataFrame, model: Quality, text: str = "text", name: str = "score") -> DataFrame:
     """``doc_id`` and the probability ``name`` that the text is good, for every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt = sent()
         for batch in batches:
             for first, part in flat.pieces(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)), pa.array(sent.value.score(part))],
+                    [batch.column(0).slice(first, len(part)), pa.array(learnt.score(part))],
                     names=["doc_id", name],
                 )
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from passageworks.llm.store import send
+
 SPACE = "▁"
 NO_RANK = np.int64(1) << 40
 WIDTH = 1 << 32
@@ -366,11 +368,11 @@ def encoded(
     """
     schema = T.StructType([*(docs.schema[c] for c in keep), *fields])
     out = pa.schema([_arrow_field(f) for f in fields])
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared = send(docs.sparkSession, pieces)
     tail = [pieces.end_id] if end else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         encoder = Encoder(model)
         for batch in batches:
             at = 0

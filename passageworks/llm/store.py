@@ -5,9 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+Sent = TypeVar("Sent")
+
+
+def send(spark: SparkSession, value: Sent) -> Callable[[], Sent]:
+    """A broadcast of ``value``, which a task gets by calling the result once.
+
+    Broadcasts are pickled by reference to their classes. Bytes made here carry the classes of this
+    package along (see ``send_code_with_tasks``), so workers need not have it installed.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(data.value)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; on a local master without one, a temporary folder."""

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from passageworks.llm import flat
 from passageworks.llm.sample import labelled_sample
-from passageworks.llm.store import written
+from passageworks.llm.store import send, written
 
 MOST = 6000  # sampled documents of each label
 VOTERS = 400  # lexicon voters
@@ -257,14 +257,15 @@ def train(
 
 def toxicity(docs: DataFrame, model: Classifier, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the probability ``name`` (double) that each text is toxic."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     schema = f"doc_id bigint, {name} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt = sent()
         for batch in batches:
             for first, part in flat.pieces(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)), pa.array(sent.value.score(part))],
+                    [batch.column(0).slice(first, len(part)), pa.array(learnt.score(part))],
                     names=["doc_id", name],
                 )
 
@@ -273,13 +274,14 @@ def toxicity(docs: DataFrame, model: Classifier, text: str = "text", name: str =
 
 def keep_clean(docs: DataFrame, model: Classifier, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score is below ``threshold``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt = sent()
         for batch in batches:
             for first, part in flat.pieces(batch.column(at)):
-                clean = sent.value.score(part) < threshold
+                clean = learnt.score(part) < threshold
                 yield batch.slice(first, len(part)).filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)

@@ -175,6 +175,30 @@ def test_short_digitless_and_overlapping_formats(spark):
         assert [r.text for r in kept[80:]] == texts[80:]
 
 
+def test_a_rare_format_among_many_values_is_found_bare(spark):
+    """60 of 20,060 labelled values have a format of their own: far fewer than one in a sample."""
+    rng = random.Random(11)
+    draw = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    texts = [f"x token = {draw('0123456789abcdef', 40)} y" for _ in range(20_000)]
+    texts += [f"x token = {draw('GHJK', 4)}-{draw('0123456789', 6)}-{draw('QRST', 5)} y" for _ in range(60)]
+    first = len(texts)
+    bare = [f"{draw('GHJK', 4)}-{draw('0123456789', 6)}-{draw('QRST', 5)}" for _ in range(200)]
+    texts += [f"a bare one {b} lies here" for b in bare]
+    texts += [f"an order of 2024-12-{draw('0123456789', 4)} with notwithstanding words" for _ in range(50)]
+    rows = {r.doc_id: r for r in secret_scan.find_secrets(docs_of(spark, texts)).collect()}
+    found = [rows[first + i].spans == f"format:11:{11 + len(b)}" for i, b in enumerate(bare)]
+    assert sum(found) >= 190
+    assert all(rows[first + 200 + i].spans == "" for i in range(50))
+
+
+def test_ordinary_classes_are_counted_over_all_text(spark):
+    texts = ["ab 12 XY", None, "", "token = 0123456789abcdef zz", "ü-.é" + "q" * 100]
+    found = secret_scan._found(docs_of(spark, texts), "text").collect()
+    got = np.sum([r.classes for r in found], axis=0)
+    want = Counter("".join(re.findall("[A-Za-z0-9+/_.=-]", "ab12XYzz-.q" + "q" * 99)).translate(secret_scan._CLASS))
+    assert dict(zip(secret_scan.SYMBOLS, got.tolist(), strict=True)) == {s: want[s] for s in secret_scan.SYMBOLS}
+
+
 def test_merging_generalises_to_a_loop():
     automaton = secret_scan.infer(["d" * n for n in range(12, 60)])
     assert len(automaton.stops) < 30
