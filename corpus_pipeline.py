@@ -3,10 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next one's input. All but the last return the columns of ``documents``. Null and empty
 texts are clean, alone in their group, free of secrets and of size 0; an empty table stays empty.
+Stages keep the session's Arrow batches small, as they share their executors with each other's workers.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from passageworks.llm import jaccard_join, secret_scan, source_mix, toxicity
 from passageworks.llm import queries as q
 from passageworks.llm import sentencepiece_codec as sp
 from passageworks.llm.sample import id_crc
-from passageworks.llm.store import written
+from passageworks.llm.store import small_batches, written
 
 MOST_SENT = 1 << 20  # ids (8 MB) up to which a list of documents is sent to the tasks
 
@@ -66,12 +68,22 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def _bounded(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard_join", one_of_each_group),
-    ("secret_scan", mask_secrets),
-    ("source_mix", mix_sources),
-    ("sentencepiece", encode_pieces),
+    ("toxicity", _bounded(drop_toxic)),
+    ("ngram_jaccard_join", _bounded(one_of_each_group)),
+    ("secret_scan", _bounded(mask_secrets)),
+    ("source_mix", _bounded(mix_sources)),
+    ("sentencepiece", _bounded(encode_pieces)),
 ]
 
 # A trained classifier and a tokenizer cannot be said in SQL; tests compare with brute force.
