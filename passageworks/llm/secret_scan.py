@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passageworks.llm.flat import pieces, text_bytes
-from passageworks.llm.store import send, written
+from passageworks.llm.store import release, send, written
 
 # Fixed patterns of the base kinds, in the order of their kinds, with the least length of a value.
 KINDS = ("assign", "access", "hex")
@@ -281,6 +281,7 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
         return np.bincount(numbers[np.frombuffer(raw, dtype=np.uint8)], minlength=len(SYMBOLS) + 1)[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first, part in pieces(batch.column(1)):
                 data, offsets = text_bytes(part)
@@ -405,6 +406,7 @@ def without_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]")
         return "".join([*out, t[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         formats = sent()
         for batch in batches:
             for first, part in pieces(batch.column(at)):

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from passageworks.llm.store import send
+from passageworks.llm.store import release, send
 
 SPACE = "▁"
 NO_RANK = np.int64(1) << 40
 WIDTH = 1 << 32
 MEMORY = 1 << 19  # distinct units that a task remembers between batches
-MOST_SYMBOLS = 1 << 21  # symbols in one flat array, unless a single unit has more
+MOST_SYMBOLS = 1 << 17  # symbols in one flat array, unless a single unit has more
 
 
 @dataclass
@@ -337,7 +337,7 @@ def _spelled(raw: bytes) -> str:
         return "".join(out)
 
 
-def _chunks(texts: list[str | None], most: int = 1 << 22) -> Iterator[list[str | None]]:
+def _chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
     chunk, size = [], 0
     for t in texts:
         chunk.append(t)
@@ -363,7 +363,7 @@ def encoded(
 ) -> DataFrame:
     """``keep`` and, for each row, what ``result`` makes of its ids and its decoded text.
 
-    Rows are local: nothing is shuffled, a batch is read in parts of a few megabytes, and a lost
+    Rows are local: nothing is shuffled, a batch is read in parts of a megabyte, and a lost
     task is simply run again. The model's tables are broadcast; they are bounded by the vocabulary.
     """
     schema = T.StructType([*(docs.schema[c] for c in keep), *fields])
@@ -372,6 +372,7 @@ def encoded(
     tail = [pieces.end_id] if end else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared()
         encoder = Encoder(model)
         for batch in batches:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +38,17 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def release() -> None:
+    """Give what earlier tasks of this worker freed back to the system.
+
+    Workers are used again for later tasks, while their allocators keep freed memory.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than Linux
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 BATCH_BYTES = 8 << 20
 
 
