@@ -5,7 +5,8 @@
     reruns agree, in whatever order the rows come.
 2.  Weights give each source a target number of words, at most MOST times its size. A target is
     met by whole passes over the source's blocks, then by its first blocks, and within the last of
-    these by the documents of least hash. Each block of each pass is one unit.
+    these by the documents of least hash. Each block of each pass is one unit. Copies of a row share
+    a hash; where a target ends among them, they are numbered and only so many of them are taken.
 3.  The exact numbers of units per source are split over the output shards by a tree: each node
     hands its left half of shards a multivariate hypergeometric share, drawn source after source
     by inverting the distribution, with a hash of the node as the random number.
@@ -14,8 +15,9 @@
 
 Rows that are grouped or ordered together are those of one block, or sums of blocks; the source of
 a third of all rows has more blocks, not larger ones. Null texts have no words, null sources are a
-source of their own (the last); rows that repeat are mixed each by itself; an empty table gives an
-empty mix; sources without words take nothing.
+source of their own (the last); rows that repeat are taken one by one, so that a target is met
+to within a row even if all rows are copies of one; an empty table gives an empty mix; sources
+without words take nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passageworks.llm.store import written
+from passageworks.operators.ordinal import number_rows
 
 BLOCK = 256  # documents of a block
 SHARD = 64  # blocks of a shard
@@ -51,26 +54,26 @@ def _sent(small: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """``i, source, source_size, target`` from ``source, source_size``.
+    """``i, source, source_size, target, n_docs`` from ``source, source_size, n_docs``.
 
     Targets share all words by weight. A source whose target would be above MOST times its size
-    gets that much, and the rest is shared again: in the order of MOST * size / weight, sources
-    are full as long as that is below the share left for a unit of weight.
+    gets that much, and the rest is shared again by weight, until none is above. A round is one sum
+    over the sources; only their common level, words for a unit of weight, reaches the driver.
     """
-    named = Window.orderBy(F.col("source").isNull(), "source")
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = sizes.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("i") % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("i", F.row_number().over(named) - 1).withColumn("weight", weight)
-    most = MOST * F.col("source_size")
-    by_room = Window.orderBy(most / F.col("weight"), "i")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_room.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum(most).over(before), F.lit(0))
-    level = ranked.withColumn("level", left / F.sum("weight").over(after))
-    full = most <= F.col("weight") * F.col("level")
-    share = F.min(F.when(~full, F.struct(most / F.col("weight"), F.col("i"), F.col("level").alias("level")))).over(everything)
-    target = F.when(full, most.cast("double")).otherwise(F.col("weight") * share["level"])
-    return level.withColumn("target", target).select("i", "source", "source_size", "target", "n_docs")
+    ranked = number_rows(dealt, [], order, F.col("_range"), "i").withColumn("i", (F.col("i") - 1).cast("int"))
+    ranked = ranked.withColumns({"weight": weight, "most": MOST * F.col("source_size")}).checkpoint()
+    whole = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, before = (whole[0] or 0) / (whole[1] or 1), -1.0
+    while level != before:
+        full = F.col("most") <= F.col("weight") * level
+        kept, open_ = ranked.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).first()
+        before, level = level, (whole[0] - (kept or 0)) / open_ if open_ else level
+    full = F.col("most") <= F.col("weight") * level
+    target = F.when(full, F.col("most").cast("double")).otherwise(F.col("weight") * level)
+    return ranked.withColumn("target", target).select("i", "source", "source_size", "target", "n_docs")
 
 
 def _log_factorial(n: Column) -> Column:
@@ -173,12 +176,14 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 class Mix:
     """The plan of a mix: targets of the sources, and the shards to which each block goes.
 
-    ``blocks`` holds ``i, block, units`` (pass, shard, and the greatest hash taken of the block,
-    null for all). ``sources`` holds ``i, source, source_size, target, n_blocks``.
+    ``blocks`` holds ``i, block, units`` (pass, shard, the greatest hash taken of the block, and how
+    many copies of it; null for all). ``sources`` holds ``i, source, source_size, target, n_blocks``,
+    ``cuts`` the ``i, key`` of the copies among which a target ends, one for a source at most.
     """
 
     sources: DataFrame
     blocks: DataFrame
+    cuts: DataFrame
     seed: int
     text: str
 
@@ -195,9 +200,29 @@ class Mix:
         joined = keyed.join(per, F.col("name").eqNullSafe(F.col("source"))).select(
             "row", "key", "size", "i", "source_size", "target", _block(F.col("key"), F.col("n_blocks")).alias("block")
         )
-        taken = F.filter("units", lambda u: u["most"].isNull() | (F.col("key") <= u["most"]))
+        joined = self._numbered(joined).join(_sent(self.blocks), ["i", "block"], "left")
+        taken = F.filter("units", self._takes)
         none = F.array().cast(self.blocks.schema["units"].dataType)
-        return joined.join(_sent(self.blocks), ["i", "block"], "left").withColumn("units", F.coalesce(taken, none))
+        return joined.withColumn("units", F.coalesce(taken, none)).drop("copy")
+
+    @staticmethod
+    def _takes(unit: Column) -> Column:
+        within = unit["copies"].isNull() | (F.col("copy") <= unit["copies"])
+        return unit["most"].isNull() | (F.col("key") < unit["most"]) | ((F.col("key") == unit["most"]) & within)
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the number ``copy`` of those among which a target ends; 1 for the others.
+
+        Copies are equal, so any numbers give the same mix. They are counted in blocks, so a third
+        of all rows may be copies of one.
+        """
+        if self.cuts.isEmpty():
+            return rows.withColumn("copy", F.lit(1).cast("long"))
+        cuts = _sent(self.cuts)
+        among = written(rows.join(cuts, ["i", "key"], "left_semi").withColumn("_at", F.monotonically_increasing_id()), "copies")
+        numbered = number_rows(among, ["i", "key"], ["_at"], F.shiftright("_at", 10), "copy").drop("_at")
+        others = rows.join(cuts, ["i", "key"], "left_anti").withColumn("copy", F.lit(1).cast("long"))
+        return others.unionByName(numbered.withColumn("copy", F.col("copy").cast("long")))
 
 
 def _block(key: Column, blocks: Column) -> Column:
@@ -242,18 +267,25 @@ def plan_mix(
         .select("i", "block", "n_blocks", "passes", "words", "extra", "left"),
         "blocks",
     )
-    # The block in which a target ends is taken up to the document whose middle is nearest.
+    # The block in which a target ends is taken up to the row whose middle is nearest: first by
+    # hash, then copy by copy.
     last = blocks.where(F.col("extra") & (F.col("left") < F.col("words"))).select("i", "block", "left")
-    ordered = Window.partitionBy("i", "block").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    kinds = found.join(_sent(last), ["i", "block"]).groupBy("i", "block", "left", "key").agg(
+        F.max("size").alias("size"), F.count(F.lit(1)).alias("n")
+    )
+    ordered = Window.partitionBy("i", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    room = F.col("left") - F.col("sum") + F.col("size") * F.col("n") + F.col("size") / 2
+    copies = F.least("n", F.floor(room / F.greatest("size", F.lit(1))))
     ends = (
-        found.join(_sent(last), ["i", "block"])
-        .withColumn("sum", F.sum("size").over(ordered))
-        .where(F.col("sum") - F.col("size") / 2 <= F.col("left"))
-        .groupBy("i", "block").agg(F.max("key").alias("most"))
+        kinds.withColumn("sum", F.sum(F.col("size") * F.col("n")).over(ordered))
+        .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
+        .where("copies > 0")
+        .groupBy("i", "block").agg(F.max(F.struct("key", "copies", "n")).alias("e"))
     )
     ends = last.select("i", "block").join(ends, ["i", "block"], "left").select(
-        "i", "block", F.coalesce("most", F.lit(-(1 << 63)).cast("long")).alias("most")
-    )
+        "i", "block", F.coalesce("e.key", F.lit(-(1 << 63)).cast("long")).alias("most"),
+        F.when(F.col("e.copies") < F.col("e.n"), F.col("e.copies")).alias("copies"),
+    ).checkpoint()
     counts = blocks.groupBy("i").agg(
         (F.max("passes") * F.max("n_blocks") + F.sum(F.col("extra").cast("long"))).alias("k")
     )
@@ -276,25 +308,33 @@ def plan_mix(
         .withColumn("place", F.pmod((F.col("pass") * F.col("n_blocks") + F.col("block")) * F.lit(2654435761) + F.lit(seed), F.col("k")))
         .join(dealt_units, ["i", "place"])
         .join(ends, ["i", "block"], "left")
-        .select("i", "block", F.struct("pass", "shard", F.when(F.col("pass") == F.col("passes"), F.col("most")).alias("most")).alias("unit"))
+        .select("i", "block", F.struct("pass", "shard", *[F.when(F.col("pass") == F.col("passes"), F.col(c)).alias(c) for c in ("most", "copies")]).alias("unit"))
     )
-    return Mix(sources, written(units.groupBy("i", "block").agg(F.collect_list("unit").alias("units")), "units"), seed, text)
+    units = written(units.groupBy("i", "block").agg(F.collect_list("unit").alias("units")), "units")
+    cuts = ends.where("copies IS NOT NULL").select("i", F.col("most").alias("key"))
+    return Mix(sources, units, cuts, seed, text)
 
 
 def mixed(docs: DataFrame, plan: Mix, partitions: int | None = None) -> DataFrame:
-    """The mix: every taken row with all columns of ``docs``, and a last column ``shard``.
+    """The mix: every taken row with all columns of ``docs``, and a last column ``shard``
+    (``_shard`` and so on beside a column of that name).
 
     Shards are the partitions' ranges; within one, rows are in the order of a hash of row and pass.
     """
     taken = plan.placed(docs).select("row", "key", F.explode("units").alias("unit"))
     dealt = taken.repartition(partitions, "unit.shard") if partitions else taken.repartition("unit.shard")
     order = F.xxhash64("key", F.col("unit.pass"), F.lit(plan.seed))
-    return dealt.sortWithinPartitions("unit.shard", order).select("row.*", F.col("unit.shard").alias("shard"))
+    name = "shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    return dealt.sortWithinPartitions("unit.shard", order).select("row.*", F.col("unit.shard").alias(name))
 
 
 def taken_words(docs: DataFrame, plan: Mix) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row of ``docs``."""
+    """``doc_id, size, source_size, target, taken`` of every row of ``docs``, and the ``shards``
+    (numbers joined by commas) to which it goes."""
     return plan.placed(docs).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
         (F.size("units") * F.col("size")).cast("long").alias("taken"),
+        F.array_join(F.array_sort(F.transform("units", lambda u: u["shard"])), ",").alias("shards"),
     )

@@ -666,12 +666,49 @@ def test_mix_awkward(spark):
     assert all(r.taken <= 3 * r.size and r.target <= 3 * r.source_size + 1e-9 for r in out)
     mix = source_mix.mixed(docs, plan)
     assert mix.columns == [*docs.columns, "shard"]
+    assert sum(len(r.shards.split(",")) for r in out if r.shards) == mix.count()
     assert mix.agg(F.sum(source_mix.words(F.col("text")))).first()[0] == sum(r.taken for r in out)
     empty = docs_of(spark, [])
     assert source_mix.taken_words(empty, source_mix.plan_mix(empty)).count() == 0
     assert source_mix.mixed(empty, source_mix.plan_mix(empty)).count() == 0
 
 
+@pytest.mark.parametrize("copies,others", [(2000, 0), (2000, 500), (3, 1)])
+def test_targets_end_among_copies(spark, copies, others):
+    """A source that is mostly copies of one row takes its target to within a row."""
+    rows = [(7, "a b c d e f g h i j", "a", 0)] * copies
+    rows += [(100 + i, " ".join("x" * (i % 30)), "a", 0) for i in range(others)]
+    rows += [(10_000 + i, "w " * 25, "b", 0) for i in range(600)] + [(20_000 + i, "w " * 20, None, 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, shard int").repartition(6)
+    plan = source_mix.plan_mix(docs)
+    out = source_mix.taken_words(docs, plan).collect()
+    assert len(out) == len(rows)
+    source = {r[0]: r[2] for r in rows}
+    for name in ("a", "b", None):
+        mine = [r for r in out if source[r.doc_id] == name]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+        assert all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in mine)
+    again = source_mix.taken_words(docs, source_mix.plan_mix(docs)).collect()
+    columns = ("doc_id", "taken", "target")
+    assert sorted(tuple(r[c] for c in columns) for r in out) == sorted(tuple(r[c] for c in columns) for r in again)
+    mix = source_mix.mixed(docs, plan)
+    assert mix.columns == [*docs.columns, "_shard"]
+    per_shard = Counter(s for r in out for s in r.shards.split(",") if s)
+    assert {str(r["_shard"]): r["count"] for r in mix.groupBy("_shard").count().collect()} == dict(per_shard)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(2)
+    names = [f"s{i:05d}" for i in range(20_000)] + [None]
+    size = {n: int(rng.paretovariate(0.8)) for n in names}
+    sizes = spark.createDataFrame([(n, size[n], 1) for n in names], "source string, source_size bigint, n_docs bigint").repartition(8)
+    got = {r.source: r for r in source_mix.source_targets(sizes, source_mix.WEIGHTS).collect()}
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    want = brute_targets(size, weight)
+    assert sorted(r.i for r in got.values()) == list(range(len(names)))
+    assert all(abs(got[n].target - want[n]) <= 1e-6 * max(1, want[n]) for n in names)
+
+
 def test_quotas_are_split_exactly(spark):
     quotas = [1000, 37, 0, 4, 5000]
     rows = source_mix.split_quotas(spark.createDataFrame([(quotas,)], "quotas array<bigint>"), 13, 3).orderBy("shard").collect()
