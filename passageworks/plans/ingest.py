@@ -8,13 +8,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageworks.functions.text import local_root, repo_of, sha256_hex
+from passageworks.functions.text import is_blank, local_root, repo_of, sha256_hex
 from passageworks.operators import strategies as st
 from passageworks.operators.chunking import chunk_documents
-from passageworks.operators.embedding import Embedder, embed_chunks, embed_missing
+from passageworks.operators.embedding import Embedder, embed
 from passageworks.operators.lineage import touched_paths, with_versions
+from passageworks.session import shared_folder
+from passageworks.sources import key_store as ks
+from passageworks.sources import table_log
 from passageworks.sources import vector_table as vt
 from passageworks.sources.files import read_documents
+from passageworks.sources.folders import remove
 
 
 @dataclass(frozen=True)
@@ -75,28 +79,56 @@ def ingest(
     on_mismatch: str = "error",
     rows_per_file: int = 0,
     compact: bool = False,
-) -> None:
+    buckets: int = ks.BUCKETS,
+) -> int:
     """Chunk, embed and append ``documents``; rows the table already holds are left alone.
 
-    A document's new version or access flag is appended next to the old rows; ``current_versions``
-    of the vector table gives what is valid now. Texts that were embedded before, with the same
-    strategy and model, keep their vector. One plan, whatever the size of the load, and no
-    intermediate tables.
+    The load is committed as a whole, and the number returned names the snapshot after it: searches
+    over ``read_snapshot`` see each document's newest version with the access flag it has now. What
+    a load reads of the stored keys and vectors are the buckets its own documents and texts fall
+    into. Its new chunks are written once, without vectors; each distinct text without a stored
+    vector goes to the model once, and a load that is stopped finds the vectors made so far.
+
     ``documents`` has ``document_id, document_name, document_version, repo_name, internal_only``
-    and ``document_text``.
+    and ``document_text``. A new table gets ``buckets`` buckets of keys and of vectors.
     """
-    chunks = chunk_documents(documents, list(strategies), sizes, embedder)
+    labels = [st.label(s, sizes) for s in strategies]
     table = vt.find_vector_table(spark, table_path)
-    if table is None:
-        embedded = embed_chunks(chunks, embedder, date_generated)
-    else:
-        labels = [st.label(s, sizes) for s in strategies]
-        stored = vt.stored_labels(spark, table_path)
-        st.check_labels(labels, stored, on_mismatch)
-        same = table.filter(
-            F.col("chunking_strategy").isin(labels)
-            & (F.col("embedding_model") == F.lit(embedder.name))
-        )
-        keyed = chunks.withColumn("embedding_model", F.lit(embedder.name))
-        embedded = embed_missing(vt.only_new(keyed, same), same, embedder, date_generated)
-    vt.write_vector_table(embedded, table_path, rows_per_file, compact=compact)
+    if table is not None:
+        st.check_labels(labels, vt.stored_labels(spark, table_path), on_mismatch)
+        if not ks.has_keys(spark, table_path):
+            ks.index_table(table, table_path, 0, buckets)
+    loads = table_log.find_loads(spark, table_path) or table_log.Loads(0)
+    load = table_log.begin(spark, table_path)
+    scratch = shared_folder(spark, f"load-{load}")
+
+    listed = _kept(documents.select(*table_log.STATE).distinct(), f"{scratch}/documents")
+    chunks = chunk_documents(documents, list(strategies), sizes, embedder)
+    keyed = chunks.withColumn("embedding_model", F.lit(embedder.name)).filter(~is_blank(F.col("chunk_content")))
+    keys = ks.stored_keys(spark, table_path, listed, loads, buckets)
+    new = _kept(vt.only_new(keyed, keys), f"{scratch}/chunks")
+    if not new.isEmpty():
+        embedded = _with_vectors(new, table_path, embedder, buckets, f"{scratch}/texts")
+        dated = embedded.withColumn("date_generated", F.to_date(F.lit(date_generated)))
+        vt.write_vector_table(dated, table_path, rows_per_file, compact=compact, load=load)
+        ks.add_keys(new, table_path, load, buckets)
+    table_log.record(spark, table_path, load, listed)
+    table_log.commit(spark, table_path, load)
+    remove(spark, scratch)
+    return load
+
+
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _with_vectors(new: DataFrame, path: str, embedder: Embedder, buckets: int, scratch: str) -> DataFrame:
+    """``new`` with its vectors, after the vectors of texts that had none were stored."""
+    spark, key = new.sparkSession, list(ks.TEXT_KEY)
+    texts = _kept(new.groupBy(*key).agg(F.any_value("chunk_content").alias("chunk_content")), scratch)
+    missing = texts.join(ks.stored_vectors(spark, path, texts, buckets).select(*key), key, "left_anti")
+    made = missing.withColumn("embedding", embed(F.col("chunk_content"), embedder))
+    ks.add_vectors(made, path, buckets)
+    # A text of a third of all chunks meets one vector; the adaptive join splits its chunks.
+    return new.join(ks.stored_vectors(spark, path, texts, buckets), key)

@@ -7,13 +7,17 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passageworks.functions.text import is_blank
 from passageworks.operators.validation import table_columns
 from passageworks.schema import CHUNK_KEY, VECTOR_TABLE
+from passageworks.sources import table_log
 
-# Retrieval filters on strategy and model, so these are the folders of the table.
+# Retrieval filters on strategy and model, so these are the folders of the table, and within them
+# the loads, which decide what a reader sees.
 LAYOUT = ("chunking_strategy", "embedding_model")
+_STORED = T.StructType([*VECTOR_TABLE, T.StructField("load", T.IntegerType())])
 FORMATS = ("parquet", "json")
 
 
@@ -23,9 +27,12 @@ def write_vector_table(
     rows_per_file: int = 0,
     mode: str = "append",
     compact: bool = False,
+    load: int = 0,
 ) -> None:
     """Append rows: NOT NULL checked, chunks of mere white space left out.
 
+    Rows of a ``load`` that has a number are seen once that load is committed; without one, at once.
+
     Each task writes its own rows, a file per folder, without a shuffle. ``compact`` is for
     loads of many small tasks: rows are gathered by folder first, and adaptive execution merges
     small shares and splits the folder that holds most rows.
@@ -34,16 +41,38 @@ def write_vector_table(
     if compact:
         rows = rows.hint("rebalance", *LAYOUT)
     (
-        rows.sortWithinPartitions(*LAYOUT, "date_generated", "document_id")
+        rows.withColumn("load", F.lit(load))
+        .sortWithinPartitions(*LAYOUT, "date_generated", "document_id")
         .write.mode(mode)
         .option("maxRecordsPerFile", rows_per_file)
-        .partitionBy(*LAYOUT)
+        .partitionBy(*LAYOUT, "load")
         .parquet(path)
     )
 
 
 def read_vector_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VECTOR_TABLE).parquet(path).select(*VECTOR_TABLE.fieldNames())
+    """All committed rows, those of former versions too."""
+    rows = spark.read.schema(_STORED).parquet(path)
+    loads = table_log.find_loads(spark, path)
+    if loads is not None:
+        rows = rows.where(loads.seen())
+    return rows.select(*VECTOR_TABLE.fieldNames())
+
+
+def read_snapshot(spark: SparkSession, path: str, snapshot: int | None = None) -> DataFrame:
+    """The rows that were valid after a load, the last one by default: what a search should see.
+
+    Each document has the version and the access flag of that moment. Loads after it are pruned by
+    their folders; rows that it found outdated are left out by a join with the few states that ever
+    changed, which leaves the vectors where they are as long as these can be sent to the tasks.
+    """
+    loads = table_log.find_loads(spark, path)
+    rows = spark.read.schema(_STORED).parquet(path)
+    if loads is None:
+        return rows.select(*VECTOR_TABLE.fieldNames())
+    outdated = table_log.invalid_states(spark, path, loads, snapshot)
+    valid = rows.where(loads.seen(snapshot)).join(outdated, table_log.STATE, "left_anti")
+    return valid.select(*VECTOR_TABLE.fieldNames())
 
 
 def stored_labels(spark: SparkSession, path: str) -> set[str]:
