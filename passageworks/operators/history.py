@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from passageworks import schema
 from passageworks.functions.text import strip
+from passageworks.session import shared_folder
 
 TURNS_PER_BLOCK = 1024
+CUTS_SENT = 1 << 20  # conversations, some 16 MB
 
 
 def classify(message: Column) -> Column:
@@ -72,63 +74,84 @@ def count_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
-def trim_history(
+def history_cuts(
     messages: DataFrame,
     max_tokens: int = schema.MAX_TOKENS,
     tokens: Column | None = None,
     turns_per_block: int = TURNS_PER_BLOCK,
 ) -> DataFrame:
-    """The last whole messages that fit the budget, starting on a user message.
+    """``conv_id, from_turn``: the user message with which what fits the budget begins.
 
-    A system message at turn 0 is kept and uses up budget first. Turns are weighed in blocks before they
-    are ordered one by one, so of a conversation of any length only the blocks near its end are
-    ever sorted.
+    Of the messages only ids, turns and numbers of tokens are shuffled. They are weighed in blocks of
+    turns, and only the blocks near a conversation's end are looked into turn by turn. Turns with the
+    same number stay together. A conversation of which no user message fits has no row.
     """
     cost = count_words(F.col("text")) if tokens is None else tokens
-    weighed = messages.withColumns(
-        {
-            "_tokens": cost.cast("long"),
-            "_block": F.floor(F.col("turn") / turns_per_block),
-            "_system": (F.col("role") == "system") & (F.col("turn") == 0),
-        }
+    system = _is_system()
+    turns = messages.filter("turn IS NOT NULL").select(
+        F.struct("conv_id").alias("_key"),  # never null, so a null id is a conversation like any other
+        "turn",
+        F.floor(F.col("turn") / turns_per_block).alias("_block"),
+        F.when(system, 0).otherwise(F.coalesce(cost.cast("long"), F.lit(0))).alias("_tokens"),
+        F.when(system, F.coalesce(cost.cast("long"), F.lit(0))).otherwise(0).alias("_reserved"),
+        F.coalesce((F.col("role") == "user") & ~system, F.lit(False)).alias("_user"),
     )
     # Newest first: tokens in later blocks, without the system message.
-    blocks = weighed.groupBy("conv_id", "_block").agg(
-        F.sum(F.when(F.col("_system"), F.lit(0)).otherwise(F.col("_tokens"))).alias("_in_block"),
-        F.sum(F.when(F.col("_system"), F.col("_tokens")).otherwise(F.lit(0))).alias("_reserved"),
-    )
-    newer = (
-        Window.partitionBy("conv_id")
-        .orderBy(F.desc("_block"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = turns.groupBy("_key", "_block").agg(
+        F.sum("_tokens").alias("_in_block"), F.sum("_reserved").alias("_reserved")
     )
-    blocks = blocks.select(
-        "conv_id",
+    newest = Window.partitionBy("_key").orderBy(F.desc("_block"))
+    newer = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near_end = blocks.select(
+        "_key",
         "_block",
         (F.sum("_in_block").over(newer) - F.col("_in_block")).alias("_later"),
-        (max_tokens - F.sum("_reserved").over(Window.partitionBy("conv_id"))).alias("_budget"),
-    )
-    near_end = weighed.join(blocks, ["conv_id", "_block"]).filter("_system or _later <= _budget")
-
-    suffix = (
-        Window.partitionBy("conv_id", "_system", "_block")
+        (max_tokens - F.sum("_reserved").over(Window.partitionBy("_key"))).alias("_budget"),
+    ).filter("_later <= _budget")
+    later = (
+        Window.partitionBy("_key", "_block")
         .orderBy(F.desc("turn"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    fitting = near_end.withColumn(
-        "_used", F.col("_later") + F.sum("_tokens").over(suffix)
-    ).filter("_system or _used <= _budget")
-    # What fits the budget is short, so it may be seen whole.
-    first_user = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(
-        Window.partitionBy("conv_id")
+    fitting = turns.join(near_end, ["_key", "_block"]).withColumn(
+        "_used", F.col("_later") + F.sum("_tokens").over(later)
     )
     return (
-        fitting.withColumn("_first", first_user)
-        .filter("_system or turn >= _first")
-        .select(*messages.columns)
+        fitting.filter("_used <= _budget AND _user")
+        .groupBy("_key")
+        .agg(F.min("turn").alias("from_turn"))
+        .select("_key.conv_id", "from_turn")
     )
 
 
+def _is_system() -> Column:
+    return F.coalesce((F.col("role") == "system") & (F.col("turn") == 0), F.lit(False))
+
+
+def trim_history(
+    messages: DataFrame,
+    max_tokens: int = schema.MAX_TOKENS,
+    tokens: Column | None = None,
+    turns_per_block: int = TURNS_PER_BLOCK,
+) -> DataFrame:
+    """The last whole messages that fit the budget, starting on a user message.
+
+    A system message at turn 0 is kept and uses up budget first. Texts stay where they are until
+    ``history_cuts`` has found where each conversation begins: one number for each, sent to the tasks
+    up to CUTS_SENT conversations, and joined by shuffle beyond. Messages of a null ``conv_id`` are
+    one conversation, messages without a turn are left out, and turns without tokens cost nothing.
+    """
+    cuts = history_cuts(messages, max_tokens, tokens, turns_per_block)
+    path = shared_folder(messages.sparkSession, "cuts")
+    cuts.write.parquet(path)
+    cuts = messages.sparkSession.read.schema(cuts.schema).parquet(path)
+    cuts = cuts.select(F.struct("conv_id").alias("_key"), "from_turn")
+    cuts = F.broadcast(cuts) if cuts.count() <= CUTS_SENT else cuts
+    joined = messages.withColumn("_key", F.struct("conv_id")).join(cuts, "_key", "left")
+    kept = _is_system() | (F.col("turn") >= F.col("from_turn"))
+    return joined.filter(kept).select(*messages.columns)
+
+
 def assemble_context(ranked: DataFrame) -> DataFrame:
     """``qid, context``: the ranked chunks of a question, a blank line after each."""
     in_order = F.array_sort(F.collect_list(F.struct("rank", "chunk_content")))

@@ -2,8 +2,8 @@
 
 Scores are computed where the vectors are read: each task keeps its best ``k`` distinct rows per
 question, so what is shuffled is ``tasks * questions * k`` short rows and never a pair list.
-Questions travel to the tasks in blocks of bounded size, one scan for each block: the table is
-neither shuffled nor copied, whatever the number of questions.
+Questions are embedded and stored once and travel to the tasks in blocks of bounded size; a scan
+meets many blocks. The table is neither shuffled nor copied, whatever the number of questions.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +22,10 @@ from passageworks import schema
 from passageworks.functions.vectors import METRICS, SCORE_DIGITS
 from passageworks.session import shared_folder
 
-# Questions are hashed into blocks of about this many bytes; each block is one scan of the table.
+# Questions are hashed into blocks of about this many bytes, the most that the driver holds at once.
 BYTES_PER_BLOCK = 32 << 20
+# Bytes of questions that a task holds; the blocks of a scan of the table come to as much.
+BYTES_PER_SCAN = 256 << 20
 ROWS_PER_STEP = 16_384
 BYTES_PER_STEP = 32 << 20
 CELLS_PER_STEP = 4_000_000
@@ -143,27 +146,29 @@ def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best_rows(
-    batches: Iterator[pa.RecordBatch], questions: np.ndarray, k: int, metric: str
-) -> list[_Best]:
-    best = [_Best(k) for _ in range(len(questions))]
+    batches: Iterator[pa.RecordBatch], blocks: Sequence[np.ndarray], k: int, metric: str
+) -> list[list[_Best]]:
+    """The best rows of each question of each block, from one pass over the batches."""
+    best = [[_Best(k) for _ in range(len(questions))] for questions in blocks]
     sign = -1.0 if METRICS[metric] else 1.0
     for batch in _larger(batches):
         if not len(batch):
             continue
-        vectors = _matrix(batch.column("embedding"), questions.shape[1])
+        vectors = _matrix(batch.column("embedding"), blocks[0].shape[1])
         rows = _without_copies(batch, vectors)
         vectors = vectors[rows]
         content = name = None
         step = max(1, CELLS_PER_STEP // len(rows))
-        for start in range(0, len(questions), step):
-            costs = sign * _scores(metric, vectors, questions[start : start + step])
-            np.nan_to_num(costs, copy=False, nan=np.inf, posinf=np.inf, neginf=-np.inf)
-            limits = np.array([b.limit for b in best[start : start + step]])
-            for j in np.flatnonzero((costs <= limits).any(axis=0)):
-                if content is None:
-                    content = batch.column("chunk_content").take(pa.array(rows)).to_pylist()
-                    name = batch.column("document_name").take(pa.array(rows)).to_pylist()
-                best[start + j].offer(costs[:, j], content, name)
+        for questions, mine in zip(blocks, best, strict=True):
+            for start in range(0, len(questions), step):
+                costs = sign * _scores(metric, vectors, questions[start : start + step])
+                np.nan_to_num(costs, copy=False, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+                limits = np.array([b.limit for b in mine[start : start + step]])
+                for j in np.flatnonzero((costs <= limits).any(axis=0)):
+                    if content is None:
+                        content = batch.column("chunk_content").take(pa.array(rows)).to_pylist()
+                        name = batch.column("document_name").take(pa.array(rows)).to_pylist()
+                    mine[start + j].offer(costs[:, j], content, name)
     return best
 
 
@@ -193,10 +198,15 @@ def _order(metric: str) -> list[Column]:
 
 
 def _score_with_sent_questions(
-    table: DataFrame, qids: pa.Array, questions: np.ndarray, k: int, metric: str, qid: T.DataType
+    table: DataFrame, blocks: Sequence[Broadcast], k: int, metric: str, qid: T.DataType
 ) -> DataFrame:
+    """The best rows of every task for the questions of all ``blocks`` (ids and vectors)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield _hits(_best_rows(batches, questions, k, metric), qids, metric)
+        sent = [block.value for block in blocks]
+        found = _best_rows(batches, [questions for _, questions in sent], k, metric)
+        for (qids, _), best in zip(sent, found, strict=True):
+            yield _hits(best, qids, metric)
 
     return table.mapInArrow(run, T.StructType([T.StructField("qid", qid), *_HIT]))
 
@@ -210,37 +220,52 @@ def vector_search_batch(
     model: str | None = None,
     is_customer: bool = True,
     bytes_per_block: int = BYTES_PER_BLOCK,
+    bytes_per_scan: int = BYTES_PER_SCAN,
 ) -> DataFrame:
     """The best ``k`` distinct chunks of every question, ranked from 1.
 
-    ``questions`` has a unique ``qid`` and an ``embedding``. They are cut by a hash into blocks
-    of about ``bytes_per_block``; every block is scored in one scan of the table, and its hits are
-    written before the next block is read, so the driver holds one block at a time. Questions
-    without a vector, and an empty set, have no rows. ``strategy`` and ``model`` should name what
-    the table holds: scores of different ones are not comparable.
+    ``questions`` has a unique ``qid`` and an ``embedding``. They are stored once, so the model sees
+    each question once, and cut by a hash into blocks of about ``bytes_per_block``, of which the
+    driver holds one at a time. A scan of the table meets blocks of ``bytes_per_scan`` together; its
+    hits are written before the next scan. Questions without a vector, and an empty set, have no
+    rows. ``strategy`` and ``model`` should name what the table holds: scores of different ones are
+    not comparable.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {sorted(METRICS)}")
     seen = searchable(table, strategy, model, is_customer)
+    spark = table.sparkSession
     asked = questions.select("qid", "embedding")
     qid = asked.schema["qid"].dataType
-
-    asked = asked.filter("embedding is not null")
-    spark = table.sparkSession
+    # Kept before it is tested for nulls: a filter on a model's output would run the model twice.
+    path = shared_folder(spark, "questions")
+    asked.write.parquet(path)
+    asked = spark.read.schema(asked.schema).parquet(path).filter("embedding is not null")
     size = asked.agg(F.sum(F.size("embedding") * 8 + 16)).first()[0] or 0
     blocks = -(-size // bytes_per_block)
+    stored = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, blocks))).cast("int"))
+    if blocks > 1:
+        by_block = f"{path}-blocks"
+        stored.repartitionByRange("block").sortWithinPartitions("block").write.parquet(by_block)
+        stored = spark.read.schema(stored.schema).parquet(by_block)
+    scans = max(1, bytes_per_scan // bytes_per_block)
+    fetched = max(1, BYTES_PER_BLOCK // bytes_per_block)  # blocks that reach the driver together
     hits = spark.createDataFrame([], T.StructType([T.StructField("qid", qid), *_HIT]))
-    for block in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow()
-        if not len(mine):
+    for first in range(0, blocks, scans):
+        sent, last = [], min(first + scans, blocks)
+        for at in range(first, last, fetched):
+            mine = stored.where(F.col("block").between(at, min(at + fetched, last) - 1)).toArrow()
+            for block in mine.column("block").unique().to_pylist():
+                part = mine.filter(pc.equal(mine.column("block"), block))
+                vectors = _matrix(part.column("embedding").combine_chunks())
+                sent.append(spark.sparkContext.broadcast((part.column("qid").combine_chunks(), vectors)))
+        if not sent:
             continue
-        qids = mine.column("qid").combine_chunks()
-        matrix = _matrix(mine.column("embedding").combine_chunks())
-        found = _score_with_sent_questions(seen, qids, matrix, k, metric, qid)
-        if blocks > 1:
-            path = shared_folder(spark, "hits")
-            found.write.parquet(path)
-            found = spark.read.schema(found.schema).parquet(path)
+        found = _score_with_sent_questions(seen, sent, k, metric, qid)
+        if blocks > scans:
+            hit_path = shared_folder(spark, "hits")
+            found.write.parquet(hit_path)
+            found = spark.read.schema(found.schema).parquet(hit_path)
         hits = hits.union(found)
 
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*_order(metric)))
@@ -266,9 +291,8 @@ def vector_search(
         raise ValueError(f"unknown metric {metric!r}; one of {sorted(METRICS)}")
     seen = searchable(table, strategy, model, is_customer)
     matrix = np.asarray([question], dtype=np.float64)
-    hits = _score_with_sent_questions(
-        seen, pa.array([0], pa.int32()), matrix, k, metric, T.IntegerType()
-    )
+    sent = table.sparkSession.sparkContext.broadcast((pa.array([0], pa.int32()), matrix))
+    hits = _score_with_sent_questions(seen, [sent], k, metric, T.IntegerType())
     return (
         hits.select("chunk_content", "score", "document_name")
         .distinct()

@@ -418,3 +418,27 @@ def test_unwanted_files_are_not_opened(spark, tmp_path):
         assert [r.document_name for r in found.collect()] == ["a.txt"]
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_no_text_is_shuffled_before_the_cut(spark, tmp_path):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"words of turn {t}") for c in range(20) for t in range(40)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "m"))
+    messages = spark.read.parquet(str(tmp_path / "m"))
+    plan = hi.history_cuts(messages, 30)._jdf.queryExecution().optimizedPlan()
+    shuffled = re.findall(r"Aggregate \[.*|Window \[.*|Join .*", plan.toString())
+    assert shuffled and not any("text#" in line for line in shuffled)
+    whole = hi.trim_history(messages, 30)
+    text = whole._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert not re.search(r"Exchange hashpartitioning", text)
+
+
+def test_trim_of_null_ids_zero_tokens_and_missing_turns(spark):
+    rows = [
+        (None, 0, "system", "a b"), (None, 1, "user", "one two three"), (None, 2, "assistant", ""), (None, 3, "user", "x y"),
+        (7, 1, "user", ""), (7, 2, "assistant", "p q r s"), (7, 3, "user", None), (7, None, "user", "no turn"),
+        (8, 1, "assistant", "only"), (9, 0, "system", "1 2 3 4 5 6 7"), (9, 1, "user", "late"),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn) for r in hi.trim_history(messages, 4).collect()}
+    assert got == {(None, 0), (None, 3), (7, 1), (7, 2), (7, 3), (9, 0)}

@@ -149,3 +149,29 @@ def test_embedding_of_column_and_question_agree(spark):
         assert v == (None if t is None else embed_question(t, model))
     assert embed_question("Hello hello World", model) == embed_question("world HELLO hello", model)
     assert model.encode(pa.array([""])).sum() == 0
+
+
+def test_blocks_and_scans_change_nothing_and_questions_are_embedded_once(spark, small, tmp_path):
+    import os
+    import uuid
+
+    from passageworks.operators.embedding import embed_questions
+    from passageworks.queries import inputs as inp
+
+    seen = str(tmp_path)
+
+    class Counting(HashedWords):
+        def encode(self, texts):
+            with open(os.path.join(seen, uuid.uuid4().hex), "w") as f:
+                f.write("\n".join(["x"] * len(texts)))
+            return super().encode(texts)
+
+    asked = inp.read(spark, small, "benchmark").selectExpr("item_id qid", "text question")
+    table = inp.vector_table(spark, small)
+    whole = se.vector_search_batch(table, embed_questions(asked, HashedWords(64))).collect()
+    cut = se.vector_search_batch(
+        table, embed_questions(asked, Counting(64)), bytes_per_block=2000, bytes_per_scan=6000
+    ).collect()
+    assert sorted(map(tuple, cut)) == sorted(map(tuple, whole)) and whole
+    calls = [line for name in os.listdir(seen) for line in open(os.path.join(seen, name)).read().split()]
+    assert len(calls) == asked.count()
