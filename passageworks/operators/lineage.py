@@ -40,6 +40,35 @@ def touched_paths(
     )
 
 
+def merge_touches(
+    merges: DataFrame, branch: str | None = None, folder: Column | None = None, diff: str = "diff"
+) -> DataFrame:
+    """``commit_hash, seq, path`` of what merge commits left in place.
+
+    ``merges`` has ``commit_hash, seq, branch`` and the name-status text of the difference to the
+    first parent: what the merge brought to its branch, whichever commits made it elsewhere.
+    """
+    if branch is not None:
+        merges = merges.filter(F.col("branch") == branch)
+    kept = [c for c in merges.columns if c != diff]
+    changes = parse_name_status(merges.select(*kept, diff), diff)
+    path = F.col("path") if folder is None else F.concat(folder, F.lit("/"), "path")
+    return changes.select("commit_hash", "seq", path.alias("path"))
+
+
+def all_touches(
+    changes: DataFrame, merges: DataFrame, branch: str | None = None, folder: Column | None = None
+) -> DataFrame:
+    """``commit_hash, seq, path`` of ordinary commits and of merges, in one order by ``seq``.
+
+    A merge counts by its difference to the first parent alone: changes that the log lists under the
+    same commit are left out. Logs are short rows; a text is parsed where it is read, unshuffled.
+    """
+    same = [c for c in ("repo_name", "commit_hash") if c in changes.columns and c in merges.columns]
+    ordinary = changes.join(merges.select(*same).distinct(), same, "left_anti")
+    return touched_paths(ordinary, branch, folder).unionByName(merge_touches(merges, branch, folder))
+
+
 def latest_versions(touched: DataFrame) -> DataFrame:
     """``path, document_version``: the commit with the highest ``seq`` of each path.
 

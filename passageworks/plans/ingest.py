@@ -12,7 +12,7 @@ from passageworks.functions.text import is_blank, local_root, repo_of, sha256_he
 from passageworks.operators import strategies as st
 from passageworks.operators.chunking import chunk_documents
 from passageworks.operators.embedding import Embedder, embed
-from passageworks.operators.lineage import touched_paths, with_versions
+from passageworks.operators.lineage import all_touches, touched_paths, with_versions
 from passageworks.session import shared_folder
 from passageworks.sources import key_store as ks
 from passageworks.sources import table_log
@@ -48,12 +48,15 @@ def read_corpus(
     repos: Sequence[Repo],
     changes: DataFrame,
     deny: Sequence[str] = (),
+    merges: DataFrame | None = None,
     **how,
 ) -> DataFrame:
     """The documents of all repositories below ``root`` in one read, ready for ``ingest``.
 
     ``changes`` is the change log of all of them (``repo_name, commit_hash, seq, branch,
-    change_type, new_path``); of each repository only its main branch counts.
+    change_type, new_path``); of each repository only its main branch counts. ``merges`` holds the
+    merge commits (``repo_name, commit_hash, seq, branch``) with the name-status text ``diff`` of
+    each to its first parent; files that only merges touched get their version from there.
     """
     root = root.rstrip("/")
     dimension = spark.createDataFrame(
@@ -61,9 +64,13 @@ def read_corpus(
         "repo_name string, branch string, internal_only boolean",
     )
     files = read_documents(spark, [f"{root}/{r.name}" for r in repos], deny=deny, **how)
-    on_main = changes.join(dimension.select("repo_name", "branch"), ["repo_name", "branch"])
+    main = dimension.select("repo_name", "branch")
     folder = F.concat(F.lit(local_root(root) + "/"), "repo_name")
-    touched = touched_paths(on_main, folder=folder)
+    on_main = changes.join(main, ["repo_name", "branch"])
+    if merges is None:
+        touched = touched_paths(on_main, folder=folder)
+    else:
+        touched = all_touches(on_main, merges.join(main, ["repo_name", "branch"]), folder=folder)
     found = with_identity(files.drop("internal_only"), touched, local_root(root))
     return found.join(dimension.select("repo_name", "internal_only"), "repo_name")
 

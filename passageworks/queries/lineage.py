@@ -70,6 +70,34 @@ def latest_version_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.latest_versions_by_rank(touched)
 
 
+# Every fifth commit is a merge: it changes one path and renames another, by its diff alone.
+_MERGED_SQL = f"""WITH {inp.COMMIT_CHANGES}, {inp.REPO_FILES},
+touched AS (
+  SELECT commit_hash, seq, new_path AS path FROM commit_changes
+  WHERE seq % 5 <> 0 AND change_type <> 'D' AND branch = 'main'
+  UNION ALL SELECT commit_hash, seq, new_path FROM commit_changes
+  WHERE seq % 5 = 0 AND change_type <> 'D' AND branch = 'main'
+  UNION ALL SELECT commit_hash, seq, replace(new_path, 'docs/', 'docs/1') FROM commit_changes
+  WHERE seq % 5 = 0 AND branch = 'main'),
+latest AS (SELECT path, arg_max(commit_hash, seq) AS document_version FROM touched GROUP BY path)
+SELECT filepath, document_version FROM repo_files LEFT JOIN latest ON path = filepath"""
+
+
+@query("latest_version_with_merges", _MERGED_SQL)
+def latest_version_with_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions from two logs; some files are touched by merges only."""
+    changes = inp.commit_changes(spark, sf_dir)
+    lines = F.concat_ws(
+        "\n",
+        F.concat_ws("\t", "change_type", "new_path"),
+        F.concat_ws("\t", F.lit("R087"), "old_path", F.replace("new_path", F.lit("docs/"), F.lit("docs/1"))),
+        F.concat_ws("\t", F.lit("D"), F.lit("docs/2.md")),
+    )
+    merges = changes.where("seq % 5 = 0").select("commit_hash", "seq", "branch", lines.alias("diff"))
+    touched = li.all_touches(changes, merges, "main")
+    return li.with_versions(inp.repo_files(spark, sf_dir), touched).select("filepath", "document_version")
+
+
 @query(
     "ingest_counts",
     _VERSIONED_SQL

@@ -384,6 +384,26 @@ def test_corpus_of_two_repositories(spark, tmp_path):
     ]
 
 
+def test_merges_count_by_their_diff_to_the_first_parent(spark, tmp_path):
+    corpus(tmp_path)
+    changes = spark.createDataFrame(
+        [("repo", "c1", 1, "main", "A", "a.txt"), ("repo", "c2", 2, "main", "M", "sub/b.md"), ("repo", "m3", 3, "main", "M", "sub/b.md")],
+        "repo_name string, commit_hash string, seq long, branch string, change_type string, new_path string",
+    )
+    merges = spark.createDataFrame(
+        [
+            ("repo", "m3", 3, "main", "M\ta.txt\nD\tsub/b.md\nR090\told.md\tREADME.md\n"),
+            ("repo", "m4", 4, "dev", "M\tsub/b.md"),
+            ("other", "m5", 5, "main", "M\ta.txt"),
+            ("repo", "m6", 6, "main", ""),
+        ],
+        "repo_name string, commit_hash string, seq long, branch string, diff string",
+    )
+    found = read_corpus(spark, str(tmp_path), [Repo("repo")], changes, merges=merges)
+    got = {r.document_name: r.document_version for r in found.collect()}
+    assert got == {"a.txt": "m3", "b.md": "c2", "README.md": "m3", "c.docx": None}
+
+
 def test_null_keys_are_kept(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, i long")
     got = sorted((r.i, r.n) for r in number_rows(df, ["k"], ["i"], F.floor(F.col("i") / 2), "n").collect())
