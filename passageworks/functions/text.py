@@ -239,6 +239,69 @@ def _without_markup(html: Column) -> Column:
     return _without_tags(_without_comments(html))
 
 
+_TABLE = r"(?i)<table\b"
+
+
+def _table_depths(parts: Column) -> Column:
+    """How many tables are open at the end of each part before a closing tag, its own counted."""
+    opened = F.transform(parts, lambda p: F.regexp_count(p, F.lit(_TABLE)))
+
+    def depth(opened: Column) -> Column:
+        return F.transform(
+            opened,
+            lambda _, i: F.aggregate(F.slice(opened, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) - i,
+        )
+
+    return let(opened, depth)
+
+
+def inline_inner_tables(html: Column) -> Column:
+    """A table within a table as text of the cell that holds it: its cells, a space around each.
+
+    So the commas and lines of the outer table stay its own. Each pass takes the innermost tables,
+    which are those that no table opens within; there are as many passes as tables are nested deep.
+    A page without nested tables is left as it is.
+    """
+
+    def one_level(page: Column) -> Column:
+        def changed(parts: Column) -> Column:
+            n = F.size(parts)
+            return let(
+                _table_depths(parts),
+                lambda depth: F.array_join(
+                    F.transform(
+                        parts,
+                        lambda part, i: F.when(i == n - 1, part)
+                        .when((F.get(depth, i) >= 2) & part.rlike(_TABLE), inlined(part))
+                        .otherwise(F.concat(part, F.lit("</table>"))),
+                    ),
+                    "",
+                ),
+            )
+
+        def inlined(part: Column) -> Column:
+            # Greedy, so the last opening tag of the part begins the table.
+            before = F.regexp_extract(part, r"(?is)^(.*)<table\b", 1)
+            table = F.regexp_extract(part, r"(?is)^.*(<table\b.*)$", 1)
+            cells = F.array_join(_element_contents(table, "t[hd]"), " ")
+            return F.concat(before, F.lit(" "), cells, F.lit(" "))
+
+        return let(F.split(page, r"(?i)</table\s*>", -1), changed)
+
+    def all_levels(parts: Column) -> Column:
+        closed = F.slice(_table_depths(parts), F.lit(1), F.size(parts) - 1)
+        return let(
+            F.array_max(closed),
+            lambda deepest: F.when(
+                deepest >= 2,
+                F.aggregate(F.sequence(F.lit(2), deepest), html, lambda page, _: one_level(page)),
+            ).otherwise(html),
+        )
+
+    nested = html.rlike(r"(?is)<table\b.*<table\b") & html.rlike(r"(?i)</table")
+    return F.when(nested, let(F.split(html, r"(?i)</table\s*>", -1), all_levels)).otherwise(html)
+
+
 def linearize_html_table(
     table: Column, indicate_table: bool = True, separator: str = ","
 ) -> Column:
@@ -256,7 +319,16 @@ def linearize_html_table(
 def replace_html_tables(
     html: Column, indicate_table: bool = True, separator: str = ","
 ) -> Column:
-    """Every table element replaced by its paragraph; a page without one is left as it is."""
+    """Every table element replaced by its paragraph; a page without one is left as it is.
+
+    Tables within tables become text of the cells that hold them first.
+    """
+    return let(
+        inline_inner_tables(html), lambda flat: _replace_flat_tables(flat, indicate_table, separator)
+    )
+
+
+def _replace_flat_tables(html: Column, indicate_table: bool, separator: str) -> Column:
     opening = r"(?is)<table\b.*"
 
     def paragraph(part: Column, i: Column, n: Column) -> Column:

@@ -159,6 +159,21 @@ def linearize_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "linearize_nested_tables",
+    """SELECT p_partkey, '<p>Table:' || chr(10) || 'name,of  ' || p_name || ' ' || p_brand || '  all'
+  || chr(10) || 'size,' || p_size || chr(10) || '</p>' AS text FROM part""",
+)
+def linearize_nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a table with a table in a cell."""
+    html = F.concat(
+        F.lit("<table><tr><td>name</td><td>of <table><tr><th>"), "p_name", F.lit("</th></tr><tr><td>"),
+        "p_brand", F.lit("</td></tr></TABLE> all</td></tr><tr><td>size</td><td>"), F.col("p_size").cast("string"),
+        F.lit("</td></tr></table>"),
+    )
+    return inp.read(spark, sf_dir, "part").select("p_partkey", tx.replace_html_tables(html).alias("text"))
+
+
 @query(
     "extract_text_dispatch",
     f"""WITH {inp.DOC_FILES},

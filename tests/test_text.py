@@ -67,6 +67,25 @@ def test_html(spark):
     assert value(spark, html, tx.html_to_text) == "a <b> éA&lt; &unknown;1 < 2end &# 5"
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<table><tr><td>a</td><td>b<table><tr><td>1</td><td>2</td></tr></table>c</td></tr><tr><td>d</td></tr></table>",
+         "Table:\na,b 1 2 c\nd\n"),
+        ("<table><tr><td><table><tr><td>1</td></tr></table></td><td><table><tr><td>2</td></tr></table></td></tr></table>!",
+         "Table:\n 1 , 2 \n!"),
+        ("<table><tr><td>x<table><tr><td>y<table><tr><td>z</td></tr></table></td></tr></table></td><td>w</td></tr></table>",
+         "Table:\nx y z  ,w\n"),
+        ("p<table><tr><td>a</td></tr></table>q<table><tr><td>b<table><tr><td>c</td></tr></table></td></tr></table>",
+         "pTable:\na\nqTable:\nb c \n"),
+        ("<table><tr><td>a<table><tr><td>never closed</td></tr></table>", "a never closed "),
+        ("no table </table> here <table>", "no table  here "),
+    ],
+)
+def test_tables_within_tables_stay_in_their_cell(spark, html, want):
+    assert value(spark, html, tx.html_to_text).replace("\n\n", "\n") == want.replace("\n\n", "\n")
+
+
 def test_html_tables_become_lines(spark):
     html = "x<TABLE border=1><tr><th>a</th><td><b>b</b></td></tr><tr></tr></TABLE>y<table></table>"
     assert value(spark, html, tx.html_to_text) == "xTable:\na,b\n\nyTable:\n"
