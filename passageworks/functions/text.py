@@ -298,7 +298,8 @@ def inline_inner_tables(html: Column) -> Column:
             ).otherwise(html),
         )
 
-    nested = html.rlike(r"(?is)<table\b.*<table\b") & html.rlike(r"(?i)</table")
+    # Two opening tags without a closing one between; possessive, so a page is read once.
+    nested = html.rlike(r"(?i)<table\b(?:[^<]++|<(?!/?table\b))*+<table\b")
     return F.when(nested, let(F.split(html, r"(?i)</table\s*>", -1), all_levels)).otherwise(html)
 
 
