@@ -781,4 +781,4 @@ def test_pipeline_stages_on_awkward_rows(spark, small):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 14))
