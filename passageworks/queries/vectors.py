@@ -68,16 +68,15 @@ ORDER BY score {order}, chunk_content, document_name LIMIT 10"""
 @query(
     "vector_scan_filtered",
     f"""WITH {inp.VECTOR_TABLE}
-SELECT chunk_content, document_name, vec_id FROM vector_table
+SELECT chunk_content, document_name,
+  array_to_string(list_transform(v, lambda x: round(x * 1000000)::BIGINT::VARCHAR), ',') AS embedding
+FROM vector_table
 WHERE chunking_strategy = 'By sentence' AND embedding_model = '{inp.MODEL.name}'
   AND NOT internal_only""",
 )
 def vector_scan_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # searchable() keeps the vector; the id stands for it here.
-    table = inp.vector_table(spark, sf_dir).withColumn("embedding", F.col("vec_id"))
-    return se.searchable(table, "By sentence", inp.MODEL.name).withColumnRenamed(
-        "embedding", "vec_id"
-    )
+    seen = se.searchable(inp.vector_table(spark, sf_dir), "By sentence", inp.MODEL.name)
+    return seen.withColumn("embedding", inp.vector_text(F.col("embedding")))
 
 
 @query(
