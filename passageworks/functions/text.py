@@ -394,7 +394,17 @@ _BLOCK = [
     (r"^ {0,3}>[> ]*", ""),
     (r"^ {0,3}#{1,6}(?:[ \t]+|$)", ""),
     (r"^[ \t]*+(?:[-*+]|[0-9]{1,9}[.)])[ \t]+", ""),
+    (r"^[ \t]+", ""),
 ]
+_LIST_MARK = r"(?:[-*+]|[0-9]{1,9}[.)])[ \t]"
+
+# A fence ends at a line of at least as many marks of its kind, or with the text.
+_FENCE = (
+    r"(?mds)^ {0,3}(?:(`{3,})[^`\n]*|(~{3,})[^\n]*)(?:\n|\z)(.*?)"
+    r"(?:^ {0,3}(?:\1`*|\2~*)[ \t]*(?:\n|\z)|\z)"
+)
+# A run of blank lines, entered at its first character only, up to the last line end in it.
+_BLANK_LINES = r"(?<![ \t\n])[ \t]*\n[ \t\n]*\n"
 
 
 def _replace_all(text: Column, steps: list[tuple[str, str]]) -> Column:
@@ -471,13 +481,26 @@ def _is_horizontal_rule(line: Column) -> Column:
 
 
 def _table_row(line: Column, separator: str) -> Column:
-    """The cells between the outer pipes, joined by the separator."""
+    """The cells between the outer pipes, joined by the separator; an escaped pipe is text."""
+    pipe = r"(?<=(?<!\\)(?:\\\\){0,8})\|"
     inner = strip(line)
-    inner = F.regexp_replace(inner, r"^\||\|$", "")
-    cells = F.transform(F.split(inner, r"\|", -1), lambda c: _inline_markdown(strip(c)))
+    inner = F.regexp_replace(inner, rf"^\||{pipe}$", "")
+    cells = F.transform(
+        F.split(inner, pipe, -1),
+        lambda c: _inline_markdown(F.replace(strip(c), F.lit("\\|"), F.lit("|"))),
+    )
     return F.array_join(cells, separator)
 
 
+def _paragraph_line(line: Column, following: Column) -> Column:
+    """A line without block marks, indent, spaces at its end, and the backslash that breaks it."""
+    marks = F.char_length(line) - F.char_length(F.rtrim(line, F.lit("\\")))
+    ends = following.isNull() | following.rlike(rf"^ {{0,3}}(?:>|#{{1,6}}(?:[ \t]|$)|{_LIST_MARK})")
+    broken = (marks % 2 == 1) & ~ends & ~line.rlike(r"^ {0,3}#{1,6}[ \t]")
+    whole = F.when(broken, F.left(line, F.char_length(line) - 1)).otherwise(F.rtrim(line, F.lit(" \t")))
+    return _inline_markdown(_replace_all(whole, _BLOCK))
+
+
 def _markdown_lines(part: Column, indicate_tables: bool, separator: str) -> Column:
     def convert(lines: Column) -> Column:
         def line(text: Column, i: Column) -> Column:
@@ -498,22 +521,42 @@ def _markdown_lines(part: Column, indicate_tables: bool, separator: str) -> Colu
                 F.when(_is_table_rule(text) | underline | definition, F.lit(None).cast("string"))
                 .when(_is_horizontal_rule(text), F.lit(""))
                 .when(is_row, row)
-                .otherwise(_inline_markdown(_replace_all(text, _BLOCK)))
+                .otherwise(_paragraph_line(text, F.get(lines, i + 1)))
             )
 
         # array_join leaves out the null that stands for a table's rule line.
         return F.array_join(F.transform(lines, line), "\n")
 
     def block(text: Column) -> Column:
-        listed = text.rlike(r"^[ \t]+(?:[-*+]|[0-9]{1,9}[.)])[ \t]")
+        listed = text.rlike(rf"^[ \t]+{_LIST_MARK}")
         code = text.rlike(r"^(?: {4}|\t)") & ~listed
-        kept = F.regexp_replace(text, r"(?m)^(?: {4}|\t)", "")
-        return F.when(code, kept).otherwise(let(F.split(text, "\n", -1), convert))
 
-    # Blank lines part blocks: tables, paragraphs, and code that is indented.
-    blocks = F.split(part, r"\n[ \t]*\n", -1)
+        def by_kind(parts: Column) -> Column:
+            kept = F.regexp_replace(F.when(code, parts[0]), r"(?m)^(?: {4}|\t)", "")
+            rest = F.when(code, F.get(parts, F.lit(1))).otherwise(text)
+            return F.concat_ws("\n", kept, let(F.split(rest, "\n", -1), convert))
+
+        # Code ends at the first line that is not indented.
+        return let(F.split(text, r"\n(?! {4}|\t)", 2), by_kind)
+
+    def section(blocks: Column) -> Column:
+        first = F.get(blocks, F.lit(0))
+        in_list = first.rlike(rf"(?md)^ {{0,3}}{_LIST_MARK}") & ~_is_horizontal_rule(first)
+
+        def unindented(text: Column, i: Column) -> Column:
+            mark = rf"(?mds)\A.*^([ \t]*+{_LIST_MARK}[ \t]*)"
+            above = F.char_length(F.regexp_extract(F.get(blocks, i - 1), mark, 1))
+            width = F.when(above > 0, above).otherwise(F.char_length(F.regexp_extract(first, mark, 1)))
+            indent = F.concat(F.lit(r"(?md)^(?:\t| {0,"), width.cast("string"), F.lit("})"))
+            return F.when((i > 0) & in_list, F.regexp_replace(text, indent, F.lit(""))).otherwise(text)
+
+        return F.array_join(F.transform(blocks, lambda b, i: let(unindented(b, i), block)), "\n")
+
+    # Blank lines part blocks: tables, paragraphs, and code that is indented. A section is a block
+    # and the indented ones below it, which go on with a list if the block has one.
+    sections = F.split(F.regexp_replace(part, r"^\n+", ""), rf"{_BLANK_LINES}(?=[^ \t\n])", -1)
     return F.array_join(
-        F.transform(blocks, lambda b: let(F.regexp_replace(b, r"^\n+", ""), block)), "\n"
+        F.transform(sections, lambda s: let(F.split(s, _BLANK_LINES, -1), section)), "\n"
     )
 
 
@@ -524,13 +567,16 @@ def markdown_to_text(
 
     Fenced code is kept as it stands; blank lines between blocks become one line break.
     """
-    parts = F.split(text, r"(?m)^ {0,3}(?:```|~~~)[^\n]*(?:\n|\z)", -1)
-    converted = F.transform(
-        parts,
-        lambda part, i: F.when(i % 2 == 1, part).otherwise(
-            F.regexp_replace(
-                _markdown_lines(part, indicate_tables, table_separator), r"\n{2,}", "\n"
-            )
-        ),
-    )
-    return F.regexp_replace(F.array_join(converted, ""), r"^\n+", "")
+
+
+    def plain(part: Column) -> Column:
+        lines = _markdown_lines(part, indicate_tables, table_separator)
+        return F.regexp_replace(lines, r"\n{2,}", "\n")
+
+    def converted(whole: Column) -> Column:
+        code = F.regexp_extract_all(whole, F.lit(_FENCE), F.lit(3))
+        parts = F.transform(F.split(whole, _FENCE, -1), plain)
+        pairs = F.zip_with(parts, code, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+        return F.regexp_replace(F.array_join(pairs, ""), r"^\n+", "")
+
+    return let(text, converted)

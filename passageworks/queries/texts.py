@@ -85,23 +85,26 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _unmarked(text: Column) -> Column:
-    """A text without characters that mean anything in Markdown."""
-    return F.translate(text, "#*[]|<>&_`~!()+-=\\0123456789", "")
+def _escaped(text: Column) -> Column:
+    """A text in which a backslash stands before every mark, so that Markdown gives it back."""
+    return F.regexp_replace(text, r"([!-/:-@\[-`{-~])", r"\\$1")
 
 
-_UNMARKED_SQL = "translate({}, '#*[]|<>&_`~!()+-=\\0123456789', '')"
+# Of such a text only spaces at the ends of lines and blank lines are lost.
+_BODY_SQL = r"""regexp_replace(regexp_replace({}, '[ \t]*\n[ \t\n]*', chr(10), 'g'), '^[ \t]+|[ \t]+$', '', 'g')"""
 
 
 @query(
     "markdown_to_text",
     f"""SELECT doc_id, concat_ws(chr(10), source, lang || ' and ' || source || ' with c * d and em',
-  'first ' || lang, 'second', 'said ' || source, 'Table:', 'lang,n', lang || ',' || n_chars,
-  'SELECT **', '') || regexp_replace({_UNMARKED_SQL.format('text')}, '\\n{{2,}}', chr(10), 'g') AS text
+  'first ' || lang, 'of the first', 'second', 'said ' || source, 'Table:', 'lang | n,n', lang || ',' || n_chars,
+  'broken', 'line', 'SELECT **', '') || {_BODY_SQL.format('text')} AS text,
+  regexp_replace(text || chr(10), '^\\n+', '') AS fenced
 FROM documents""",
 )
 def markdown_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as the body of a Markdown text with every kind of mark before it."""
+    """Each whole document as the body of a Markdown text with every kind of mark before it, its
+    own marks escaped; and once more as it stands, in a fence."""
     source = F.col("source")
     marked = F.concat_ws(
         "\n",
@@ -113,19 +116,25 @@ def markdown_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.lit(""),
         F.concat(F.lit("- first "), F.col("lang")),
+        F.lit(""),
+        F.lit("  of the *first*"),
         F.lit("2. second"),
         F.concat(F.lit("> said "), source),
         F.lit(""),
-        F.lit("| lang | n |"),
+        F.lit(r"| lang \| n | n |"),
         F.lit("|:---|---:|"),
         F.concat(F.lit("| "), F.col("lang"), F.lit(" | "), F.col("n_chars").cast("string"), F.lit(" |")),
+        F.lit(""),
+        F.lit("broken\\"),
+        F.lit("  line"),
         F.lit("```sql"),
         F.lit("SELECT **"),
         F.lit("```"),
-        _unmarked(F.col("text")),
+        _escaped(F.col("text")),
     )
+    fenced = F.concat(F.lit("~~~~~~~~\n"), F.col("text"), F.lit("\n~~~~~~~~"))
     return inp.read_documents(spark, sf_dir).select(
-        "doc_id", tx.markdown_to_text(marked).alias("text")
+        "doc_id", tx.markdown_to_text(marked).alias("text"), tx.markdown_to_text(fenced).alias("fenced")
     )
 
 
@@ -177,17 +186,19 @@ def linearize_nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "extract_text_dispatch",
     f"""WITH {inp.DOC_FILES},
-raw AS (SELECT filepath, translate(document_text, 'q#*[]|<>&_`~!()+-=\\0123456789', chr(39)) AS t
-  FROM doc_files)
-SELECT filepath, replace(CASE WHEN filepath LIKE '%.docx' OR filepath LIKE '%.txt' THEN '## ' || t
-  WHEN filepath LIKE '%.md' THEN regexp_replace(t, '\\n{{2,}}', chr(10), 'g') ELSE '' END, chr(39),
-  chr(39) || chr(39)) AS document_text FROM raw""",
+extracted AS (SELECT filepath, CASE WHEN filepath LIKE '%.docx' THEN 'package of ' || document_text
+  WHEN filepath LIKE '%.txt' THEN '## ' || document_text
+  WHEN filepath LIKE '%.md' THEN {_BODY_SQL.format('document_text')} ELSE '' END AS t FROM doc_files)
+SELECT filepath, replace(replace(replace(t, chr(39), chr(39) || chr(39)), '\\', '\\\\'), '\\u', '\\\\u')
+  AS document_text FROM extracted""",
 )
 def extract_text_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of four types with a heading mark that only the Markdown reader takes away."""
-    raw = F.translate("document_text", "q#*[]|<>&_`~!()+-=\\0123456789", "'")
-    text = text_by_type(F.col("filepath"), F.concat(F.lit("## "), raw), escape=True)
-    return inp.doc_files(spark, sf_dir).select("filepath", text.alias("document_text"))
+    """Files of four types, whole texts: only the Markdown reader takes the heading mark away and
+    reads escaped marks, and packages have a reader of their own."""
+    path, text = F.col("filepath"), F.col("document_text")
+    raw = F.concat(F.lit("## "), F.when(path.endswith(".md"), _escaped(text)).otherwise(text))
+    read = text_by_type(path, raw, F.concat(F.lit("package of "), text), escape=True)
+    return inp.doc_files(spark, sf_dir).select("filepath", read.alias("document_text"))
 
 
 # ---------------------------------------------------------------- scalars

@@ -111,6 +111,10 @@ def test_markdown(spark):
     assert bare == "a;b\n1;2"
 
 
+def test_markdown_of_nothing(spark):
+    assert spark.range(1).select(tx.markdown_to_text(F.lit(None).cast("string"))).first()[0] is None
+
+
 def test_cells(spark):
     one = spark.sql("select array(array('a\nb'), array('c')) c").select(
         tx.linearize_cells(F.col("c"), F.lit(1)), tx.linearize_cells(F.col("c"), F.lit(2))
@@ -119,7 +123,9 @@ def test_cells(spark):
     assert one[1] == "Table:\na b\nc\n"
 
 
-@pytest.mark.parametrize("mark", ["*", "_", "[", "`", "|", "-", "<", "~", "> ", "#", "| - ", "[a]("])
+@pytest.mark.parametrize(
+    "mark", ["*", "_", "[", "`", "|", "-", "<", "~", "> ", "#", "| - ", "[a](", "\\", "\n", "\n ", " ", "- a\n\n  "]
+)
 def test_long_lines_of_marks_stay_linear(spark, mark):
     for line in (mark * 200_000, "y" + mark * 200_000 + "x"):
         assert value(spark, line, lambda t: F.length(tx.markdown_to_text(t))) >= 0
@@ -160,6 +166,17 @@ def test_references(spark, given, wanted):
         ("\x0e\x0f and *x*", "\x0e\x0f and x"),
         (r"a\\b \q \`c\`", r"a\b \q `c`"),
         ("`a\\*` and *b*", "a\\* and b"),
+        (r"| a \| b | `c\|d` |" + "\n|---|---|\n" + r"| x \\| y\| |", "Table:\na | b,c|d\nx \\,y|"),
+        ("a line\\\nnext  \nlast\\", "a line\nnext\nlast\\"),
+        ("# head\\\nbody", "head\\\nbody"),
+        ("a\\\\\nb", "a\\\nb"),
+        ("- one\n  goes on\n\n  second *part*\n\n      x = *y*\n- two", "one\ngoes on\nsecond part\nx = *y*\ntwo"),
+        ("- a\n  - b\n\n      of b\n\nend", "a\nb\nof b\nend"),
+        ("text\n\n    x = *y*", "text\nx = *y*"),
+        ("````\n```\n*a*\n~~~\n````\n*b*", "```\n*a*\n~~~\nb"),
+        ("``` a `` b", "``` a `` b"),
+        ("", ""),
+        ("\n \n", ""),
     ],
 )
 def test_markdown_forms(spark, given, wanted):
