@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -68,61 +69,74 @@ def character_windows(text: Column, size: int, overlap: int) -> Column:
     )
 
 
+def _found_in(codes: np.ndarray, separator: np.ndarray) -> np.ndarray:
+    """Where a separator occurs in an array of code points, from left to right without overlap."""
+    if len(separator) == 1:
+        return np.flatnonzero(codes == separator[0])
+    n = len(codes) - len(separator) + 1
+    hit = np.ones(max(n, 0), dtype=bool)
+    for k, code in enumerate(separator):
+        hit &= codes[k : k + len(hit)] == code
+    at = np.flatnonzero(hit)
+    if not (np.diff(at) < len(separator)).any():
+        return at
+    if (separator == separator[0]).all():  # within a run of its character: every len(separator)-th
+        head = np.r_[True, np.diff(at) > 1]
+        start = at[head][np.cumsum(head) - 1]
+        return at[(at - start) % len(separator) == 0]
+    kept = [int(at[0])]
+    while (k := int(np.searchsorted(at, kept[-1] + len(separator)))) < len(at):
+        kept.append(int(at[k]))
+    return np.array(kept)
+
+
+def _merged(cuts: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Spans of neighbouring pieces, as many as fit; one sorted search for each end of a span."""
+    first, last = 0, len(cuts) - 1
+    while first < last:
+        # The first piece that no longer fits; a span has one piece at least.
+        stop = max(bisect_right(cuts, cuts[first] + size) - 1, first + 1)
+        if stop >= last:
+            break
+        yield cuts[first], cuts[stop]
+        least = max(cuts[stop] - overlap, cuts[stop + 1] - size)
+        first = bisect_left(cuts, least, first, stop)
+    if first < last:
+        yield cuts[first], cuts[last]
+
+
 def split_recursively(
     text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS
 ) -> list[str]:
     """Chunks of at most ``size`` characters, cut at the coarsest separator that occurs.
 
     Pieces keep the separator in front of them, so a piece is a span of the text and merging
-    neighbours only moves the two ends of a span.
+    neighbours only moves the two ends of a span. Cut positions are arrays; steps of their own
+    have only chunks, and pieces that are cut again.
     """
-    chunks: list[str] = []
-
-    def merge(cuts: list[int]) -> None:
-        first = 0
-        for i in range(len(cuts) - 1):
-            begin, end = cuts[i], cuts[i + 1]
-            if end - cuts[first] > size and first < i:
-                add(cuts[first], begin)
-                while first < i and (begin - cuts[first] > overlap or end - cuts[first] > size):
-                    first += 1
-        if first < len(cuts) - 1:
-            add(cuts[first], cuts[-1])
-
-    def add(begin: int, end: int) -> None:
-        chunk = text[begin:end].strip()
-        if chunk:
-            chunks.append(chunk)
-
-    def cut(begin: int, end: int, level: int) -> None:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    marks = [np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) for s in separators]
+
+    def spans(begin: int, end: int, level: int) -> Iterator[tuple[int, int]]:
         while separators[level] and text.find(separators[level], begin, end) < 0:
             level += 1
-        separator = separators[level]
-        cuts = [begin]
-        if separator:
-            at = text.find(separator, begin, end)
-            while at >= 0:
-                cuts.append(at)
-                at = text.find(separator, at + len(separator), end)
+        if separators[level]:
+            at = begin + _found_in(codes[begin:end], marks[level])
         else:
-            cuts.extend(range(begin + 1, end))
-        cuts.append(end)
-
-        run = [cuts[0]]
-        for left, right in zip(cuts, cuts[1:]):
-            if right == left:
-                continue
-            if right - left < size or not separator:
-                run.append(right)
-                continue
-            merge(run)
-            cut(left, right, level + 1)
-            run = [right]
-        merge(run)
-
-    if text:
-        cut(0, len(text), 0)
-    return chunks
+            at = np.arange(begin + 1, end)
+        if len(at) and at[0] == begin:
+            at = at[1:]
+        bounds = np.concatenate(([begin], at, [end]))
+        large = np.flatnonzero(bounds[1:] - bounds[:-1] >= size).tolist() if separators[level] else []
+        cuts, run = bounds.tolist(), 0
+        for piece in large:
+            yield from _merged(cuts[run : piece + 1], size, overlap)
+            yield from spans(cuts[piece], cuts[piece + 1], level + 1)
+            run = piece + 1
+        yield from _merged(cuts[run:], size, overlap)
+
+    found = (text[begin:end].strip() for begin, end in spans(0, len(text), 0)) if text else ()
+    return [chunk for chunk in found if chunk]
 
 
 def recursive_characters(text: Column, size: int, overlap: int) -> Column:
