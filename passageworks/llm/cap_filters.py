@@ -4,7 +4,9 @@ A filter is a direction on the sphere: one code word for each of two halves of t
 scaled to unit length. A vector passes all filters whose direction it meets at an inner product of
 ``cap`` or more. The list of these is decoded from the two halves: the words of each half are
 ordered by their inner product, and only pairs that can reach the cap are looked at, so the number
-of filters is the square of the number of words computed.
+of filters is the square of the number of words computed. The words grow with the square root of
+the vectors of a label, so that those of a filter, and the comparisons of a vector, do not grow
+with the table; vectors then pass somewhat more filters, which keeps the share of pairs found.
 
 Vectors that pass a common filter and have the same label are compared exactly, in double
 precision. A pair that shares several filters is counted in the first of them only. A filter with
@@ -15,21 +17,23 @@ the edges of a spanning forest, which suffice for the components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passageworks.llm.components import components
 from passageworks.llm.store import written
 from passageworks.llm.vectors import matrix, only_length, sizes_above, usable
 
-WORDS = 100  # code words of each half: 10,000 filters
-PASSED = 8.0  # filters that a random vector passes on average; more find more and cost more
-BEST = 16  # filters that every vector passes at least: its best ones, where the cap gives fewer
+WORDS = 100  # code words of each half at least: 10,000 filters
+IN_CELL = 64  # vectors of a label and filter on average, from which on there are more words
+BEST = 16  # filters that every vector passes at least with WORDS words: its best ones
+GROWTH = 0.37  # power of the words by which BEST grows: 0.998 of pairs at cosine 0.93 share a filter
 BLOCK = 1024  # vectors of a block
 
 
@@ -47,13 +51,26 @@ def rotation(dim: int, seed: int = 12) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0]
 
 
-def cap_height(dim: int, words: int = WORDS, passed: float = PASSED, seed: int = 13) -> float:
+def words_for(n: int) -> int:
+    """Code words of each half for ``n`` vectors of a label."""
+    return max(WORDS, math.ceil(math.sqrt(n * BEST / IN_CELL)))
+
+
+def best_for(words: int) -> int:
+    """Filters that every vector passes at least; a random vector passes half as many by the cap."""
+    return max(BEST, math.ceil(BEST * (words / WORDS) ** GROWTH))
+
+
+def cap_height(dim: int, words: int, passed: float, seed: int = 13) -> float:
     """The inner product that random directions reach with ``passed`` of the filters on average."""
-    x = np.random.default_rng(seed).normal(size=(1000, dim))
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(1000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     a, b = code_words(dim, words)
-    both = ((x[:, : a.shape[1]] @ a.T)[:, :, None] + (x[:, a.shape[1] :] @ b.T)[:, None, :]) / np.sqrt(2)
-    return float(np.quantile(both[:, ::1, :], 1 - min(1.0, passed / words**2)))
+    i, j = rng.integers(0, words, size=(2, len(x), 2000))  # some filters for each direction
+    one = np.take_along_axis(x[:, : a.shape[1]] @ a.T, i, axis=1)
+    both = (one + np.take_along_axis(x[:, a.shape[1] :] @ b.T, j, axis=1)) / np.sqrt(2)
+    return float(np.quantile(both, 1 - min(1.0, passed / words**2)))
 
 
 def list_decode(
@@ -92,9 +109,11 @@ def list_decode(
     return both[0], both[1]
 
 
-def _decoded(vectors: DataFrame, dim: int, words: int, passed: float) -> DataFrame:
+def _decoded(vectors: DataFrame, dim: int, words: int) -> DataFrame:
     a, b = code_words(dim, words)
-    cap, turn = cap_height(dim, words, passed), rotation(dim)
+    best = best_for(words)
+    cap, turn = cap_height(dim, words, best / 2), rotation(dim)
+    kind = vectors.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,12 +122,12 @@ def _decoded(vectors: DataFrame, dim: int, words: int, passed: float) -> DataFra
                 x = matrix(part.column(2))
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                row, found = list_decode(x @ turn, a, b, cap)
+                row, found = list_decode(x @ turn, a, b, cap, best)
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 filters = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, filters], names=["id", "label", "v", "filters"])
 
-    return vectors.mapInArrow(run, "id bigint, label bigint, v array<double>, filters array<int>")
+    return vectors.mapInArrow(run, f"id bigint, label bigint, v {kind}, filters array<int>")
 
 
 def _block_links(
@@ -167,9 +186,15 @@ def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 _OUT = "id bigint, other bigint, n bigint"
 
 
+def _exact(vectors: DataFrame, vector: str) -> Column:
+    """Vectors of floats stay floats until they are compared, which halves what is shuffled."""
+    kind = vectors.schema[vector].dataType.simpleString()
+    return F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
+
+
 def near_vectors(
     vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str | None = "label",
-    least: float = 0.93, words: int = WORDS, passed: float = PASSED, block: int = BLOCK,
+    least: float = 0.93, words: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """Per row ``id, n_links, component_id, kept`` under links of cosine ``least`` and more.
 
@@ -177,18 +202,20 @@ def near_vectors(
     finite throughout, links with nothing. component_id is the least id that links reach, the row
     itself included; kept says that it is the row's own. Rows that repeat an id are one vector's
     copies: they are not compared with each other, and each is returned. Ids that are null come
-    back unlinked. An empty table gives none; vectors of different length are an error.
+    back unlinked. An empty table gives none; vectors of different length are an error. The number
+    of ``words`` follows the largest label unless it is given.
     """
     good = vectors.where(F.col(id).isNotNull() & usable(vector))
     labels = F.col(label).cast("bigint") if label else F.lit(0).cast("bigint")
-    good = good.select(F.col(id).cast("bigint").alias("id"), labels.alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    good = good.select(F.col(id).cast("bigint").alias("id"), labels.alias("label"), _exact(vectors, vector).alias("v"))
     good = good.where("label IS NOT NULL")
     dim = only_length(good, "v")
     every = vectors.select(F.col(id).alias(id))
     if not dim:
         links, edges = None, None
     else:
-        decoded = written(_decoded(good, dim, words, passed), "filters")
+        largest = good.groupBy("label").count().agg(F.max("count")).first()[0]
+        decoded = written(_decoded(good, dim, words or words_for(largest)), "filters")
         found = written(_compared(decoded, least, block), "links")
         links = found.where("other IS NULL").groupBy("id").agg(F.sum("n").alias("n_links"))
         edges = found.where("other IS NOT NULL")
@@ -227,7 +254,7 @@ def _compared(decoded: DataFrame, least: float, block: int) -> DataFrame:
             if sum(len(s) for s in sides) < 2 or min(len(s) for s in sides) < 1:
                 continue
             ids = [s["id"].to_numpy() for s in sides]
-            xs = [np.stack(s["v"].to_numpy()) for s in sides]
+            xs = [np.stack(s["v"].to_numpy()).astype(np.float64) for s in sides]
             xs = [x / np.abs(x).max(axis=1, keepdims=True) for x in xs]
             xs = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in xs]
             counts, edges = _block_links(cell, ids, xs, [list(s["filters"]) for s in sides], least)

@@ -607,6 +607,23 @@ def test_near_vectors_awkward(spark):
     assert cap_filters.near_vectors(vectors_of(spark, [])).count() == 0
 
 
+def test_filters_grow_with_a_label_and_keep_their_recall():
+    assert [cap_filters.words_for(n) for n in (0, 10_000, 40_000, 1_000_000)] == [100, 100, 100, 500]
+    assert cap_filters.words_for(10**7) ** 2 >= 10**7 * cap_filters.BEST / cap_filters.IN_CELL
+    rng = np.random.default_rng(8)
+    x, z = rng.normal(size=(2, 600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for words in (100, 400, 1000):
+        best = cap_filters.best_for(words)
+        a, b = cap_filters.code_words(64, words)
+        cap = cap_filters.cap_height(64, words, best / 2)
+        found = [set(zip(*(c.tolist() for c in cap_filters.list_decode(v, a, b, cap, best)))) for v in (x, y)]
+        assert len({row for row, _ in found[0] & found[1]}) >= 0.99 * len(x)
+        assert len(found[0]) <= 2 * best * len(x)
+
+
 def test_list_decoding_finds_all_filters():
     a, b = cap_filters.code_words(16, 20)
     x = np.random.default_rng(1).normal(size=(50, 16))
