@@ -98,6 +98,42 @@ def embed(text: Column, embedder: Embedder) -> Column:
     return apply(text)
 
 
+def embed_once(rows: DataFrame, key: list[str], embedder: Embedder, text: str = "chunk_content") -> DataFrame:
+    """``rows`` with every ``embedding`` that is null made from ``text``, once for each run of ``key``.
+
+    Give rows whose runs are whole: partitioned by ``key`` and sorted by it within partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, None  # the key of the last row and its vector
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = pa.StructArray.from_arrays([batch.column(k) for k in key], names=key)
+            same = np.ones(batch.num_rows - 1, dtype=bool)
+            for k in key:
+                column = batch.column(k)
+                same &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, ~same])
+            given = batch.column("embedding").take(pa.array(starts)).cast(pa.list_(pa.float32()))
+            wanted = given.is_null().to_numpy(zero_copy_only=False)
+            vectors = given.cast(pa.list_(pa.float32()))
+            if keys[0] == last and wanted[0]:
+                wanted[0] = False
+                vectors = pa.concat_arrays([kept, vectors[1:]])
+            if wanted.any():
+                made = embedder.encode(batch.column(text).take(pa.array(starts[wanted])))
+                full = vectors_to_arrow(made, wanted)
+                vectors = pc.if_else(pa.array(wanted), full, vectors)
+            last, kept = keys[-1], vectors[-1:]
+            runs = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, batch.num_rows]))
+            at = batch.schema.get_field_index("embedding")
+            columns = [*batch.columns[:at], vectors.take(pa.array(runs)), *batch.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def embed_chunks(chunks: DataFrame, embedder: Embedder, date_generated: str) -> DataFrame:
     """Adds ``embedding``, ``embedding_model`` and ``date_generated`` (``yyyy-MM-dd``)."""
     return chunks.withColumns(

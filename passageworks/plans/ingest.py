@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from passageworks.functions.text import is_blank, local_root, repo_of, sha256_hex
 from passageworks.operators import strategies as st
 from passageworks.operators.chunking import chunk_documents
-from passageworks.operators.embedding import Embedder, embed
+from passageworks.operators.embedding import VECTOR, Embedder, embed, embed_once
 from passageworks.operators.lineage import all_touches, touched_paths, with_versions
+from passageworks.schema import CHUNK_KEY
 from passageworks.session import shared_folder
 from passageworks.sources import key_store as ks
 from passageworks.sources import table_log
@@ -21,6 +23,9 @@ from passageworks.sources.files import read_documents
 from passageworks.sources.folders import remove
 
 
+HOT_TEXT = 10_000  # rows of one text in a load from which on they are not gathered in one task
+
+
 @dataclass(frozen=True)
 class Repo:
     """A folder of documents below the corpus root."""
@@ -93,8 +98,9 @@ def ingest(
     The load is committed as a whole, and the number returned names the snapshot after it: searches
     over ``read_snapshot`` see each document's newest version with the access flag it has now. What
     a load reads of the stored keys and vectors are the buckets its own documents and texts fall
-    into. Its new chunks are written once, without vectors; each distinct text without a stored
-    vector goes to the model once, and a load that is stopped finds the vectors made so far.
+    into. Texts are shuffled once and written once, to the table; each distinct text without a stored
+    vector goes to the model once. The vectors of a load that was stopped after its rows were written
+    are kept for the next one.
 
     ``documents`` has ``document_id, document_name, document_version, repo_name, internal_only``
     and ``document_text``. A new table gets ``buckets`` buckets of keys and of vectors.
@@ -106,19 +112,30 @@ def ingest(
         if not ks.has_keys(spark, table_path):
             ks.index_table(table, table_path, 0, buckets)
     loads = table_log.find_loads(spark, table_path) or table_log.Loads(0)
+    for stopped in table_log.without_vectors(spark, table_path):
+        rows = vt.rows_of_load(spark, table_path, stopped)
+        if not rows.isEmpty():
+            ks.add_vectors(rows, table_path, buckets)
+            table_log.keep_vectors(spark, table_path, stopped)
     load = table_log.begin(spark, table_path)
     scratch = shared_folder(spark, f"load-{load}")
 
     listed = _kept(documents.select(*table_log.STATE).distinct(), f"{scratch}/documents")
     chunks = chunk_documents(documents, list(strategies), sizes, embedder)
     keyed = chunks.withColumn("embedding_model", F.lit(embedder.name)).filter(~is_blank(F.col("chunk_content")))
+    rows = keyed.select(*(c for c in vt.VECTOR_TABLE.fieldNames() if c not in ("embedding", "date_generated")))
+    texts = _kept(rows.groupBy(*ks.TEXT_KEY).count(), f"{scratch}/texts")
+    lacking = ks.without_vectors(spark, table_path, texts, buckets)
+    missing = texts if lacking is None else _kept(lacking, f"{scratch}/missing")
     keys = ks.stored_keys(spark, table_path, listed, loads, buckets)
-    new = _kept(vt.only_new(keyed, keys), f"{scratch}/chunks")
-    if not new.isEmpty():
-        embedded = _with_vectors(new, table_path, embedder, buckets, f"{scratch}/texts")
+    with _joined_by_texts(spark):
+        embedded = _with_vectors(rows, keys, texts, missing, table_path, embedder, buckets, f"{scratch}/often")
         dated = embedded.withColumn("date_generated", F.to_date(F.lit(date_generated)))
         vt.write_vector_table(dated, table_path, rows_per_file, compact=compact, load=load)
-        ks.add_keys(new, table_path, load, buckets)
+    new = vt.rows_of_load(spark, table_path, load)
+    ks.add_vectors(new if lacking is None else ks.of_texts(new, missing), table_path, buckets)
+    table_log.keep_vectors(spark, table_path, load)
+    ks.add_keys(new, table_path, load, buckets)
     table_log.record(spark, table_path, load, listed)
     table_log.commit(spark, table_path, load)
     remove(spark, scratch)
@@ -126,16 +143,54 @@ def ingest(
 
 
 def _kept(rows: DataFrame, path: str) -> DataFrame:
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _with_vectors(new: DataFrame, path: str, embedder: Embedder, buckets: int, scratch: str) -> DataFrame:
-    """``new`` with its vectors, after the vectors of texts that had none were stored."""
-    spark, key = new.sparkSession, list(ks.TEXT_KEY)
-    texts = _kept(new.groupBy(*key).agg(F.any_value("chunk_content").alias("chunk_content")), scratch)
-    missing = texts.join(ks.stored_vectors(spark, path, texts, buckets).select(*key), key, "left_anti")
-    made = missing.withColumn("embedding", embed(F.col("chunk_content"), embedder))
-    ks.add_vectors(made, path, buckets)
-    # A text of a third of all chunks meets one vector; the adaptive join splits its chunks.
-    return new.join(ks.stored_vectors(spark, path, texts, buckets), key)
+@contextmanager
+def _joined_by_texts(spark: SparkSession) -> Iterator[None]:
+    """Rows that lie together by their texts are joined there by keys that hold more than the text."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _with_vectors(
+    rows: DataFrame, keys: DataFrame | None, texts: DataFrame, missing: DataFrame, path: str, embedder: Embedder,
+    buckets: int, scratch: str,
+) -> DataFrame:
+    """The rows that ``keys`` lacks, with vectors; their texts are shuffled once, by text.
+
+    The rows of a text meet in one task, which takes its stored vector or sends it to the model.
+    Texts of more than HOT_TEXT rows get their vectors first, so their rows need not meet.
+    """
+    spark, key = rows.sparkSession, list(ks.TEXT_KEY)
+    often = texts.where(F.col("count") > HOT_TEXT).select(*key)
+    if often.isEmpty():
+        return _by_text(rows, keys, texts, path, embedder, buckets)
+    hot = rows.join(F.broadcast(often), key, "left_semi")
+    once = ks.of_texts(hot, missing.join(F.broadcast(often), key, "left_semi")).groupBy(*key).agg(F.any_value("chunk_content").alias("chunk_content"))
+    made = _kept(once.withColumn("embedding", embed(F.col("chunk_content"), embedder)).drop("chunk_content"), scratch)
+    known = ks.stored_vectors(spark, path, often, buckets)
+    vectors = made if known is None else made.unionByName(known)
+    found = (hot if keys is None else vt.only_new(hot, keys)).join(F.broadcast(vectors), key)
+    rest = _by_text(rows.join(F.broadcast(often), key, "left_anti"), keys, texts, path, embedder, buckets)
+    return rest.unionByName(found.select(*rest.columns))
+
+
+def _by_text(
+    rows: DataFrame, keys: DataFrame | None, texts: DataFrame, path: str, embedder: Embedder, buckets: int
+) -> DataFrame:
+    key = list(ks.TEXT_KEY)
+    new = rows.repartition("chunk_id")
+    if keys is not None:  # an anti join would be moved before the shuffle by text, and need one of its own
+        stored = keys.repartition("chunk_id").distinct().withColumn("_stored", F.lit(True))
+        new = new.join(stored, list(CHUNK_KEY), "left").where("_stored IS NULL").select(*rows.columns)
+    vectors = ks.stored_vectors(rows.sparkSession, path, texts, buckets)
+    nothing = F.lit(None).cast(VECTOR).alias("embedding")
+    found = new.select("*", nothing) if vectors is None else new.join(vectors, key, "left").select(*new.columns, "embedding")
+    return embed_once(found.sortWithinPartitions(*key), key, embedder)

@@ -41,9 +41,13 @@ def buckets_in(rows: DataFrame, bucket: Column) -> list[int]:
     return sorted(r[0] for r in rows.select(bucket.alias("b")).distinct().collect())
 
 
-def append_bucketed(rows: DataFrame, path: str, *folders: str) -> None:
-    """Append rows by ``bucket`` and further ``folders``: a few files for each, whatever the tasks."""
-    rows.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket", *folders).parquet(path)
+def append_bucketed(rows: DataFrame, path: str, *folders: str, gather: bool = True) -> None:
+    """Append rows by ``bucket`` and further ``folders``: a few files for each, whatever the tasks.
+
+    Rows that were shuffled just before lie in few tasks already; these need not ``gather`` again.
+    """
+    rows = rows.hint("rebalance", "bucket") if gather else rows
+    rows.write.mode("append").option("compression", "zstd").partitionBy("bucket", *folders).parquet(path)
 
 
 def read_bucketed(spark: SparkSession, path: str, schema: T.StructType, buckets: Sequence[int]) -> DataFrame:

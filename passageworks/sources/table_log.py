@@ -87,6 +87,17 @@ def commit(spark: SparkSession, path: str, load: int) -> None:
     folders.put_mark(spark, f"{path}/{LOG}/committed/{load}")
 
 
+def keep_vectors(spark: SparkSession, path: str, load: int) -> None:
+    """Mark that the vectors of a load's rows are stored by text."""
+    folders.put_mark(spark, f"{path}/{LOG}/vectors/{load}")
+
+
+def without_vectors(spark: SparkSession, path: str) -> list[int]:
+    """Loads that were begun and neither committed nor marked by ``keep_vectors``."""
+    begun, *done = (set(folders.names_in(spark, f"{path}/{LOG}/{name}")) for name in ("begun", "committed", "vectors"))
+    return sorted(map(int, begun.difference(*done)))
+
+
 def invalid_states(spark: SparkSession, path: str, loads: Loads, snapshot: int | None = None) -> DataFrame:
     """``document_id, document_version, internal_only`` stored earlier and not valid in the snapshot.
 

@@ -18,6 +18,7 @@ from passageworks.sources import table_log
 # the loads, which decide what a reader sees.
 LAYOUT = ("chunking_strategy", "embedding_model")
 _STORED = T.StructType([*VECTOR_TABLE, T.StructField("load", T.IntegerType())])
+MOST_MARKS = 1 << 22  # hashes of states up to which they are sent to the tasks (32 MB)
 FORMATS = ("parquet", "json")
 
 
@@ -45,6 +46,7 @@ def write_vector_table(
         .sortWithinPartitions(*LAYOUT, "date_generated", "document_id")
         .write.mode(mode)
         .option("maxRecordsPerFile", rows_per_file)
+        .option("compression", "zstd")
         .partitionBy(*LAYOUT, "load")
         .parquet(path)
     )
@@ -59,6 +61,12 @@ def read_vector_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*VECTOR_TABLE.fieldNames())
 
 
+def rows_of_load(spark: SparkSession, path: str, load: int) -> DataFrame:
+    """What one load wrote, committed or not."""
+    rows = spark.read.schema(_STORED).parquet(path)
+    return rows.where(F.col("load") == load).select(*VECTOR_TABLE.fieldNames())
+
+
 def read_snapshot(spark: SparkSession, path: str, snapshot: int | None = None) -> DataFrame:
     """The rows that were valid after a load, the last one by default: what a search should see.
 
@@ -71,7 +79,7 @@ def read_snapshot(spark: SparkSession, path: str, snapshot: int | None = None) -
     if loads is None:
         return rows.select(*VECTOR_TABLE.fieldNames())
     outdated = table_log.invalid_states(spark, path, loads, snapshot)
-    valid = rows.where(loads.seen(snapshot)).join(outdated, table_log.STATE, "left_anti")
+    valid = _by_states(rows.where(loads.seen(snapshot)), outdated, "left_anti")
     return valid.select(*VECTOR_TABLE.fieldNames())
 
 
@@ -110,8 +118,23 @@ def current_versions(table: DataFrame, versions: DataFrame) -> DataFrame:
     Rows of older versions, of documents that are not listed, and rows stored with another flag
     than the current one are left out, so a text that became internal is no longer found.
     """
-    keys = ["document_id", "document_version", "internal_only"]
-    return table.join(versions.select(*keys), keys, "left_semi").select(*table.columns)
+    return _by_states(table, versions.select(*table_log.STATE), "left_semi").select(*table.columns)
+
+
+def _by_states(rows: DataFrame, states: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join by document, version and flag that leaves rows where they are.
+
+    Only hashes of the states are sent to the tasks. If a state of ``rows`` has the hash of one of
+    ``states`` without being among them, or if these are too many, the states themselves are joined.
+    """
+    key = table_log.STATE
+    marks = states.select(F.xxhash64(*key).alias("_mark"))
+    if states.count() <= MOST_MARKS:
+        marked = F.xxhash64(*key) == F.col("_mark")
+        sent = F.broadcast(marks.distinct())
+        if rows.select(*key).distinct().join(sent, marked, "left_semi").join(states, key, "left_anti").isEmpty():
+            return rows.join(sent, marked, how)
+    return rows.join(states, key, how)
 
 
 def _known(file_format: str) -> str:
