@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from passageworks.session import small_batches  # noqa: F401
+
 Sent = TypeVar("Sent")
 
 
@@ -49,20 +51,6 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of this session hold at most BATCH_BYTES.
-
-    A batch of documents lies in the executor's JVM, in the pipe and in the worker at once, so with
-    batches of 64 MB, the default, the tasks of an executor hold several hundred MB more.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, "67108864b").rstrip("b") or 0) > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own: computed once, its lineage cut, its columns prunable.
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,11 +15,14 @@ from pyspark.sql import types as T
 from passageworks.functions.text import let, sha256_hex, strip
 from passageworks.operators import strategies as st
 from passageworks.operators.embedding import Embedder, HashedWords, in_slices, list_rows
+from passageworks.session import small_batches
 
 SENTENCE_END = r"(?<=[.!?])\s+"
 SEPARATORS = ("\n\n", "\n", " ", "")  # fixed values, tried in this order
 BREAK_PERCENTILE = 0.95
 DISTANCE_DIGITS = 6
+BYTES_AT_ONCE = 1 << 20  # of text split at once within a batch
+SENTENCES_AT_ONCE = 4096  # compared at once within a batch
 
 
 def paragraphs(text: Column) -> Column:
@@ -139,20 +143,35 @@ def split_recursively(
     return [chunk for chunk in found if chunk]
 
 
+def _text_slices(texts: pa.Array, most: int = BYTES_AT_ONCE) -> Iterator[pa.Array]:
+    """Consecutive parts of a batch of about ``most`` bytes each, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(int(np.searchsorted(ends, before + most, side="right")), start + 1)
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def _arrays(parts: Iterable[list[list[str] | None]]) -> pa.Array:
+    """The chunks of consecutive parts of a batch; Python strings are held of one part at a time."""
+    kind = pa.list_(pa.string())
+    made = [pa.array(part, kind) for part in parts]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def recursive_characters(text: Column, size: int, overlap: int) -> Column:
     """The greedy merge carries state along a text, so each text runs in an Arrow batch."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the chunk size")
 
+    def chunks(part: pa.Array) -> list[list[str] | None]:
+        return [None if t is None else split_recursively(t, size, overlap) for t in part.to_pylist()]
+
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [
-                None if t is None else split_recursively(t, size, overlap)
-                for t in texts.to_pylist()
-            ],
-            pa.list_(pa.string()),
-        )
+        return _arrays(map(chunks, _text_slices(texts)))
 
     return split(text)
 
@@ -202,8 +221,7 @@ def semantic(text: Column, embedder: Embedder) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def segments(batch: pa.Array) -> pa.Array:
-        made = [c for rows in in_slices(batch) for c in _segments(rows, embedder)]
-        return pa.array(made, pa.list_(pa.string()))
+        return _arrays(_segments(rows, embedder) for rows in in_slices(batch, SENTENCES_AT_ONCE))
 
     # A null text has no chunks, whatever else is in its batch.
     return F.when(text.isNotNull(), segments(sentences(text)))
@@ -256,6 +274,8 @@ def chunk_documents(
     ``chunk_no`` (from 0), ``chunk_content`` and ``chunk_id``.
     """
     names = [strategies] if isinstance(strategies, str) else list(strategies)
+    if {st.RECURSIVE_CHARACTER_TEXT_SPLITTING, st.SEMANTIC_CHUNKING} & set(names):
+        small_batches(documents.sparkSession)
     kept = [c for c in documents.columns if c != text]
     per_strategy = [
         F.struct(
