@@ -13,7 +13,6 @@ from tests.test_loads import load
 from tests.test_rows import MODEL, some_documents
 
 
-
 def test_texts_are_shuffled_once_by_a_load(spark, monkeypatch):
     path = shared_folder(spark, "t")
     load(spark, path, some_documents(spark, 30))
