@@ -15,7 +15,10 @@ it holds, and hands on one sum per document. Sums are added per document.
 ``document_scores`` also leaves a document's own counts out of the counts it is scored with, so it
 backs off where no other document has an n-gram. Which length a word takes is known only when the
 counts of all its n-grams are: blocks of documents are written, buckets return the counts of the
-n-grams that a block sent, and a block's task scores its documents.
+n-grams that a block sent, and a block's task scores its documents. Most n-grams lie in one block
+alone, which needs no count from elsewhere. So blocks first send short fingerprints of their word
+pairs, and then, as whole hashes, only the n-grams all of whose pairs another block may have too.
+The table of blocks is bucketed by block, so the texts stay where they are when answers come back.
 
 N-grams that a bounded sample of documents shows to be very common are counted beforehand and sent
 to the tasks, so none of them gathers in one bucket. The number of buckets follows the number of
@@ -25,7 +28,7 @@ n-grams, so a bucket's size does not grow with the corpus.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,18 +78,27 @@ def _ngrams(part: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.nd
 
 def _occurrences(part: pa.Array, order: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Per text: its row, and the hashes of its n-grams of each length, in the order of the text."""
+    row, levels = _levels(part, order)
+    ends = np.searchsorted(row, np.arange(len(part) + 1))
+    for r in range(len(part)):
+        lo, hi = int(ends[r]), int(ends[r + 1])
+        yield r, [level[lo : max(lo, hi - n)] for n, level in enumerate(levels)]
+
+
+def _levels(part: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each word, and the hashes of the n-grams of each length that begin at a word.
+
+    N-grams that reach into the next text are among them.
+    """
     data, offsets = flat.text_bytes(part)
     row, _, _, word = flat.words(data, offsets)
-    ends = np.searchsorted(row, np.arange(len(part) + 1))
     levels = []
     for n in range(1, order + 1):
         total = np.zeros(max(0, len(word) - n + 1), dtype=np.uint64)
         for k in range(n):
             total = flat.mix(total + word[k : k + len(total)] + np.uint64(n))
         levels.append(total)
-    for r in range(len(part)):
-        lo, hi = int(ends[r]), int(ends[r + 1])
-        yield r, [level[lo : max(lo, hi - n)] for n, level in enumerate(levels)]
+    return row, levels
 
 
 def _common(docs: DataFrame, order: int, text: str) -> np.ndarray:
@@ -110,17 +122,19 @@ def _common(docs: DataFrame, order: int, text: str) -> np.ndarray:
 
 
 def _counted(docs: DataFrame, common: np.ndarray, order: int, text: str) -> tuple[np.ndarray, int, int]:
-    """Over all documents: the count of each common n-gram, of all words, and of all other n-grams."""
+    """Over all documents: the count of each common n-gram, of all words, and of all other n-grams,
+    repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(common) + 2, dtype=np.int64)
         for batch in batches:
             for _, part in flat.pieces(batch.column(0)):
-                for _, values, _, counts, size in _ngrams(part, order):
-                    total[-2] += size
-                    hit, place = _find(common, values)
-                    total[place[hit]] += counts[hit]
-                    total[-1] += len(values) - hit.sum()
+                row, levels = _levels(part, order)
+                total[-2] += len(row)
+                for n, level in enumerate(levels, 1):
+                    hit, place = _find(common, level[row[: len(level)] == row[n - 1 :]])
+                    total[:-2] += np.bincount(place[hit], minlength=len(common))
+                    total[-1] += len(hit) - hit.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
 
     sums = docs.select(text).mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n"))
@@ -267,12 +281,14 @@ def _per_document(sums: DataFrame) -> DataFrame:
 
 
 _BLOCKS = "block bigint, ids array<bigint>, again array<boolean>, texts array<string>"
-_SENT = f"{_BLOCKS}, bucket bigint, h array<bigint>, n array<bigint>"
-IN_BLOCK = 1 << 21  # bytes of text of a block
+_SENT = "block bigint, bucket bigint, ids binary, h binary, n binary"
+_SCORES = "doc_id bigint, words bigint, total double, left_out double, alone bigint"
+IN_BLOCK = 1 << 22  # bytes of text of a block
+IN_HOME = 1 << 23  # n-grams of a partition of the table of blocks, on average
 
 
-def _blocks(docs: DataFrame, text: str) -> DataFrame:
-    """Documents in blocks; ``again`` marks those whose id other rows have too."""
+def _blocks(docs: DataFrame, homes: int, text: str) -> DataFrame:
+    """Documents in blocks, bucketed by block; ``again`` marks those whose id other rows have too."""
     repeated = written(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if (n := repeated.count()) == 0:
         marked = docs.select("doc_id", text, F.lit(False).alias("again"))
@@ -294,51 +310,185 @@ def _blocks(docs: DataFrame, text: str) -> DataFrame:
                     [name, *(pa.ListArray.from_arrays(whole, x) for x in lists)], names=["block", "ids", "again", "texts"]
                 )
 
-    return written(marked.mapInArrow(run, _BLOCKS), "blocks")
+    return written(marked.mapInArrow(run, _BLOCKS), "blocks", bucketed=(homes, "block"))
 
 
 class _Block:
     """The distinct n-grams of the documents of a block, and where each of them is counted."""
 
     def __init__(self, ids: pa.Array, again: pa.Array, texts: pa.Array, common: np.ndarray, order: int, buckets: int):
-        self.ids, self.levels, self.places, found = ids.to_numpy(), [], [], []
-        for _, levels in _occurrences(texts.cast(pa.large_string()), order):
-            values, place, n = np.unique(np.concatenate(levels), return_inverse=True, return_counts=True)
-            self.levels.append([len(level) for level in levels]), self.places.append(place), found.append((values, n))
-        self.sizes = np.array([len(v) for v, _ in found])
-        self.values = np.concatenate([v for v, _ in found])
-        self.counts = np.concatenate([n for _, n in found])
-        self.owner = np.repeat(np.arange(len(found)), self.sizes)
-        self.hit, self.common = _find(common, self.values)
+        self.ids = ids.to_numpy()
+        self.row, levels = _levels(texts.cast(pa.large_string()), order)
+        ends = np.searchsorted(self.row, np.arange(len(self.ids)), side="right")
+        self.left = ends[self.row] - np.arange(len(self.row))  # words of the text from each word on
+        levels = [level[self.left[: len(level)] >= n] for n, level in enumerate(levels, 1)]
+        row = np.concatenate([self.row[self.left >= n] for n in range(1, order + 1)])
+        hashes = np.concatenate(levels)
+        # Rows ascend within a length, so n-grams in the order of hashes are in the order of rows.
+        by = np.argsort(hashes, kind="stable")
+        hashes, row = hashes[by], row[by]
+        first = _changes(hashes)
+        head = first | _changes(row)
+        self.values, self.owner, self.counts = hashes[head], row[head], np.diff(np.r_[np.flatnonzero(head), len(head)])
+        place = (np.cumsum(first) - 1)[head]
+        at = np.empty(len(by), dtype=np.int32)
+        at[by] = np.cumsum(head) - 1
+        self.at = np.split(at, np.cumsum([len(level) for level in levels])[:-1])
+        distinct = hashes[first]
+        hit, known = _find(common, distinct)
+        self.hit, self.common = hit[place], known[place]
         # A bucket counts the n-grams of a block, each sent once; common ones are counted already.
-        self.distinct, self.place = np.unique(self.values[~self.hit], return_inverse=True)
+        self.distinct, self.place = distinct[~hit], (np.cumsum(~hit) - 1)[place[~self.hit]]
         self.n = np.bincount(self.place, self.counts[~self.hit], len(self.distinct)).astype(np.int64)
-        home = ((self.distinct >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        self.by = np.argsort(home, kind="stable")
-        self.home = home[self.by]
         # What other rows of a document's id hold of them is counted in buckets of ids.
         self.again = np.flatnonzero(again.to_numpy(zero_copy_only=False).astype(bool)[self.owner])
-        home = flat.mix(self.ids.astype(np.int64).view(np.uint64))[self.owner[self.again]] % np.uint64(buckets)
-        home = home.astype(np.int64) + buckets
+        home = buckets + _home(flat.mix(self.ids.astype(np.int64).view(np.uint64)), buckets)[self.owner[self.again]]
         by = np.argsort(home, kind="stable")
         self.again, self.again_home = self.again[by], home[by]
 
+    def prints(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of its pairs of words, the fingerprint of each, and which of them are new."""
+        pair = np.zeros(len(self.values), dtype=bool)
+        if len(self.at) > 1:
+            pair[self.at[1]] = True
+        pairs = np.zeros(len(self.distinct), dtype=bool)
+        pairs[self.place[pair[~self.hit]]] = True
+        prints = _prints(self.distinct[pairs], width)
+        return np.flatnonzero(pairs), prints, _changes(prints)
+
+    def asked(self, pairs: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+        """The places of the n-grams that other blocks may have: those without a pair of words
+        that no other block has. ``elsewhere`` says it of ``pairs``."""
+        shared = np.zeros(len(self.distinct), dtype=bool)
+        shared[pairs[elsewhere]] = True
+        may = self.hit.copy()
+        may[~self.hit] = shared[self.place]
+        wanted = np.zeros(len(self.values), dtype=bool)
+        wanted[self.at[0]] = True
+        here = np.ones(len(self.row), dtype=bool)
+        for n, at in enumerate(self.at[1:], 2):
+            if n == 2:
+                pair = np.zeros(len(self.row), dtype=bool)
+                pair[self.left >= 2] = may[at]
+            here[: len(here) - n + 2] &= pair[n - 2 :]
+            wanted[at[here[self.left >= n]]] = True
+        found = np.zeros(len(self.distinct), dtype=bool)
+        found[self.place[wanted[~self.hit]]] = True
+        return np.flatnonzero(found)
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Which values differ from the one before; the first does."""
+    out = np.ones(len(values), dtype=bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
+
+
+def _pairs(texts: pa.Array, common: np.ndarray, order: int, width: int) -> np.ndarray:
+    """The distinct fingerprints, ascending, of the pairs of words of some texts but common ones."""
+    if order == 1:
+        return np.zeros(0, np.uint64)
+    row, (_, pair) = _levels(texts.cast(pa.large_string()), 2)
+    pair = np.sort(pair[row[:-1] == row[1:]])
+    pair = pair[_changes(pair)]
+    prints = _prints(pair[~_find(common, pair)[0]], width)
+    return prints[_changes(prints)]
+
+
+def _prints(hashes: np.ndarray, width: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - width)
+
+
+def _home(values: np.ndarray, buckets: int, width: int = 64) -> np.ndarray:
+    """The bucket of numbers of ``width`` bits: each has one range of them, so order is kept."""
+    top = min(width, 32)
+    return ((values >> np.uint64(width - top)) * np.uint64(buckets) >> np.uint64(top)).astype(np.int64)
+
 
 def _runs(keys: np.ndarray) -> list[np.ndarray]:
     """The places of each run of equal keys."""
     return np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1) if len(keys) else []
 
 
-def _sent_row(block: int, **given: object) -> dict:
-    return {"block": block, **dict.fromkeys(("ids", "again", "texts", "h", "n")), **given}
+def _packed_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers by byte, the lowest bytes of all of them first: bytes that are mostly zero
+    cost next to nothing."""
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    planes = pa.decompress(data[4:], 8 * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, size).T).view("<i8").ravel()
+
+
+def _packed_steps(values: np.ndarray) -> bytes:
+    """Whole numbers as differences, which are small if the numbers ascend; they wrap around."""
+    return _packed_numbers(np.diff(values.view(np.int64), prepend=np.int64(0)))
+
+
+def _steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data))
 
 
 def _sent_batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"ids": pa.int64(), "again": pa.bool_(), "texts": pa.string(), "h": pa.int64(), "n": pa.int64()}
-    names = ["block", "ids", "again", "texts", "bucket", "h", "n"]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[x] for r in rows], pa.list_(kinds[x]) if x in kinds else pa.int64()) for x in names], names=names
-    )
+    kinds = {"block": pa.int64(), "bucket": pa.int64(), "ids": pa.binary(), "h": pa.binary(), "n": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(x) for r in rows], kinds[x]) for x in kinds], names=list(kinds))
+
+
+def _by_bucket(answer: Callable[[int, pa.Table], list[dict]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The answers to the rows of each bucket, of which a task gets one after the other."""
+
+    def answers(key: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = answer(key, pa.Table.from_batches(held))
+        for lo in range(0, len(rows), 1000):
+            yield _sent_batch(rows[lo : lo + 1000])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            keys = batch.column(1).to_numpy()
+            for at in _runs(keys):
+                if here is not None and keys[at[0]] != here:
+                    yield from answers(here, held)
+                    held = []
+                here = int(keys[at[0]])
+                held.append(batch.slice(int(at[0]), len(at)))
+        if held:
+            yield from answers(here, held)
+
+    return run
+
+
+def _elsewhere(key: int, rows: pa.Table) -> list[dict]:
+    """Which fingerprints of each row of a bucket other blocks have too, as bits."""
+    lists = [_steps(x.as_py()) for x in rows.column("h")]
+    _, place, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    each = np.split(n[place] > 1, np.cumsum([len(x) for x in lists])[:-1])
+    # Buckets of fingerprints count from -1 downwards, so that they are told from those of hashes.
+    return [
+        {"block": block, "bucket": -1 - key, "n": np.packbits(bits).tobytes()}
+        for block, bits in zip(rows.column("block").to_pylist(), each, strict=True)
+    ]
+
+
+def _counts_elsewhere(key: int, rows: pa.Table) -> list[dict]:
+    """How often the n-grams of each row of a bucket lie elsewhere: in other blocks or, with ids,
+    in other rows of the same document."""
+    lists = [_steps(x.as_py()) for x in rows.column("h")]
+    n = np.concatenate([_numbers(x.as_py()) for x in rows.column("n")])
+    values, place = np.unique(np.concatenate(lists), return_inverse=True)
+    if rows.column("ids")[0].is_valid:
+        ids = np.concatenate([_steps(x.as_py()) for x in rows.column("ids")])
+        _, doc = np.unique(ids, return_inverse=True)
+        _, place = np.unique(doc.astype(np.int64) * len(values) + place, return_inverse=True)
+    more = np.bincount(place, n).astype(np.int64)[place] - n
+    each = np.split(more, np.cumsum([len(x) for x in lists])[:-1])
+    return [
+        {"block": block, "bucket": key, "n": _packed_numbers(m)}
+        for block, m in zip(rows.column("block").to_pylist(), each, strict=True)
+    ]
 
 
 def document_scores(
@@ -357,64 +507,65 @@ def document_scores(
     common = _common(docs, order, text)
     counts, all_words, rest = _counted(docs, common, order, text)
     buckets = max(1, -(-rest // IN_BUCKET))
-    blocks = _blocks(docs, text)
+    width = rest.bit_length() + 2  # bits of a fingerprint: fewer than one in four is another's by chance
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    blocks = _blocks(docs, max(1, -(-rest // IN_HOME), min(cores, -(-rest // IN_BUCKET))), text)
     shared = docs.sparkSession.sparkContext.broadcast((common, counts))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, _ = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                name = batch.column(0)[i].as_py()
-                lists = [batch.column(c)[i].values for c in (1, 2, 3)]
-                block, rows = _Block(*lists, common, order, buckets), []
-                for at in _runs(block.home):
-                    entry = block.by[at]
-                    rows.append(_sent_row(name, bucket=int(block.home[at[0]]), h=block.distinct[entry].view(np.int64), n=block.n[entry]))
-                for at in _runs(block.again_home):
-                    entry = block.again[at]
-                    rows.append(_sent_row(
-                        name, bucket=int(block.again_home[at[0]]), ids=block.ids[block.owner[entry]],
-                        h=block.values[entry].view(np.int64), n=block.counts[entry],
-                    ))
+                prints = _pairs(batch.column(3)[i].values, common, order, width)
+                home, name = _home(prints, buckets, width), batch.column(0)[i].as_py()
+                rows = [{"block": name, "bucket": int(home[at[0]]), "h": _packed_steps(prints[at])} for at in _runs(home)]
                 for lo in range(0, len(rows), 1000):
                     yield _sent_batch(rows[lo : lo + 1000])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, []
-        for batch in batches:
-            keys = batch.column(4).to_numpy()
-            for at in _runs(keys):
-                if here is not None and keys[at[0]] != here:
-                    yield from _returned(held, here >= buckets)
-                    held = []
-                here = keys[at[0]]
-                held.append(batch.slice(int(at[0]), len(at)))
-        if held:
-            yield from _returned(held, here >= buckets)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, known = shared.value
-        block, name, more, own = None, None, [], []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(4)[i].as_py() == -1:
-                    if block is not None:
-                        yield _block_scores(block, more, own, known, keep, own_order, alpha)
-                    block = _Block(*(batch.column(c)[i].values for c in (1, 2, 3)), common, order, buckets)
-                    name, more, own = batch.column(0)[i].as_py(), [], []
-                else:
-                    assert batch.column(0)[i].as_py() == name
-                    given = own if batch.column(4)[i].as_py() >= buckets else more
-                    given.append(batch.column(6)[i].values.to_numpy())
-        if block is not None:
-            yield _block_scores(block, more, own, known, keep, own_order, alpha)
-
-    dealt = blocks.mapInArrow(deal, _SENT)
-    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _SENT)
-    nothing = F.lit(None).cast("array<bigint>")
-    texts = blocks.select("*", F.lit(-1).cast("bigint").alias("bucket"), nothing.alias("h"), nothing.alias("n"))
-    home = counted.union(texts).repartition("block").sortWithinPartitions("block", "bucket")
-    sums = home.mapInArrow(score, "doc_id bigint, words bigint, total double, left_out double, alone bigint")
+    def opened(texts: pa.Table, answers: pa.Table) -> tuple[_Block, np.ndarray]:
+        """A block, and the places of the n-grams that it sends."""
+        known, lists = shared.value[0], [texts.column(c)[0].values for c in (1, 2, 3)]
+        block = _Block(*lists, known, order, buckets)
+        pairs, prints, new = block.prints(width)
+        given = _given(answers, -buckets, -1, descending=True)
+        sizes = [len(at) for at in _runs(_home(prints[new], buckets, width))]
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(given, sizes, strict=True)]
+        elsewhere = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
+        return block, block.asked(pairs, elsewhere[np.cumsum(new) - 1])
+
+    def deal(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        block, asked = opened(texts, answers)
+        name, rows = texts.column(0)[0].as_py(), []
+        home = _home(block.distinct[asked], buckets)
+        for at in _runs(home):
+            entry = asked[at]
+            rows.append({
+                "block": name, "bucket": int(home[at[0]]), "h": _packed_steps(block.distinct[entry]),
+                "n": _packed_numbers(block.n[entry]),
+            })
+        for at in _runs(block.again_home):
+            entry = block.again[at]
+            rows.append({
+                "block": name, "bucket": int(block.again_home[at[0]]), "ids": _packed_steps(block.ids[block.owner[entry]]),
+                "h": _packed_steps(block.values[entry]), "n": _packed_numbers(block.counts[entry]),
+            })
+        return pa.Table.from_batches([_sent_batch(rows)])
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        block, asked = opened(texts, answers)
+        more = [_numbers(x) for x in _given(answers, 0, buckets - 1)]
+        own = [_numbers(x) for x in _given(answers, buckets, 2 * buckets - 1)]
+        return pa.Table.from_batches([_block_scores(block, asked, more, own, shared.value[1], keep, own_order, alpha)])
+
+    def counted(sent: DataFrame, answer: Callable[[int, pa.Table], list[dict]]) -> DataFrame:
+        return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(answer), _SENT)
+
+    def at_blocks(answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+    found = written(counted(blocks.mapInArrow(ask, _SENT), _elsewhere), "elsewhere")
+    more = counted(at_blocks(found, deal, _SENT), _counts_elsewhere)
+    sums = at_blocks(found.union(more), score, _SCORES)
     n = F.col("n_words")
     log_words = float(np.log(max(1, all_words)))
     others = F.log(F.greatest(F.lit(1), F.lit(all_words) - n).cast("double"))
@@ -429,64 +580,47 @@ def document_scores(
     )
 
 
-def _returned(held: list[pa.RecordBatch], by_id: bool) -> Iterator[pa.RecordBatch]:
-    """How often the n-grams of each row of a bucket lie elsewhere: in other blocks, or in other
-    rows of the same document."""
-    rows = pa.Table.from_batches(held)
-    column = lambda name: rows.column(name).combine_chunks()
-    n = column("n").flatten().to_numpy()
-    values, place = np.unique(column("h").flatten().to_numpy(), return_inverse=True)
-    if by_id:
-        _, doc = np.unique(column("ids").flatten().to_numpy(), return_inverse=True)
-        _, place = np.unique(doc.astype(np.int64) * len(values) + place, return_inverse=True)
-    more = np.bincount(place, n).astype(np.int64)[place] - n
-    offsets = np.r_[0, np.cumsum(column("h").value_lengths().to_numpy())]
-    names = column("block").to_pylist()
-    key = rows.column("bucket")[0].as_py()
-    for lo in range(0, len(names), 1000):
-        yield _sent_batch([
-            _sent_row(names[i], bucket=key, n=more[offsets[i] : offsets[i + 1]])
-            for i in range(lo, min(lo + 1000, len(names)))
-        ])
+def _given(answers: pa.Table, least: int, most: int, descending: bool = False) -> list[bytes]:
+    """What the buckets of a range answered to a block, in their order."""
+    both = zip(answers.column("bucket").to_pylist(), answers.column("n").to_pylist(), strict=True)
+    return [n for _, n in sorted((x for x in both if least <= x[0] <= most), reverse=descending)]
 
 
 def _block_scores(
-    block: _Block, more: list, own: list, known: np.ndarray, order: int, own_order: int, alpha: float
+    block: _Block, asked: np.ndarray, more: list, own: list, known: np.ndarray, order: int, own_order: int, alpha: float
 ) -> pa.RecordBatch:
     count, mine = np.zeros(len(block.values), dtype=np.int64), block.counts.astype(np.int64)
     count[block.hit] = known[block.common[block.hit]]
+    total = block.n.copy()
     if more:
-        total = block.n.copy()
-        total[block.by] += np.concatenate(more)
-        count[~block.hit] = total[block.place]
+        total[asked] += np.concatenate(more)
+    count[~block.hit] = total[block.place]
     if own:
         mine[block.again] += np.concatenate(own)
-    rows, at = [], 0
-    for levels, place, n in zip(block.levels, block.places, block.sizes, strict=True):
-        size = levels[0]
-        every = np.split(np.log(np.maximum(count[at : at + n], 1))[place], np.cumsum(levels)[:-1])
-        rest = (count[at : at + n] - mine[at : at + n])[place]
-        left, logs = (np.split(x, np.cumsum(levels)[:-1]) for x in (rest, np.log(np.maximum(rest, 1))))
-        at += n
-        inner = 0.0
-        for k in range(1, min(own_order, size) + 1):
-            to = levels[k - 1] if k == own_order else 1
-            inner += float(every[k - 1][:to].sum()) - (float(every[k - 2][:to].sum()) if k > 1 else 0.0)
-        outer, chosen, alone = 0.0, np.zeros(size, dtype=bool), 0
-        possible = np.minimum(np.arange(size) + 1, order)
-        for k in range(min(order, size), 0, -1):
-            takes = ~chosen[k - 1 :] & ((left[k - 1] > 0) | (k == 1))
-            outer += float(logs[k - 1][takes].sum()) + float((possible[k - 1 :][takes] - k).sum()) * float(np.log(alpha))
-            if k > 1:
-                outer -= float(logs[k - 2][: len(takes)][takes].sum())
-            else:
-                alone = int(takes.sum())
-            chosen[k - 1 :] |= takes
-        rows.append((size, inner, outer, alone))
-    words, inner, outer, alone = zip(*rows, strict=True)
+    rest = count - mine
+    every, left = np.log(np.maximum(count, 1)), np.log(np.maximum(rest, 1))
+    size = np.bincount(block.row, minlength=len(block.ids))
+    place = np.arange(len(block.row)) - (np.cumsum(size) - size)[block.row]  # of a word in its text
+    at = [np.zeros(len(block.row), dtype=np.int32) for _ in block.at]
+    for k, mine in enumerate(block.at, 1):
+        at[k - 1][block.left >= k] = mine
+    inner, outer, chosen = np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(block.row), dtype=bool)
+    for k in range(1, own_order + 1):
+        begin = np.flatnonzero((block.left >= k) & ((k == own_order) | (place == 0)))
+        gain = every[at[k - 1][begin]] - (every[at[k - 2][begin]] if k > 1 else 0)
+        inner += np.bincount(block.row[begin], gain, len(size))
+    for k in range(order, 0, -1):
+        begin = np.flatnonzero(block.left >= k)
+        begin = begin[~chosen[begin + k - 1] & ((rest[at[k - 1][begin]] > 0) | (k == 1))]
+        end = begin + k - 1
+        gain = left[at[k - 1][begin]] - (left[at[k - 2][begin]] if k > 1 else 0)
+        gain += (np.minimum(place[end] + 1, order) - k) * float(np.log(alpha))
+        outer += np.bincount(block.row[begin], gain, len(size))
+        chosen[end] = True
+    alone = np.bincount(block.row[begin], minlength=len(size))  # words that are left to themselves
     ids = pa.array(block.ids, mask=block.ids == NO_ID)
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(words, pa.int64()), pa.array(inner, pa.float64()), pa.array(outer, pa.float64()), pa.array(alone, pa.int64())],
+        [ids, pa.array(size, pa.int64()), pa.array(inner, pa.float64()), pa.array(outer, pa.float64()), pa.array(alone, pa.int64())],
         names=["doc_id", "words", "total", "left_out", "alone"],
     )
 
